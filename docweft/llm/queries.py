@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import near_duplicates, packing, splitting, term_frequency, tokenizer
+from docweft.llm import near_duplicates, packing, quality, splitting, term_frequency, tokenizer
 from docweft.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,5 +59,13 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_containers(table(spark, root, "documents"))
 
 
+def p8_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.text_quality(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "common_words"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return quality.unfit(p8_quality(spark, root), "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p5_found, p5_pieces, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_quality)}

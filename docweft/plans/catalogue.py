@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweft.plans import csv_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = []
+_MODULES = [csv_queries]
 
 
 def queries() -> dict[str, Query]:

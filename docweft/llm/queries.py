@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import near_duplicates, packing, quality, splitting, term_frequency, tokenizer
+from docweft.llm import near_duplicates, packing, pii, quality, splitting, term_frequency, tokenizer
 from docweft.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,22 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     return _duplicates(spark, root).groups()
 
 
+def _masked(spark: SparkSession, root: str) -> DataFrame:
+    docs = pii.mask_fields(table(spark, root, "maintenance_docs"), "doc_pk", ["content"])
+    tickets = pii.mask_fields(table(spark, root, "maintenance_requests"), "idx", ["content", "notes"])
+    parts = ((docs, "doc_pk", "maintenance_docs"), (tickets, "idx", "maintenance_requests"))
+    first, second = (df.select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"), "fld", "masked", "types", "n_items") for df, key, name in parts)
+    return first.unionByName(second)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return _masked(spark, root).select("tbl", "rec_id", "fld", F.explode("types").alias("pii_type")).distinct()
+
+
+def p4_masked(spark: SparkSession, root: str) -> DataFrame:
+    return _masked(spark, root).select("tbl", "rec_id", "fld", "masked", "n_items")
+
+
 def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     docs = splitting.split_texts(table(spark, root, "maintenance_docs").dropDuplicates(["doc_pk"]), ["source"], "content")
     chunks = splitting.split_texts(table(spark, root, "chunks"), ["chunk_id"], "body")
@@ -68,4 +84,4 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_quality)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p4_found, p4_masked, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_quality)}

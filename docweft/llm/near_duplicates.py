@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from docweft.session import spread, stage
 
 #: Fixed value: the characters that count, after lower-casing.
-DROPPED = "[^0-9a-z가-힣]+"
+_KEPT = re.compile("[0-9a-z가-힣]+")
 SHINGLE = 5
 THRESHOLD = 0.6
 MIN_CHARS = 60
@@ -87,15 +88,26 @@ def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
-def _signed(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(tbl, id, digest, bands) of texts (tbl, id, norm)."""
+def normalised(text: str) -> str:
+    """Lower-cased, with only digits, Latin letters and Hangul syllables left."""
+    return "".join(_KEPT.findall(text.lower()))
+
+
+def _signed(texts: DataFrame, bands: int, rows: int, min_chars: int) -> DataFrame:
+    """(tbl, id, h, digest, bands) of records (tbl, id, content) that are long enough; h is the normalised text's hash."""
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                sig = signatures(part.column(2).to_pylist(), bins)
+                norms = [normalised(x) for x in part.column(2).to_pylist()]
+                kept = [i for i, x in enumerate(norms) if len(x) >= min_chars]
+                if not kept:
+                    continue
+                part = part.take(pa.array(kept))
+                norms = [norms[i] for i in kept]
+                sig = signatures(norms, bins)
                 tag = np.array([sum(map(ord, t)) for t in part.column(0).to_pylist()], np.uint64)
                 keys = np.zeros((len(sig), bands), np.uint64)
                 for r in range(rows):
@@ -106,9 +118,20 @@ def _signed(texts: DataFrame, bands: int, rows: int) -> DataFrame:
                     small = small[:, :-1]
                 packed = small[:, ::2] << 4 | small[:, 1::2]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).reshape(-1)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), lists], ["tbl", "id", "digest", "bands"])
+                hashes = pa.array([hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in norms], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), hashes, pa.array([x.tobytes() for x in packed], pa.binary()), lists], ["tbl", "id", "h", "digest", "bands"])
+
+    return texts.mapInArrow(run, "tbl string, id bigint, h binary, digest binary, bands array<bigint>")
+
+
+def _norms(texts: DataFrame) -> DataFrame:
+    """(tbl, id, norm) of records (tbl, id, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([normalised(x) for x in batch.column(2).to_pylist()], pa.string())], ["tbl", "id", "norm"])
 
-    return texts.mapInArrow(run, "tbl string, id bigint, digest binary, bands array<bigint>")
+    return texts.mapInArrow(run, "tbl string, id bigint, norm string")
 
 
 def _alike(links: DataFrame, threshold: float) -> DataFrame:
@@ -158,17 +181,15 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS) -> None:
         self.threshold = threshold
-        norm = F.regexp_replace(F.lower("content"), DROPPED, "")
-        # A column computed from another's result would be computed again in every filter on it.
-        long_enough = records.filter("content is not null and id is not null").filter(F.length("content") >= min_chars)
-        texts = long_enough.select("tbl", F.col("id").cast("bigint").alias("id"), norm.alias("norm")).filter(F.length("norm") >= min_chars)
-        ids = stage(texts.select("tbl", "id", F.unhex(F.md5("norm")).alias("h")).distinct(), "ids")
-        firsts = ids.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-        #: (tbl, rep, id) of each record that is not its class's first.
-        self.copies = stage(ids.join(firsts.filter("copies > 1"), ["tbl", "h"]).filter("id != rep").select("tbl", "rep", "id", "copies"), "copies")
+        # No text is shorter than its normalised form, so what is too short is dropped before Python sees it.
+        texts = records.filter("content is not null and id is not null").filter(F.length("content") >= min_chars).select("tbl", F.col("id").cast("bigint").alias("id"), "content")
+        every = stage(_signed(texts, bands, rows, min_chars), "signed")
+        ids = every.select("tbl", "id", "h").distinct()
+        firsts = ids.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+        #: (tbl, rep, id, copies) of each record that is not its class's first.
+        self.copies = stage(ids.join(firsts, ["tbl", "h"]).filter("id != rep").select("tbl", "rep", "id", "copies"), "copies")
         self.ids = ids
-        reps = texts.join(self.copies.select("tbl", "id"), ["tbl", "id"], "left_anti")
-        signed = stage(_signed(reps, bands, rows), "signed")
+        signed = every.join(self.copies.select("tbl", "id"), ["tbl", "id"], "left_anti")
         buckets = signed.select("tbl", "id", F.explode("bands").alias("bucket")).repartition("bucket")
         centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z")
         stars = buckets.join(centres, "bucket").filter("id != a").select("tbl", "a", F.col("id").alias("b")).distinct()
@@ -176,7 +197,7 @@ class NearDuplicates:
         compared = stars.join(digests.select("tbl", F.col("id").alias("a"), F.col("digest").alias("da")), ["tbl", "a"]).join(digests.select("tbl", F.col("id").alias("b"), F.col("digest").alias("db")), ["tbl", "b"])
         candidates = stage(_alike(compared, threshold), "candidates")
         wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).distinct()
-        self.texts = stage(reps.join(wanted, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"]), "texts")
+        self.texts = stage(_norms(texts.join(wanted, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"])), "texts")
         self._links = self._closed(stage(_checked(candidates, self.texts), "links"))
 
     def _closed(self, tested: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.tokenizer import SPLIT_PATTERN, default_vocabulary, encoded_batch, transducer_of
-from docweft.session import spread
+from docweft.session import spread, stage
 
 DIMENSIONS, BITS = 4, 8
 WINDOW = 4096
@@ -175,4 +175,5 @@ def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", capa
     Sizes are tokens of `vocabulary` (byte_bpe_50k unless given). start and n_tokens say which of the text's
     tokens a piece holds. An empty table gives no rows; other columns are ignored; texts of any length are read whole.
     """
-    return pack(measured(df, key, text, vocabulary), capacity).withColumnRenamed("k", key)
+    # Staged, as a range sort reads its input twice, once for a sample of the keys.
+    return pack(stage(measured(df, key, text, vocabulary), "measured"), capacity).withColumnRenamed("k", key)

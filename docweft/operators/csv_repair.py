@@ -61,7 +61,7 @@ def _day(text: str) -> dt.date | None:
 
 #: What is wrong with a trimmed value, by column.
 CHECKS = {
-    "idx": lambda x: not (_ID.match(x) and 1 <= int(x) < 1 << 63),
+    "idx": lambda x: not (_ID.match(x) and len(x.lstrip("0")) <= 19 and 1 <= int(x.lstrip("0") or 0) < 1 << 63),
     "progress_rate": lambda x: x != "" and not (_RATE.match(x) and float(x) <= 100),
     "request_date": lambda x: x != "" and _day(x) is None,
 }
@@ -118,8 +118,8 @@ def _read(cost: np.ndarray, token: str) -> np.ndarray:
 def repair(record: str, width: int) -> tuple[list[str], list[str]]:
     """The edits of a cheapest parse of `record` as `width` fields, and the fields it then has.
 
-    Edits are "insert quote@12" and the like, with the character position. Of equally cheap parses,
-    the one with the rightmost edits is taken.
+    Edits are "insert quote@12" and the like, with the character position. Which of equally
+    cheap parses is taken is fixed by the order of the automaton's states.
     """
     tokens = _TOKENS.findall(record)
     places = [0]

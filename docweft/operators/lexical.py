@@ -96,7 +96,7 @@ def ngram_features(chunks: DataFrame, key: str = "chunk_id", text: Column | None
     body = searchable(*SEARCHED) if text is None else text
     form = chunks.select(F.col(key).alias("chunk_id"), tx.normalized(body).alias("form"))
     dense = F.replace("form", F.lit(" "), F.lit(""))
-    return form.select("chunk_id", dense.alias("dense"), F.regexp_replace(dense, "[0-9a-z]+", "").alias("hangul"), F.array_distinct(F.regexp_extract_all("form", F.lit("([0-9a-z]{2,})"))).alias("runs"), F.size(tx.ngram_set(body)).alias("n_grams"))
+    return form.select("chunk_id", dense.alias("dense"), F.regexp_replace(dense, "[0-9a-z]+", "").alias("hangul"), F.array_distinct(F.regexp_extract_all("form", F.lit("([0-9a-z]{2,})"))).alias("runs"), F.size(tx.ngrams_of(F.col("form"), dense)).alias("n_grams"))
 
 
 def ngram_scores(features: DataFrame, query: str) -> DataFrame:

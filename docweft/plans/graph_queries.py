@@ -10,7 +10,7 @@ from docweft.operators import graph as gr
 from docweft.operators import tickets
 from docweft.plans import sql
 from docweft.plans.text_queries import _GRAPH_DOCS
-from docweft.session import spread, stage, table
+from docweft.session import spread, table
 
 SEEDS = ("System:SSL인증서", "IssueType:갱신")
 QUERY = "SSL 인증서 갱신 이력과 홈페이지 장애"
@@ -24,15 +24,6 @@ def build(spark: SparkSession, root: str) -> gr.Graph:
     return gr.Graph(docs, chunks, called)
 
 
-def built(spark: SparkSession, root: str) -> gr.Graph:
-    """The graph with its edges and nodes written once, as several steps read them."""
-    graph = build(spark, root)
-    graph.edges = stage(graph.edges, "edges")
-    graph.bare_nodes = stage(graph.bare_nodes, "nodes")
-    graph.nodes = graph.bare_nodes.join(gr.out_degree(graph.edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
-    return graph
-
-
 def _seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SEEDS], "node string")
 
@@ -55,7 +46,7 @@ def hub_penalties(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _expanded(spark: SparkSession, root: str, hops: int, penalty: bool = True) -> DataFrame:
-    edges = stage(build(spark, root).edges, "edges")
+    edges = build(spark, root).edges
     found = gr.expand(edges, _seeds(spark), hops, gr.INTENT_EDGES["default"], penalty=penalty, least=0.01, limit=None)
     return found.select("node", F.round("score", 6).alias("score"), F.col("hop").cast("bigint").alias("hop"))
 
@@ -77,12 +68,12 @@ def expand_no_penalty(spark: SparkSession, root: str) -> DataFrame:
 
 
 def expand_top(spark: SparkSession, root: str) -> DataFrame:
-    edges = stage(build(spark, root).edges, "edges")
+    edges = build(spark, root).edges
     return gr.expand(edges, _seeds(spark), 2, gr.INTENT_EDGES["default"]).select("node", F.round("score", 6).alias("score"))
 
 
 def expand_spread(spark: SparkSession, root: str) -> DataFrame:
-    graph = built(spark, root)
+    graph = build(spark, root)
     return gr.spread(graph, gr.expand(graph.edges, _seeds(spark), 2, gr.INTENT_EDGES["default"], least=0.01, limit=None))
 
 
@@ -111,13 +102,13 @@ def linked_entities(spark: SparkSession, root: str) -> DataFrame:
 
 
 def resolved_seeds(spark: SparkSession, root: str) -> DataFrame:
-    graph = built(spark, root)
+    graph = build(spark, root)
     top = graph.bare_nodes.filter("type = 'Customer' and label like '다온%'").select("node")
     return gr.resolve_seeds(graph, top.union(_seeds(spark)), per_doc=2)
 
 
 def subgraph_nodes(spark: SparkSession, root: str) -> DataFrame:
-    return gr.subgraph(built(spark, root))[0].select("node", "type", "degree")
+    return gr.subgraph(build(spark, root))[0].select("node", "type", "degree")
 
 
 def corpus_fingerprint(spark: SparkSession, root: str) -> DataFrame:

@@ -190,7 +190,9 @@ class NearDuplicates:
         self.copies = stage(ids.join(firsts, ["tbl", "h"]).filter("id != rep").select("tbl", "rep", "id", "copies"), "copies")
         self.ids = ids
         signed = every.join(self.copies.select("tbl", "id"), ["tbl", "id"], "left_anti")
-        buckets = signed.select("tbl", "id", F.explode("bands").alias("bucket")).repartition("bucket")
+        # Two shuffles rather than one partitioning for both: the first adds up before it, and in the join
+        # adaptive execution can split a bucket that holds a large part of all rows.
+        buckets = signed.select("tbl", "id", F.explode("bands").alias("bucket"))
         centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z")
         stars = buckets.join(centres, "bucket").filter("id != a").select("tbl", "a", F.col("id").alias("b")).distinct()
         digests = signed.select("tbl", "id", "digest").dropDuplicates(["tbl", "id"])

@@ -92,7 +92,7 @@ def _closed(cost: np.ndarray) -> np.ndarray:
         np.minimum(cost[_QUOTED], cost[_QUOTE] + 1, out=cost[_QUOTED])
         for state in (_BARE, _QUOTE):
             np.minimum(cost[_START, 1:], cost[state, :-1] + 1, out=cost[_START, 1:])
-        step = np.arange(cost.shape[1])
+        step = np.arange(cost.shape[1], dtype=cost.dtype)
         cost[_START] = np.minimum.accumulate(cost[_START] - step) + step
         if (before == cost).all():
             break
@@ -125,7 +125,7 @@ def repair(record: str, width: int) -> tuple[list[str], list[str]]:
     places = [0]
     for token in tokens:
         places.append(places[-1] + len(token))
-    cost = np.full((4, width), _FAR, np.int64)
+    cost = np.full((4, width), _FAR, np.int32)
     cost[_START, 0] = 0
     all_costs = [_closed(cost)]
     for token in tokens:

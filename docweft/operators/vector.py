@@ -101,3 +101,15 @@ def live_nearest(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int,
     live = docs.filter("deleted_at is null").select("source").distinct()
     own = chunks.filter((F.col("embedding_model") == model) & F.col("embedding").isNotNull()).join(live, "source", "left_semi")
     return nearest(own, queries, k, **how)
+
+
+def with_cached(chunks: DataFrame, cache: DataFrame, embed, key: str = "chunk_id", digest: str = "body_hash", dim: int | None = None) -> DataFrame:
+    """`chunks` with embedding: taken from `cache` (key, digest, embedding) where key and digest agree, else made.
+
+    Cached vectors that are not `dim` long are made anew. `embed` maps the rows that need it to (key, embedding).
+    """
+    fits = cache if dim is None else cache.filter(F.size("embedding") == dim)
+    known = fits.select(key, F.col(digest).alias("_digest"), "embedding").dropDuplicates([key, "_digest"])
+    joined = chunks.join(known, (chunks[key] == known[key]) & (chunks[digest] == known["_digest"]), "left").select(chunks["*"], "embedding")
+    todo = joined.filter("embedding is null").drop("embedding")
+    return joined.filter("embedding is not null").unionByName(todo.join(embed(todo), key))

@@ -57,12 +57,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 @atexit.register
-def _drop_staged() -> None:
-    for spark, path in _STAGED:
+def drop_staged() -> None:
+    """Deletes what stage() has written so far; frames that read it can't be used any more.
+
+    Runs when the process ends; a long session may call it once its results are stored.
+    """
+    while _STAGED:
+        spark, path = _STAGED.pop()
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session may be gone
             pass
 

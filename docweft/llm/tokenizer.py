@@ -66,7 +66,7 @@ class Transducer:
             ends[node] = i
         self.children, self.ends = children, ends
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # pre-token to its ids as 32-bit integers
         self._forget()
 
     def _forget(self) -> None:
@@ -94,7 +94,10 @@ class Transducer:
             if left < 0:
                 found = self._merged(own) == [right]
             else:
-                found = self._merged(self.tokens[left] + own) == [left, right]
+                joined = self.tokens[left] + own
+                whole = self.ranks.get(joined, -1)
+                # What is one token when joined doesn't stay two; the rest is merged to see.
+                found = not (whole >= 0 and self._fits(-1, whole)) and self._merged(joined) == [left, right]
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
             self.pairs[left, right] = found
@@ -152,8 +155,8 @@ class Transducer:
         found = self.finals[state] = tuple(reversed(out))
         return found
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
+    def piece(self, text: str) -> bytes:
+        """Ids of one pre-token, as 32-bit integers."""
         if len(self.states) > self.max_states:
             self._forget()
         steps, state, out = self.steps, 0, []
@@ -166,25 +169,25 @@ class Transducer:
                 out.extend(certain)
         rest = self.finals.get(state)
         out.extend(self._final(state) if rest is None else rest)
-        ids = tuple(out)
+        ids = array("i", out).tobytes()
         if len(text) <= MEMO_LONGEST:
             if len(self.memo) >= self.max_memo:
                 self.memo.clear()
             self.memo[text] = ids
         return ids
 
-    def encode_into(self, text: str, out: array) -> None:
-        """Appends the ids of `text` to `out`."""
-        get, piece, extend = self.memo.get, self.piece, out.extend
-        for part in self.find(text):
-            extend(get(part) or piece(part))
+    def encoded(self, text: str) -> bytes:
+        """Ids of `text`, as 32-bit integers."""
+        parts, get = self.find(text), self.memo.get
+        try:
+            return b"".join(map(get, parts))
+        except TypeError:  # a pre-token that is not in the memo
+            piece = self.piece
+            return b"".join([get(p) or piece(p) for p in parts])
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of `text`; empty for an empty or null text."""
-        out = array("i")
-        if text:
-            self.encode_into(text, out)
-        return out.tolist()
+        return array("i", self.encoded(text)).tolist() if text else []
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as soon as it is certain: bytes of an unfinished character are held back.
@@ -228,14 +231,11 @@ def transducer_of(data: bytes, pattern: str = SPLIT_PATTERN) -> Transducer:
     return _MADE[key]
 
 
-def encoded_batch(transducer: Transducer, texts: list[str | None]) -> tuple[np.ndarray, array]:
+def encoded_batch(transducer: Transducer, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids of a batch of texts."""
-    ids, ends = array("i"), np.zeros(len(texts) + 1, np.int64)
-    for k, text in enumerate(texts):
-        if text:
-            transducer.encode_into(text, ids)
-        ends[k + 1] = len(ids)
-    return ends, ids
+    parts = [transducer.encoded(t) if t else b"" for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(p) >> 2 for p in parts])]).astype(np.int64)
+    return ends, np.frombuffer(b"".join(parts), np.int32)
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str = SPLIT_PATTERN) -> DataFrame:
@@ -254,7 +254,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 ends, ids = encoded_batch(transducer, part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if len(ids) else [], pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["k", "ids"])
 
     narrow = spread(df.select(df[key].alias("k"), df[text].alias("t")))

@@ -1,6 +1,7 @@
 """Documents into sections and windows.
 
-All splitters work on one row at a time: they need no shuffle, and each row of the result carries its place.
+All splitters work within a row, on arrays of its sections and windows: they need no shuffle, and each
+row of the result carries its place.
 """
 
 from __future__ import annotations
@@ -48,15 +49,27 @@ def heading_sections(df: DataFrame, text: str, title: Column, skipped: tuple[str
     return cut.withColumn("heading", F.when(own != "", own).otherwise(F.col("doc_title"))).filter(~tx.any_of(F.col("heading"), skipped))
 
 
-def search_chunks(docs: DataFrame, size: int = 1800, overlap: int = 250, least: int = 80) -> DataFrame:
-    """Chunks for search of documents (source, title, customer, content, updated_at).
+def _cut(section: Column, size: int, overlap: int, least: int, stripped: bool) -> Column:
+    """array<string> of the windows of a section that are long enough."""
+    part = lambda start: F.substring(section, start + 1, F.lit(size))
+    parts = F.transform(window_starts(F.length(section), size, overlap), lambda i: strip(part(i)) if stripped else part(i))
+    return F.filter(parts, lambda p: F.length(p) >= least)
 
-    chunk_id counts the chunks of a document that are long enough, from 1; it is numbered within the row.
+
+def search_chunks(docs: DataFrame, size: int = 1800, overlap: int = 250, least: int = 80, skipped: tuple[str, ...] = tx.SKIPPED_SECTIONS) -> DataFrame:
+    """Chunks for search of documents (source, content, updated_at), cut before headings and then in windows.
+
+    chunk_id counts the chunks of a document that are long enough, from 1. Null and blank contents give none.
     """
-    clean = docs.select("source", F.col("updated_at"), tx.clean(F.col("content")).alias("content")).filter(F.length("content") > 0)
-    parts = _windows(heading_sections(clean, "content", tx.stem(F.col("source"))), "section", size, overlap, least, True)
-    listed = parts.groupBy("source").agg(F.max("doc_title").alias("title"), F.max("updated_at").alias("updated_at"), F.array_sort(F.collect_list(F.struct("section_no", "window_no", "heading", "part"))).alias("parts"))
-    flat = listed.select("source", "title", "updated_at", F.posexplode("parts").alias("n", "p"))
+    clean = docs.select("source", "updated_at", tx.clean(F.col("content")).alias("content")).filter(F.length("content") > 0)
+    h1 = strip(F.regexp_extract("content", r"(?m)^#\s+(.+)$", 1))
+    titled = clean.withColumn("title", F.when(h1 != "", h1).otherwise(tx.stem(F.col("source"))))
+    sections = F.filter(F.transform(F.split("content", r"(?m)(?=^#{1,3}\s+)"), strip), lambda x: x != "")
+    own = lambda x: strip(F.regexp_extract(x, r"(?m)^#{1,3}\s+(.+)$", 1))
+    headed = F.transform(sections, lambda x: F.struct(F.when(own(x) != "", own(x)).otherwise(F.col("title")).alias("heading"), x.alias("section")))
+    kept = F.filter(headed, lambda x: ~tx.any_of(x["heading"], skipped))
+    parts = F.flatten(F.transform(kept, lambda x: F.transform(_cut(x["section"], size, overlap, least, True), lambda p: F.struct(x["heading"].alias("heading"), p.alias("part")))))
+    flat = titled.select("source", "title", "updated_at", F.posexplode(parts).alias("n", "p"))
     doc_id = tx.document_id(F.col("source"))
     return flat.select(
         F.concat(doc_id, F.lit("_chunk_"), F.lpad((F.col("n") + 1).cast("string"), 4, "0")).alias("chunk_id"),
@@ -99,10 +112,8 @@ def heading_path_sections(text: Column) -> Column:
 
 def graph_chunks(docs: DataFrame, size: int = 1200, overlap: int = 150, least: int = 20) -> DataFrame:
     """(source, ordinal, heading_path, body) of documents (source, content), ordinal from 0 within a document."""
-    sections = docs.select("source", F.posexplode(heading_path_sections(F.col("content"))).alias("section_no", "s")).select("source", "section_no", F.col("s.path").alias("heading_path"), F.col("s.body").alias("section"))
-    parts = _windows(sections, "section", size, overlap, least, False)
-    listed = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("section_no", "window_no", "heading_path", "part"))).alias("parts"))
-    return listed.select("source", F.posexplode("parts").alias("ordinal", "p")).select("source", "ordinal", F.col("p.heading_path").alias("heading_path"), F.col("p.part").alias("body"))
+    parts = F.flatten(F.transform(heading_path_sections(F.col("content")), lambda s: F.transform(_cut(s["body"], size, overlap, least, False), lambda p: F.struct(s["path"].alias("heading_path"), p.alias("body")))))
+    return docs.select("source", F.posexplode(parts).alias("ordinal", "p")).select("source", "ordinal", F.col("p.heading_path").alias("heading_path"), F.col("p.body").alias("body"))
 
 
 def customer_blocks(df: DataFrame, text: str) -> DataFrame:

@@ -94,3 +94,32 @@ def canonical_customer(names: DataFrame, aliases: dict[str, str]) -> DataFrame:
     one = own.join(F.broadcast(known), own["name"] == F.col("_a"), "left").drop("_a").withColumnRenamed("_c", "_c1")
     two = one.join(F.broadcast(known), F.col("_b") == F.col("_a"), "left").drop("_a")
     return two.select("name", F.coalesce("_c1", "_c", F.replace("_b", F.lit(" "), F.lit("_"))).alias("canonical"))
+
+
+def organised(docs: DataFrame, marker: str, folders: dict[str, str]) -> DataFrame:
+    """(source, company, kind, target): where each document belongs, by company, kind and a name of its own.
+
+    `folders` maps kinds to folder names; a kind without one keeps its own name. Targets are unique.
+    """
+    from docweft.operators.store import unique_names
+
+    named = docs.select("source", company_of("source", marker).alias("company"), tx.document_kind(tx.stem(F.col("source")), F.col("content")).alias("kind"))
+    folder = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in folders.items() for x in pair]), F.col("kind")), F.col("kind")) if folders else F.col("kind")
+    target = F.concat_ws("/", tx.safe_name(F.col("company")), folder, F.concat(tx.safe_name(tx.stem(F.col("source"))), F.lower(tx.suffix(F.col("source")))))
+    return unique_names(named.withColumn("target", target), docs.sparkSession.createDataFrame([], "target string"), "target", ["source"])
+
+
+def simplified(docs: DataFrame, stamp: str, default: str, images: tuple[str, str]) -> DataFrame:
+    """`docs` (source, customer, content) with target and content for a flat layout: short names, links to `images[1]`."""
+    kinds = (*tx.DOCUMENT_KINDS, tx.DEFAULT_KIND)
+    name = tx.simplified_name(F.col("source"), F.col("customer"), kinds, stamp, default)
+    return docs.withColumn("target", F.concat_ws("/", "customer", name)).withColumn("content", tx.relinked(F.col("content"), *images))
+
+
+def handbook_blocks(handbooks: DataFrame, text: str, aliases: dict[str, str]) -> DataFrame:
+    """`handbooks` cut into blocks, each with the canonical name of the customer it is about."""
+    from docweft.operators.chunking import customer_blocks
+
+    blocks = customer_blocks(handbooks, text)
+    names = canonical_customer(blocks.select(F.col("customer").alias("name")), aliases)
+    return blocks.join(names.withColumnRenamed("name", "customer"), "customer").drop("customer").withColumnRenamed("canonical", "customer")

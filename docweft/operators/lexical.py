@@ -43,6 +43,28 @@ class TermIndex:
         self.postings = tokenised.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         self.totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
+    def write(self, path: str) -> None:
+        """Stores the index below `path`; postings are sorted by term, so that a reader skips what it needs not."""
+        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+        self.lengths.write.parquet(f"{path}/lengths")
+        self.totals.write.parquet(f"{path}/totals")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TermIndex:
+        """The index stored below `path`."""
+        made = cls.__new__(cls)
+        made.key = "chunk_id"
+        made.postings, made.lengths, made.totals = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "totals"))
+        return made
+
+    def scores_of(self, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """scores() of one literal query; its terms are pushed down into the scan of stored postings."""
+        terms = sorted(set(plain.bm25_tokens(query)))
+        part = TermIndex.__new__(TermIndex)
+        part.key, part.lengths, part.totals = self.key, self.lengths, self.totals
+        part.postings = self.postings.filter(F.col("term").isin(terms)) if terms else self.postings.filter("false")
+        return part.scores(query_frame(self.postings.sparkSession, query), k1, b)
+
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 

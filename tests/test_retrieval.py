@@ -55,6 +55,18 @@ def test_bm25_equals_a_plain_model(spark, chunks):
     assert got == pytest.approx(want)
 
 
+def test_stored_index(spark, chunks, tmp_path):
+    index = lexical.TermIndex(chunks)
+    index.write(str(tmp_path / "i"))
+    stored = lexical.TermIndex.read(spark, str(tmp_path / "i"))
+    query = "도면 점검 확인"
+    own = {r.chunk_id: r.score for r in index.scores(lexical.query_frame(spark, query)).collect()}
+    found = stored.scores_of(query)
+    assert {r.chunk_id: r.score for r in found.collect()} == pytest.approx(own)
+    assert "PushedFilters: [In(term" in found._jdf.queryExecution().toString()
+    assert stored.scores_of("!").collect() == []
+
+
 def test_ngram_scores_equal_sets(chunks):
     query = "엘베 고장 CAD"
     q = plain.ngram_set(query)

@@ -30,19 +30,20 @@ FLUSH_TERMS = 200_000
 
 
 def _heavy_terms(texts: DataFrame, pattern: str, rows: int, most: int) -> list[str]:
-    """The terms found in the most texts of a sample of at most `rows` rows; ties go by term."""
+    """The terms found in the most of the first `rows` records that the scan gives; ties go by term.
+
+    take() reads only as many partitions as it needs; each record sends at most `most` distinct terms.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, df = re.compile(pattern).findall, Counter()
+        find = re.compile(pattern).findall
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    df.update(set(find(text.lower())))
-        top = df.most_common(4 * most)
-        yield pa.RecordBatch.from_pydict({"term": [t for t, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
-
-    found = texts.limit(rows).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return [r.term for r in found.filter("n > 1").orderBy(F.desc("n"), "term").limit(most).collect()]
+            for at in range(0, batch.num_rows, 200):
+                found = [list(dict.fromkeys(find(t.lower())))[:most] if t else [] for t in batch.column(0).slice(at, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
+
+    df = Counter(t for r in texts.mapInArrow(run, "terms array<string>").take(rows) for t in r.terms)
+    return [t for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
 
 
 def term_frequencies(

@@ -93,12 +93,6 @@ def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id"
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def filled(scores: DataFrame, chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """`scores` with a row of score 0 for each chunk that a query does not reach; such rows can fill a limit."""
-    every = chunks.select(key).join(F.broadcast(queries.select("query_id")))
-    return every.join(scores, ["query_id", key], "left").select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def grouped_by_document(ranked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The best `k` documents of ranked chunks (query_id, chunk_id, score, rank).
 

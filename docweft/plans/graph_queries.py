@@ -161,7 +161,7 @@ def _walk(hops: int, penalty: bool = True, least: float = 0.01) -> str:
 
 
 def _expand(hops: int, penalty: bool = True) -> str:
-    return _GRAPH + f", {_walk(hops, penalty)} select node, round(score, 6) as score, hop from reached"
+    return _GRAPH + f", {_walk(hops, penalty)} select node, round(score, 6) as score, cast(hop as bigint) as hop from reached"
 
 
 _LINKS = "links as (select distinct src as node, dst as entity from edges where type in ('MENTIONS', 'HAS_ISSUE') and prefix(src, 'Chunk:'))"

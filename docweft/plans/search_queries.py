@@ -215,7 +215,7 @@ def _fields(weights: dict[str, int]) -> str:
 
 
 def _weighted(weights: dict[str, int]) -> str:
-    return f"select chunk_id, match_score from (select chunk_id, source, try_cast(updated_at as timestamptz) as u, {_fields(weights)} as match_score from chunks where source in (select source from maintenance_docs where deleted_at is null)) where match_score > 0 order by match_score desc, u desc nulls last, source, chunk_id limit 50"
+    return f"select chunk_id, cast(match_score as bigint) as match_score from (select chunk_id, source, try_cast(updated_at as timestamptz) as u, {_fields(weights)} as match_score from chunks where source in (select source from maintenance_docs where deleted_at is null)) where match_score > 0 order by match_score desc, u desc nulls last, source, chunk_id limit 50"
 
 
 _FORM = {f: sql.normalized(f) for f in ("title", "filename", "folder", "heading", "body")}
@@ -245,7 +245,7 @@ cand as (select * from r where in_b or in_g),
 f as (select chunk_id, updated_at, {", ".join(f"{e} as f_{n}" for n, e in _FORM.items())} from chunks where chunk_id in ({chosen})),
 p as (select *, {_boosts()} from f join cand using (chunk_id)),
 t as (select *, bm25 * 0.35 + ngram * 0.15 + field_boost * 0.10 + exact_match_boost * 0.05 + recency_boost as final from p)
-select chunk_id, round(bm25, 6) as bm25, round(ngram, 6) as ngram, 0.0 as embedding, round(field_boost, 6) as field_boost, round(exact_match_boost, 6) as exact_match_boost, round(recency_boost, 6) as recency_boost, round({rank}, 6) as score,
+select chunk_id, round(bm25, 6) as bm25, round(ngram, 6) as ngram, 0.0::double as embedding, round(field_boost::double, 6) as field_boost, round(exact_match_boost::double, 6) as exact_match_boost, round(recency_boost, 6) as recency_boost, round({rank}, 6) as score,
   concat_ws('+', case when in_b then 'bm25' end, case when in_g then 'ngram' end) as sources from t where {rank} > 0 order by round({rank}, 9) desc, chunk_id limit 20"""
 
 
@@ -269,14 +269,14 @@ select query_id, document_id, chunk_id, score, row_number() over (partition by q
     "document_scores": f"""with {sql.LIVE}, x as (select *, {_FLAT} as flat from live where content is not null),
 y as (select *, {sql.normalized("title")} as t, {sql.normalized("source")} as s, {sql.normalized("customer")} as c,
   {sql.normalized(f"case when length(flat) <= 1800 then flat else substring(flat, cast(greatest(1, coalesce({_POS} - 250, 1)) as int), 1800) end")} as b from x where flat <> '')
-select source, score from (select source, case when contains(t, {sql.lit(plain.normalize(QUERY))}) then 20.0 else 0.0 end + {" + ".join(f"case when contains({e}, {sql.lit(w)}) then {v} else 0 end" for w in _DOC_WORDS for e, v in (("t", 6), ("s", 3), ("c", 3), ("b", 1)))} as score from y) where score > 0""",
+select source, cast(score as double) as score from (select source, case when contains(t, {sql.lit(plain.normalize(QUERY))}) then 20.0 else 0.0 end + {" + ".join(f"case when contains({e}, {sql.lit(w)}) then {v} else 0 end" for w in _DOC_WORDS for e, v in (("t", 6), ("s", 3), ("c", 3), ("b", 1)))} as score from y) where score > 0""",
     "ticket_search": r"""with one as (select distinct on (idx) * from maintenance_requests order by idx, imported_at desc nulls last, last_import_id desc nulls last),
 t as (select *, trim(regexp_replace(concat_ws(chr(10), idx::varchar, user_id, title, report_title, notes), '(?:\s|\p{Z})+', ' ', 'g')) as search_text from one),
 m as (select * from t where search_text ilike '%점검%' and search_text ilike '%요청%' order by updated_at desc nulls last, request_date desc nulls last, idx desc limit 500)
-select idx, case when contains(lower(coalesce(title, '')), '점검 요청') then 20 when contains(lower(search_text), '점검 요청') then 10 else 0 end
+select idx, cast(score as bigint) as score from (select *, case when contains(lower(coalesce(title, '')), '점검 요청') then 20 when contains(lower(search_text), '점검 요청') then 10 else 0 end
   + case when contains(lower(coalesce(title, '')), '점검') then 5 else 0 end + case when contains(lower(coalesce(user_id, '')), '점검') then 3 else 0 end + case when contains(lower(search_text), '점검') then 1 else 0 end
   + case when contains(lower(coalesce(title, '')), '요청') then 5 else 0 end + case when contains(lower(coalesce(user_id, '')), '요청') then 3 else 0 end + case when contains(lower(search_text), '요청') then 1 else 0 end as score
-from m order by score desc, updated_at desc nulls last, idx desc limit 50""",
+from m) order by score desc, updated_at desc nulls last, idx desc limit 50""",
     "knn_cosine": f"with {_SIMS} select query_id, id, round(similarity, 6) as similarity, rank from near",
     "knn_metrics": f"""with {_SIMS}, first as (select n.query_id, min(rank) as r from near n join embeddings a on a.vec_id = n.query_id join embeddings b on b.vec_id = n.id where a.label = b.label group by 1),
 c as (select vec_id as query_id, r from embeddings left join first on first.query_id = vec_id where vec_id % 20 = 0)

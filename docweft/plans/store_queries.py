@@ -33,7 +33,8 @@ def upsert_merge(spark: SparkSession, root: str) -> DataFrame:
     old = _docs(spark, root).select("source", "title", "customer", "deleted_at")
     new = _docs(spark, root).filter("doc_pk % 3 = 0").select("source", F.upper("title").alias("title"), F.lit(None).cast("string").alias("customer"))
     added = new.withColumn("source", F.concat(F.lit("새/"), "source"))
-    return store.upsert(old, new.unionByName(added), ["source"], keep=("customer",), values={"deleted_at": F.lit(None).cast("timestamp")})
+    stored = store.upsert(old, new.unionByName(added), ["source"], keep=("customer",), values={"deleted_at": F.lit(None).cast("timestamp")})
+    return stored.select("source", "title", "customer", F.unix_seconds("deleted_at").alias("deleted_s"))
 
 
 def insert_if_absent(spark: SparkSession, root: str) -> DataFrame:
@@ -129,7 +130,7 @@ t as (select n.* from n left join o using (chunk_id) where n.body_hash is distin
 SQL = {
     "upsert_merge": f"""with {_D}, n as (select source, upper(title) as title from d where doc_pk % 3 = 0),
 a as (select * from n union all select '새/' || source, title from n)
-select d.source, case when a.source is not null then a.title else d.title end as title, d.customer, case when a.source is not null then null else d.deleted_at end as deleted_at from d left join a using (source)
+select d.source, case when a.source is not null then a.title else d.title end as title, d.customer, case when a.source is null then cast(floor(epoch_us(d.deleted_at) / 1000000) as bigint) end as deleted_s from d left join a using (source)
 union all select a.source, a.title, null, null from a where a.source not in (select source from d)""",
     "insert_if_absent": f"with {_D}, s as (select case when doc_pk % 2 = 0 then source else '초기/' || source end as source from d) select source, title from d union all select source, 'seed' from s where source not in (select source from d)",
     "stale_chunks": "select chunk_id, source from chunks where source in (select source from maintenance_docs where deleted_at is null)",

@@ -76,12 +76,12 @@ def numbered_headings(spark: SparkSession, root: str) -> DataFrame:
 
 def chunk_windows(spark: SparkSession, root: str) -> DataFrame:
     docs = spread(table(spark, root, "documents").select("doc_id", tx.clean(F.col("text")).alias("body")))
-    return chunking.windows(docs, "body").select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.md5("part").alias("part_hash"), F.length("part").alias("n"))
+    return chunking.windows(docs, "body").select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.md5("part").alias("part_hash"), F.length("part").cast("bigint").alias("n"))
 
 
 def chunk_windows_graph(spark: SparkSession, root: str) -> DataFrame:
     docs = spread(table(spark, root, "documents").select("doc_id", "text"))
-    return chunking.windows(docs, "text", 1200, 150, 20, stripped=False).select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.md5("part").alias("part_hash"), F.length("part").alias("n"))
+    return chunking.windows(docs, "text", 1200, 150, 20, stripped=False).select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.md5("part").alias("part_hash"), F.length("part").cast("bigint").alias("n"))
 
 
 def search_chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -102,7 +102,7 @@ def term_mining(spark: SparkSession, root: str) -> DataFrame:
 
 
 def typed_json(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.date_trunc("day", "ts").alias("day")).groupBy("day").agg(F.sum("k").alias("total"), F.count("k").alias("n"))
+    return table(spark, root, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day")).groupBy("day").agg(F.sum("k").alias("total"), F.count("k").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (normalized_text, bm25_tokens_df, search_terms, detect_intent, recency_boost, sha_ids, path_parts, html_to_text, classify_docs, readable_docs, table_cells, numbered_headings, chunk_windows, chunk_windows_graph, search_chunks, graph_chunks, term_statistics, term_mining, typed_json)}
@@ -146,7 +146,7 @@ SQL = {
     + f""", n as (select greatest(count(*), 1) as n_docs, greatest(count(distinct customer), 1) as n_customers from docs),
 x as (select *, doc_freq / n_docs as raw, 1.0 - least(customers / n_customers, 1.0) as focus from stats, n where doc_freq >= 3 and term not in ({_KNOWN}) and not ({_NOISE}))
 select term, doc_freq, round(raw, 4) as share, customers, round(doc_freq * (1.0 - raw) * (0.3 + 0.7 * focus), 2) as score from x where raw <= 0.35 order by score desc, term limit 80""",
-    "typed_json": "select date_trunc('day', ts) as day, sum(try_cast(json_extract_string(props, '$.k') as int)) as total, count(try_cast(json_extract_string(props, '$.k') as int)) as n from events group by 1",
+    "typed_json": "select strftime(ts, '%Y-%m-%d') as day, cast(sum(try_cast(json_extract_string(props, '$.k') as int)) as bigint) as total, count(try_cast(json_extract_string(props, '$.k') as int)) as n from events group by 1",
     "numbered_headings": r"""select doc_pk, number, arg_max(title, k) as title from (
   select doc_pk, k, cast(regexp_extract(line, '^##\s+(\d+)\.\s+(.+?)[ \t\r]*$', 1) as int) as number, regexp_extract(line, '^##\s+(\d+)\.\s+(.+?)[ \t\r]*$', 2) as title from (
     select doc_pk, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as k from (select distinct on (doc_pk) doc_pk, content from maintenance_docs order by doc_pk)) where regexp_matches(line, '^##\s+\d+\.\s+\S')) group by doc_pk, number""",

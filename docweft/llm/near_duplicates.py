@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.blocks import blocks
 from docweft.session import spread, stage
 
 #: Fixed value: the characters that count, after lower-casing.
@@ -52,21 +53,26 @@ def _detours(bins: int, tries: int = 96) -> np.ndarray:
 
 def signatures(texts: list[str], bins: int, shingle: int = SHINGLE) -> np.ndarray:
     """One-permutation minima, densified: a row of `bins` 64-bit values for each text of at least `shingle` characters."""
-    sizes = np.array([len(t) for t in texts])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    h = np.zeros(len(codes) - shingle + 1, np.uint64)
-    for j in range(shingle):
-        h = h * np.uint64(0x100000001B3) + codes[j : len(codes) - shingle + 1 + j]
-    h = _mixed(h * _G + _G)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
-    inside = np.arange(len(h)) - starts[owner] <= sizes[owner] - shingle
-    owner, h = owner[inside], h[inside]
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    low = np.full((len(texts), bins), none)
     high = np.uint64(64 - max(1, math.ceil(math.log2(bins))))
-    slot = (h >> high).astype(np.int64) * bins >> int(64 - high)
-    low = np.full((len(texts), bins), np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(low.reshape(-1), owner * bins + slot, h)
-    full = low != np.uint64(0xFFFFFFFFFFFFFFFF)
+    for places, parts in blocks(texts, overlap=shingle - 1):
+        sizes = np.array([len(t) for t in parts])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(codes) < shingle:
+            continue
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        h = np.zeros(len(codes) - shingle + 1, np.uint64)
+        for j in range(shingle):
+            h = h * np.uint64(0x100000001B3) + codes[j : len(codes) - shingle + 1 + j]
+        h = _mixed(h * _G + _G)
+        part = np.repeat(np.arange(len(parts)), sizes)[: len(h)]
+        # Shingles that reach into the next part are none.
+        inside = np.arange(len(h)) - starts[part] <= sizes[part] - shingle
+        owner, h = np.array(places)[part[inside]], h[inside]
+        slot = (h >> high).astype(np.int64) * bins >> int(64 - high)
+        np.minimum.at(low.reshape(-1), owner * bins + slot, h)
+    full = low != none
     out = low.copy()
     row, at = np.nonzero(~full)
     for detour in _detours(bins):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweft.llm.blocks import blocks
 from docweft.session import spread
 
 #: Fixed thresholds: the published rules for web text (word count, mean word length, symbols, bullets, stop
@@ -201,10 +202,12 @@ SCHEMA = "n_chars bigint, n_lines bigint, n_words bigint, mean_word_length doubl
 def _statistics(texts: list[str | None], common: frozenset[str]) -> list[tuple]:
     given = [t or "" for t in texts]
     sizes = np.array([len(t) for t in given], np.int64)
-    codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _classes()[codes]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    symbols, blanks = (np.diff(np.concatenate([[0], np.cumsum(kinds == k)])[ends]) for k in (0, 1))
+    symbols, blanks = np.zeros(len(given), np.int64), np.zeros(len(given), np.int64)
+    for places, parts in blocks(given):
+        kinds = _classes()[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+        for k, total in ((0, symbols), (1, blanks)):
+            np.add.at(total, places, np.add.reduceat((kinds == k).astype(np.int64), starts))
     rows = []
     for text, n, symbol, blank in zip(given, sizes.tolist(), symbols.tolist(), blanks.tolist(), strict=True):
         words = text.split()

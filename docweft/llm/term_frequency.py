@@ -27,6 +27,7 @@ TERM_PATTERN = r"[가-힣]{2,}|[a-z][a-z0-9]+(?:[._-][a-z0-9]+)*"
 SAMPLE_ROWS = 2000
 HEAVY_TERMS = 4096
 FLUSH_TERMS = 200_000
+LONG_TEXT = 1 << 20
 
 
 def _heavy_terms(texts: DataFrame, pattern: str, rows: int, most: int) -> list[str]:
@@ -73,7 +74,7 @@ def term_frequencies(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {t: i for i, t in enumerate(shared.value)}
         occ, df = array("q", bytes(8 * len(place))), array("q", bytes(8 * len(place)))
-        find, at, n = re.compile(pattern).findall, place.get, 0
+        find, each, at, n = re.compile(pattern).findall, re.compile(pattern).finditer, place.get, 0
         light: dict[str, int] = {}  # occurrences in the upper, records in the lower 32 bits
         had = light.get
 
@@ -87,7 +88,9 @@ def term_frequencies(
                 n += 1
                 if not content:
                     continue
-                for term, k in Counter(find(content.lower())).items():
+                low = content.lower()
+                # A very long text is counted match by match, not as one list.
+                for term, k in (Counter(find(low)) if len(low) < LONG_TEXT else Counter(m[0] for m in each(low))).items():
                     if (i := at(term)) is None:
                         light[term] = had(term, 0) + (k << 32 | 1)
                     else:

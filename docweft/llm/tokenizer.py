@@ -44,6 +44,21 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+#: Longer texts are read in segments. No pre-token reaches over a blank that follows a character that is
+#: none, so a cut there changes nothing.
+LONG_TEXT = 1 << 20
+_CUT = regex.compile(r"\S(?=\s)")
+
+
+def _segments(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + LONG_TEXT - 1)
+        end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Transducer:
     """Encodes and decodes with the vocabulary `ranks` (token bytes to id, ids in order of merging)."""
 
@@ -178,6 +193,11 @@ class Transducer:
 
     def encoded(self, text: str) -> bytes:
         """Ids of `text`, as 32-bit integers."""
+        if len(text) > LONG_TEXT:
+            return b"".join(map(self._encoded, _segments(text)))
+        return self._encoded(text)
+
+    def _encoded(self, text: str) -> bytes:
         parts, get = self.find(text), self.memo.get
         try:
             return b"".join(map(get, parts))

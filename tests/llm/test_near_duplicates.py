@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from docweft.llm import near_duplicates as nd
+from docweft.llm.blocks import blocks
 
 SCHEMA = "tbl string, id bigint, content string"
 rng = random.Random(4)
@@ -84,5 +85,12 @@ def test_signatures_estimate_similarity():
     assert (alone == among).all()
 
 
+def test_blocks_change_no_signature(monkeypatch):
+    texts = [text(n).replace(" ", "") for n in (70, 900, 5000, 80)]
+    whole = nd.signatures(texts, 128)
+    monkeypatch.setattr(nd, "blocks", lambda t, overlap: blocks(t, 300, overlap))
+    assert (nd.signatures(texts, 128) == whole).all()
+
+
 def test_bands_catch_most_pairs_at_the_threshold():
     assert 1 - (1 - 0.65**nd.ROWS) ** nd.BANDS > 0.99

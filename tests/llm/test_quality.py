@@ -1,6 +1,7 @@
 import pytest
 
 from docweft.llm import quality as q
+from docweft.llm.blocks import blocks
 
 COMMON = ["the", "is", "다시", "있습니다"]
 SENTENCES = ["배수펌프를 다시 점검한 뒤 결과를 기록하고 있습니다.", "온수단말은 지하밸브를 연결한 뒤 따로 청소해 주세요."]
@@ -54,6 +55,13 @@ def test_statistics(spark):
     assert "symbol_ratio" in r.reasons
 
 
+def test_blocks_change_no_statistic(monkeypatch):
+    texts = ["가 나,다! " * 50, "", "x.y " * 300, None, "\n"]
+    whole = q._statistics(texts, frozenset())
+    monkeypatch.setattr(q, "blocks", lambda t: blocks(t, 64))
+    assert q._statistics(texts, frozenset()) == whole
+
+
 def test_table_of_all_cases(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "a", "x"), (3, "b" * 30000, "x"), (3, "b" * 30000, "x")], "id bigint, body string, kind string")
     got = q.text_quality(df, "id", "body", spark.createDataFrame([("the",), ("the",), (None,)], "word string")).collect()

@@ -36,6 +36,13 @@ def test_long_and_odd_texts(transducer, plain, text):
     assert transducer.encode(text) == plain.encode_ordinary(text)
 
 
+def test_segments_of_long_texts_change_nothing(transducer, plain, monkeypatch):
+    monkeypatch.setattr(tk, "LONG_TEXT", 7)
+    for text in ("Please have  the cold door\n\n measured before. " * 5, "가나다라마바사아자차카타파하 " * 4, "x" * 50, " " * 40 + "a b", "a\u3000b\xa0c " * 9, "it's  a 12345678 test\t\tof\r\n segments"):
+        assert "".join(tk._segments(text)) == text
+        assert transducer.encode(text) == plain.encode_ordinary(text)
+
+
 def test_forgetting_states_changes_nothing(data_bytes, plain):
     small = tk.Transducer(tk.read_ranks(data_bytes), max_states=40, max_memo=5)
     for text in ("배수패널에 점검 이력이 13건 남아 있어 오수센서는 연결할 수 없는 상태입니다. " * 3, "Please have the cold door measured before the reader is sealed."):

@@ -31,19 +31,27 @@ LONG_TEXT = 1 << 20
 
 
 def _heavy_terms(texts: DataFrame, pattern: str, rows: int, most: int) -> list[str]:
-    """The terms found in the most of the first `rows` records that the scan gives; ties go by term.
+    """The terms found in the most of at most `rows` first records that the scan gives; ties go by term.
 
-    take() reads only as many partitions as it needs; each record sends at most `most` distinct terms.
+    Records are counted where they are, in groups, and take() reads only as many partitions as it needs.
+    A group sends its most frequent terms, so what comes to the driver has a fixed bound.
     """
+    group = max(1, min(200, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                found = [list(dict.fromkeys(find(t.lower())))[:most] if t else [] for t in batch.column(0).slice(at, 200).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
-
-    df = Counter(t for r in texts.mapInArrow(run, "terms array<string>").take(rows) for t in r.terms)
+            for at in range(0, batch.num_rows, group):
+                df = Counter()
+                for text in batch.column(0).slice(at, group).to_pylist():
+                    if text:
+                        df.update(set(find(text.lower())))
+                top = [(t, n) for t, n in df.most_common(most) if n > 1 or group < 10]
+                yield pa.RecordBatch.from_arrays([pa.array([[t for t, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["terms", "counts"])
+
+    df = Counter()
+    for row in texts.mapInArrow(run, "terms array<string>, counts array<bigint>").take(max(1, rows // group)):
+        df.update(dict(zip(row.terms, row.counts, strict=True)))
     return [t for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
 
 

@@ -7,6 +7,7 @@ is a DataFrame unless said otherwise; bounds are those of the portal's requests.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,31 @@ def _within(n: int, low: int, high: int) -> int:
     return max(low, min(int(n), high))
 
 
+class GraphCache:
+    """A portal's graph, built again when its documents have changed.
+
+    Within `ttl` seconds nothing is looked at; after that fingerprints are compared, and a rebuild comes at the
+    earliest `cooldown` seconds after the last, also when it is asked for.
+    """
+
+    def __init__(self, portal: Portal, ttl: float = 600, cooldown: float = 30, clock=time.monotonic) -> None:
+        self.portal, self.ttl, self.cooldown, self.clock = portal, ttl, cooldown, clock
+        self.graph: gr.Graph | None = None
+        self.fingerprint, self.checked, self.built, self.builds = "", 0.0, 0.0, 0
+
+    def get(self, refresh: bool = False) -> gr.Graph:
+        now = self.clock()
+        if self.graph is not None and (now - self.built < self.cooldown or not refresh and now - self.checked < self.ttl):
+            return self.graph
+        fresh = Portal(self.portal.spark, self.portal.root, self.portal.settings, self.portal._as_of)
+        found = gr.fingerprint(fresh.docs.filter("deleted_at is null")).first().fingerprint
+        if self.graph is None or refresh or found != self.fingerprint:
+            self.graph, self.fingerprint, self.built = fresh.graph, found, now
+            self.builds += 1
+        self.checked = now
+        return self.graph
+
+
 class Portal:
     """Search, graph, tickets and index upkeep over the tables below `root`."""
 

@@ -91,6 +91,19 @@ def search(chunks: DataFrame, query: str, as_of: Column, top_k: int = 5, mode: s
     return fusion.ranked(ranked.withColumn("query_id", F.lit(0)), "score")
 
 
+def debug_candidates(found: DataFrame, n: int = 10) -> DataFrame:
+    """(list, place, chunk_id, title, matched_text, scores): the best `n` of search()'s rows by each of its lists, and in the end."""
+    text = F.substring(tx.collapsed(F.coalesce("body", F.lit(""))), 1, 700)
+    names = ("bm25", "ngram", "embedding", "field_boost", "exact_match_boost", "recency_boost", "final_score")
+    scores = F.create_map(*[x for c in names for x in (F.lit(c), F.round(c, 4))])
+    parts = []
+    for name, by in (("bm25", "bm25"), ("ngram", "ngram"), ("vector", "embedding"), ("final", "final_score")):
+        own = found if name == "final" else found.filter(F.array_contains("sources", name))
+        best = fusion.ranked(_best(own, by, n).withColumn("query_id", F.lit(0)).drop("rank"), by)
+        parts.append(best.select(F.lit(name).alias("list"), F.col("rank").alias("place"), "chunk_id", "title", text.alias("matched_text"), scores.alias("scores")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def documents(ranked: DataFrame, top_k: int) -> DataFrame:
     """Found chunks grouped to documents, each by its best chunk; the others follow in related."""
     return lexical.grouped_by_document(ranked.select("query_id", "chunk_id", "score", "rank"), ranked, top_k)

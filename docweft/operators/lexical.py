@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import plain
 from docweft.functions import text as tx
+from docweft.session import stage
 
 SEARCHED = ("title", "heading", "filename", "folder", "source", "body")
 #: What a term found in a field is worth.
@@ -38,7 +39,8 @@ class TermIndex:
 
     def __init__(self, chunks: DataFrame, key: str = "chunk_id", text: Column | None = None, tokens=tx.bm25_tokens) -> None:
         self.key = key
-        tokenised = chunks.select(F.col(key).alias("chunk_id"), tokens(searchable(*SEARCHED) if text is None else text).alias("tokens"))
+        # Staged, as postings, frequencies and totals all come from the tokens, which are costly to make.
+        tokenised = stage(chunks.select(F.col(key).alias("chunk_id"), tokens(searchable(*SEARCHED) if text is None else text).alias("tokens")), "tokens")
         self.lengths = tokenised.select("chunk_id", F.size("tokens").alias("dl"))
         self.postings = tokenised.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         self.totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

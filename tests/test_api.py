@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docweft.api import Portal
+from docweft.api import GraphCache, Portal
 from docweft.operators import vector
 
 
@@ -36,6 +36,19 @@ def test_graph(portal):
     assert portal.meta().first().documents > 0
 
 
+def test_graph_cache(portal):
+    now = [0.0]
+    cache = GraphCache(portal, ttl=100, cooldown=10, clock=lambda: now[0])
+    first = cache.get()
+    assert cache.get(refresh=True) is first
+    now[0] = 50.0
+    assert cache.get() is first
+    assert cache.get(refresh=True) is not first
+    now[0] = 500.0
+    assert cache.get() is cache.graph
+    assert cache.builds == 2
+
+
 def test_rebuild_twice(portal):
     run = portal.rebuilt_index()
     first = run.report.first()

@@ -88,6 +88,14 @@ def test_modes_and_sources(spark, chunks):
     assert hybrid.search(chunks, "도면", as_of(), 2, "bm25_only").orderBy("rank").first().score == 1.0
 
 
+def test_debug_candidates(spark, chunks):
+    near = spark.createDataFrame([("c3", 0.9)], "chunk_id string, similarity double")
+    rows = hybrid.debug_candidates(hybrid.search(chunks, "도면", as_of(), 6, vectors=near), 2).collect()
+    assert [r.chunk_id for r in rows if r.list == "vector"] == ["c3"]
+    assert [r.place for r in rows if r.list == "final"] == [1, 2]
+    assert next(r for r in rows if r.list == "bm25" and r.place == 1).scores["bm25"] == 1.0
+
+
 def test_stored_search_needs_lexical_evidence(spark, chunks):
     docs = spark.createDataFrame([(s, t, "x", b, None) for s, t, _, b in ROWS], "source string, title string, customer string, content string, deleted_at timestamp")
     near = spark.createDataFrame([("c0", 0.99), ("c4", 0.5)], "chunk_id string, similarity double")

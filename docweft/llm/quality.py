@@ -182,10 +182,10 @@ def line_kinds(text: str, common: frozenset[str]) -> tuple[list[int], int, int]:
 
 
 def kind_of(chars: list[int], entries: int, n_words: int, n_distinct: int) -> str:
-    """prose, list, table or junk from what line_kinds() found."""
+    """prose, list, table or junk from what line_kinds() found; blank without any non-blank character."""
     total = sum(chars)
     if not total:
-        return "junk"
+        return "blank"
     if chars[JUNK] > MOST * total or n_words >= 20 and n_distinct * 20 <= n_words and n_distinct <= 8:
         return "junk"
     if chars[TABLE] > MOST * total:
@@ -237,7 +237,8 @@ def text_quality(df: DataFrame, key: str, text: str, common_words: DataFrame | l
 
     Words are what blanks separate; mean_word_length is in characters; symbol_ratio is the share of non-blank
     characters that are no letters, digits or marks; line shares are of non-blank lines. kind is list, table or
-    junk when most non-blank characters stand in such lines, else prose, or short under 40 characters. reasons
+    junk when most non-blank characters stand in such lines, else prose; short under 40 characters, blank if all
+    are blanks. reasons
     names each failed rule. Null texts are as empty: zeros, kind short, reasons few_words and those of a
     missing share. Repeated rows and null keys come out as they are; other columns are ignored; texts are read whole.
     `common_words` is a list or a table with a column word of at most 100,000 rows (more is an error).

@@ -35,7 +35,7 @@ def kind(spark, text):
         ("짧은 글", "short"),
         ("", "short"),
         (None, "short"),
-        (" \n" * 50, "junk"),
+        (" \n" * 50, "blank"),
     ],
 )
 def test_kinds(spark, text, want):

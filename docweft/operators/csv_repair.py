@@ -169,7 +169,7 @@ def repair(record: str, width: int) -> tuple[list[str], list[str]]:
 
 def judge(record: str | None, names: list[str], checks: dict = CHECKS) -> tuple[list[str] | None, list[str], list[str]]:
     """(fields, reasons, edits) of one record; no fields and no reasons for a record of blank fields only."""
-    record = (record or "").removeprefix("﻿")
+    record = record or ""
     record = record[:-1] if record.endswith("\r") else record
     fields = fields_of(record)
     if fields is None:
@@ -188,8 +188,8 @@ def parse_records(df: DataFrame, key: str, record: str, columns: dict[str, str]
 
     Header rows are to be left out before. reasons is empty for valid records; fields is null for records
     that are null, empty or have blank fields only, which are neither valid nor wrong. Of broken records,
-    fields are those of the cheapest repair. A byte order mark and a carriage return at the end are not part
-    of a record. Records of any length are read whole; repeated rows come out repeated, null keys as null.
+    fields are those of the cheapest repair. A carriage return at the end is not part of a record; a byte
+    order mark is, as only headers may have one. Records of any length are read whole; repeated rows come out repeated, null keys as null.
     """
     names = list(columns)
     narrow = spread(df.select(df[key].alias("k"), df[record].alias("r")))

@@ -121,17 +121,19 @@ def folders_reordered(folders: DataFrame, names: Sequence[str]) -> DataFrame:
 def unique_names(rows: DataFrame, taken: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """`rows` with `name` made unique among themselves and `taken`: the second becomes stem_2, and so on.
 
-    Numbers go on after those that taken names of the same stem already have.
+    Numbers go on after those that any name of the same stem already has, so a made name meets no given one.
     """
     base = F.regexp_replace(name, r"\.[^./]*$", "")
     ending = F.regexp_extract(name, r"(\.[^./]*)$", 1)
-    used = taken.select(F.col(name).alias("_t"))
-    plain = F.regexp_replace("_t", r"_(\d+)(\.[^./]*)?$", "$2")
-    first = used.select(F.col("_t").alias(name), F.lit(1).alias("_n"))
-    numbered = used.filter(F.col("_t").rlike(r"_\d+(\.[^./]*)?$")).select(plain.alias(name), F.regexp_extract("_t", r"_(\d+)(\.[^./]*)?$", 1).cast("int").alias("_n"))
-    last = first.unionByName(numbered).groupBy(name).agg(F.max("_n").alias("_last"))
-    place = rows.join(last, name, "left").withColumn("_i", F.row_number().over(Window.partitionBy(name).orderBy(*order)) + F.coalesce("_last", F.lit(0)))
-    return place.withColumn(name, F.when(F.col("_i") > 1, F.concat(base, F.lit("_"), F.col("_i").cast("string"), ending)).otherwise(F.col(name))).select(*rows.columns)
+    held = taken.select(F.col(name).alias("_t"))
+    every = held.unionByName(rows.select(F.col(name).alias("_t"))).filter(F.col("_t").rlike(r"_\d+(\.[^./]*)?$"))
+    number = F.regexp_extract("_t", r"_(\d+)(\.[^./]*)?$", 1).try_cast("bigint")
+    last = every.select(F.regexp_replace("_t", r"_(\d+)(\.[^./]*)?$", "$2").alias(name), number.alias("_n")).groupBy(name).agg(F.max("_n").alias("_last"))
+    exact = held.distinct().select(F.col("_t").alias(name), F.lit(1).alias("_held"))
+    place = F.row_number().over(Window.partitionBy(name).orderBy(*order)) + F.coalesce("_held", F.lit(0))
+    placed = rows.join(last, name, "left").join(exact, name, "left").withColumn("_k", place)
+    made = F.concat(base, F.lit("_"), (F.greatest(F.coalesce("_last", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), ending)
+    return placed.withColumn(name, F.when(F.col("_k") > 1, made).otherwise(F.col(name))).select(*rows.columns)
 
 
 def changed(new: DataFrame, old: DataFrame, key: str = "chunk_id", digest: str = "body_hash", force: bool = False) -> DataFrame:

@@ -74,6 +74,8 @@ def test_names(spark):
     own = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "b.md"), (4, "c")], "id int, name string")
     taken = spark.createDataFrame([("b.md",), ("b_2.md",), ("c",)], "name string")
     assert rows(store.unique_names(own, taken, "name", ["id"])) == [(1, "a.md"), (2, "a_2.md"), (3, "b_3.md"), (4, "c_2")]
+    close = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "a_2.md"), (4, "a.md")], "id int, name string")
+    assert rows(store.unique_names(close, taken.limit(0), "name", ["id"])) == [(1, "a.md"), (2, "a_3.md"), (3, "a_2.md"), (4, "a_4.md")]
     assert rows(store.renamed_prefix(own.withColumn("name", F.concat(F.lit("x/"), "name")), "name", "x", "y").limit(1).select("name"))[0][0].startswith("y/")
 
 

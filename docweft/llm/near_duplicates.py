@@ -3,11 +3,14 @@
 1. Records with equal normalised text form a class; its record with the least id stands for it.
 2. One-permutation hashing gives each class one minimum per bin from a single hash of every shingle; an
    empty bin takes the value of a bin picked by a hash of its own place (optimal densification).
-3. Bands of bins make bucket keys. In a bucket each class is linked to the one with the least id only: a
-   star, so links are fewer than bucket rows however large a bucket is.
+3. Bands of bins make bucket keys. In a bucket of at most HOT classes each is linked to each; in a larger one
+   first to the one with the least id only: a star, so links are fewer than rows however large a bucket is.
 4. Links whose signatures are far apart are dropped by a small digest; the others are checked on their texts.
-5. Leaves of one star may be similar among themselves: links that share a class are closed to triangles and
-   checked on their texts too, until no new link appears.
+5. A leaf of a star that is not similar to the centre may be similar to other leaves. It is compared with those that
+   share one of its rarest shingles, which all texts of at least the threshold do (prefix filter), so that a form
+   letter's common part makes no candidates.
+6. Leaves that are similar to one centre may be similar among themselves: links that share a class are closed to
+   triangles and checked on their texts too, until no new link appears.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ MIN_CHARS = 60
 BANDS, ROWS = 32, 4
 #: The digest holds this many 4-bit values of the signature.
 DIGEST = 64
+#: In buckets of up to this many rows each is compared with each; beyond it by stars and rarest shingles.
+HOT = 128
+#: Rows and shingles of the sample that orders shingles by how common they are; it decides what is compared, never the result.
+SAMPLE, COMMON = 2000, 100_000
 #: Up to this many records with equal text come out as all their pairs; beyond it each with the first only.
 COPIES_AS_PAIRS = 64
 
@@ -140,6 +147,63 @@ def _norms(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "tbl string, id bigint, norm string")
 
 
+def _hashed(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, in order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(codes) - shingle + 1), np.uint64)
+    for j in range(shingle):
+        h = h * np.uint64(0x100000001B3) + codes[j : len(codes) - shingle + 1 + j]
+    return np.unique(_mixed(h * _G + _G).view(np.int64))
+
+
+def _common(norms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample share, ordered, and in how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_hashed(text), pa.int64())], ["g"])
+
+    sample = norms.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("norm")
+    seen = sample.mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = seen.orderBy(F.desc("n"), "g").limit(COMMON).collect()
+    rows.sort()
+    return np.array([r.g for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+
+
+def _prefixed(norms: DataFrame, threshold: float, shared: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(tbl, id, failed, g, at, size, early) of texts (tbl, id, failed, norm): their rarest shingles and the places of these.
+
+    Of two texts of at least `threshold`, the larger has their rarest common shingle among these, and the smaller as an early one.
+    """
+    known, often = shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                g = _hashed(text)
+                n = len(g)
+                place = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+                count = np.where(known[place] == g, often[place], 0) if len(known) else np.zeros(n, np.int64)
+                most = n - math.ceil(threshold * n - 1e-9) + 1
+                g = g[np.lexsort((g, count))][:most]
+                at = np.arange(len(g), dtype=np.int32)
+                early = at < n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+                one = batch.slice(i, 1).select([0, 1, 2])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(np.zeros(len(g), np.int64))) for c in one.columns), pa.array(g), pa.array(at), pa.array(np.full(len(g), n, np.int32)), pa.array(early)], ["tbl", "id", "failed", "g", "at", "size", "early"])
+
+    return norms.mapInArrow(run, "tbl string, id bigint, failed boolean, g bigint, at int, size int, early boolean")
+
+
+def _sharing(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Links (tbl, a, b) of prefixes, of which at least one has failed, that can reach the threshold after their first common shingle."""
+    x, y = prefixes.filter("early").alias("x"), prefixes.alias("y")
+    sizes = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
+    enough = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    on = (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.failed") | F.col("y.failed")) & sizes & enough
+    return x.join(y, on).select("x.tbl", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _alike(links: DataFrame, threshold: float) -> DataFrame:
     """Links (tbl, a, b, da, db) whose digests may belong to texts of at least `threshold`.
 
@@ -199,14 +263,33 @@ class NearDuplicates:
         # Two shuffles rather than one partitioning for both: the first adds up before it, and in the join
         # adaptive execution can split a bucket that holds a large part of all rows.
         buckets = signed.select("tbl", "id", F.explode("bands").alias("bucket"))
-        centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z")
-        stars = buckets.join(centres, "bucket").filter("id != a").select("tbl", "a", F.col("id").alias("b")).distinct()
-        digests = signed.select("tbl", "id", "digest").dropDuplicates(["tbl", "id"])
-        compared = stars.join(digests.select("tbl", F.col("id").alias("a"), F.col("digest").alias("da")), ["tbl", "a"]).join(digests.select("tbl", F.col("id").alias("b"), F.col("digest").alias("db")), ["tbl", "b"])
-        candidates = stage(_alike(compared, threshold), "candidates")
-        wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).distinct()
+        centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z")
+        shared = stage(buckets.join(centres, "bucket").select("tbl", "bucket", "a", "id", "n"), "shared")
+        small, hot = shared.filter(F.col("n") <= HOT), shared.filter((F.col("n") > HOT) & (F.col("id") != F.col("a"))).withColumnRenamed("id", "b")
+        among = small.alias("x").join(small.select("bucket", "id").alias("y"), "bucket").filter("x.id < y.id").select("tbl", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        self._digests = signed.select("tbl", "id", "digest").dropDuplicates(["tbl", "id"])
+        candidates = stage(self._near(among.union(hot.select("tbl", "a", "b")).distinct()), "candidates")
+        wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).union(hot.select("tbl", "b")).distinct()
         self.texts = stage(_norms(texts.join(wanted, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"])), "texts")
-        self._links = self._closed(stage(_checked(candidates, self.texts), "links"))
+        tested = stage(_checked(candidates, self.texts), "links")
+        if not hot.isEmpty():
+            rest = self._near(self._rest(hot, tested).join(tested, ["tbl", "a", "b"], "left_anti"))
+            tested = tested.unionByName(stage(_checked(rest, self.texts), "links"))
+        self._links = self._closed(tested)
+
+    def _near(self, links: DataFrame) -> DataFrame:
+        """Those of the links (tbl, a, b) whose digests are close."""
+        a, b = (self._digests.select("tbl", F.col("id").alias(c), F.col("digest").alias(f"d{c}")) for c in ("a", "b"))
+        return _alike(links.join(a, ["tbl", "a"]).join(b, ["tbl", "b"]), self.threshold)
+
+    def _rest(self, leaves: DataFrame, tested: DataFrame) -> DataFrame:
+        """(tbl, a, b): the links among leaves (tbl, bucket, a, b) that stars and triangles leave out, as an end has failed at its centre."""
+        found = tested.filter(F.col("sim") >= self.threshold).select("tbl", "a", "b", F.lit(False).alias("failed"))
+        judged = leaves.join(found, ["tbl", "a", "b"], "left").select("tbl", "bucket", F.col("b").alias("id"), F.coalesce("failed", F.lit(True)).alias("failed"))
+        open_ = judged.filter("failed").select("bucket").distinct()
+        ends = stage(judged.join(open_, "bucket", "left_semi").groupBy("tbl", "id").agg(F.max("failed").alias("failed")), "ends")
+        norms = self.texts.join(ends, ["tbl", "id"]).select("tbl", "id", "failed", "norm")
+        return _sharing(stage(_prefixed(norms, self.threshold, _common(norms)), "prefixes"), self.threshold)
 
     def _closed(self, tested: DataFrame) -> DataFrame:
         """All links of at least the threshold: those tested, and the triangles over them."""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from docweft.llm import near_duplicates as nd
 from docweft.llm.blocks import blocks
@@ -92,5 +93,30 @@ def test_blocks_change_no_signature(monkeypatch):
     assert (nd.signatures(texts, 128) == whole).all()
 
 
+@pytest.mark.parametrize("hot", [4, 10**6])
+def test_pairs_of_a_bucket_whose_centre_is_unlike_both(spark, monkeypatch, hot):
+    monkeypatch.setattr(nd, "HOT", hot)
+    letter = text(600).replace(" ", "")[:400]
+    rows = [("a", 0, letter + text(200).replace(" ", "")[:150])]
+    # The letter alone is a similarity just under the threshold; what a pair shares besides is in an earlier, unlike row too.
+    for i in range(20):
+        own, same = (text(400).replace(" ", "")[:250] for _ in range(2))
+        rows.append(("a", 10 + i, same[:60] + own[:20]))
+        rows += [("a", 100 + i, letter + same[:60] + own[20:110]), ("a", 200 + i, letter + same[:60] + own[110:200])]
+    want = brute(rows)
+    assert len(want) == 20
+    assert 0.5 < nd.jaccard(rows[0][2], rows[2][2]) < 0.6
+    found = nd.NearDuplicates(spark.createDataFrame(rows, SCHEMA), bands=64, rows=1)
+    assert {tuple(r) for r in found.pairs().collect()} == want
+
+
+def test_rarest_shingles_of_similar_texts_meet(spark):
+    base = text(500)
+    rows = [("a", i, nd.normalised(edited(base, 0.1 * (i % 6))[: 420 + 9 * i])) for i in range(40)]
+    norms = spark.createDataFrame([(t, i, True, n) for t, i, n in rows], "tbl string, id bigint, failed boolean, norm string")
+    links = nd._sharing(nd._prefixed(norms, 0.6, nd._common(norms)), 0.6)
+    assert {tuple(r) for r in links.collect()} >= brute(rows)
+
+
 def test_bands_catch_most_pairs_at_the_threshold():
     assert 1 - (1 - 0.65**nd.ROWS) ** nd.BANDS > 0.99

@@ -19,10 +19,11 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm.blocks import blocks
@@ -40,7 +41,7 @@ DIGEST = 64
 HOT = 128
 #: Rows and shingles of the sample that orders shingles by how common they are; it decides what is compared, never the result.
 SAMPLE, COMMON = 2000, 100_000
-#: Up to this many records with equal text come out as all their pairs; beyond it each with the first only.
+#: Up to this many records of one content come out with all their pairs; beyond it each with the first only.
 COPIES_AS_PAIRS = 64
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +108,7 @@ def normalised(text: str) -> str:
 
 
 def _signed(texts: DataFrame, bands: int, rows: int, min_chars: int) -> DataFrame:
-    """(tbl, id, h, digest, bands) of records (tbl, id, content) that are long enough; h is the normalised text's hash."""
+    """(tbl, id, h, c, digest, bands) of records (tbl, id, content) that are long enough; h and c are hashes of the normalised text and the content."""
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +132,11 @@ def _signed(texts: DataFrame, bands: int, rows: int, min_chars: int) -> DataFram
                     small = small[:, :-1]
                 packed = small[:, ::2] << 4 | small[:, 1::2]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                contents = pa.array([hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in part.column(2).to_pylist()], pa.binary())
                 hashes = pa.array([hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in norms], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), hashes, pa.array([x.tobytes() for x in packed], pa.binary()), lists], ["tbl", "id", "h", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), hashes, contents, pa.array([x.tobytes() for x in packed], pa.binary()), lists], ["tbl", "id", "h", "c", "digest", "bands"])
 
-    return texts.mapInArrow(run, "tbl string, id bigint, h binary, digest binary, bands array<bigint>")
+    return texts.mapInArrow(run, "tbl string, id bigint, h binary, c binary, digest binary, bands array<bigint>")
 
 
 def _norms(texts: DataFrame) -> DataFrame:
@@ -224,12 +226,23 @@ def _alike(links: DataFrame, threshold: float) -> DataFrame:
     return links.select("tbl", "a", "b", "da", "db").mapInArrow(run, "tbl string, a bigint, b bigint")
 
 
-def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """(tbl, a, b, sim) of links (tbl, a, b) with the similarity of their texts (tbl, id, norm)."""
+def _checked(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(tbl, a, b, sim) of links (tbl, a, b) with the similarity of their texts (tbl, id, norm).
+
+    Hashes of the shingles, which are quicker, tell those far below `threshold`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [jaccard(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            sims, last, g = [], None, None
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if y != last:
+                    last, g = y, _hashed(y)
+                h = _hashed(x)
+                every = np.sort(np.concatenate([g, h]), kind="stable")
+                both = int((every[1:] == every[:-1]).sum())
+                sim = both / max(1, len(every) - both)
+                sims.append(sim if sim < threshold - 0.01 else jaccard(x, y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sims, pa.float64())], ["tbl", "a", "b", "sim"])
 
     left = texts.select("tbl", F.col("id").alias("a"), F.col("norm").alias("x"))
@@ -238,6 +251,18 @@ def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("tbl", "a", "b", "x", "y").mapInArrow(run, "tbl string, a bigint, b bigint, sim double")
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of fewer rows, as rows hold two texts; both sides of a Python worker keep a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class NearDuplicates:
     """The near-duplicate classes and links of the records (tbl, id, content) of `records`.
 
@@ -251,13 +276,21 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS) -> None:
         self.threshold = threshold
+        with _short_batches(records.sparkSession):
+            self._find(records, min_chars, bands, rows)
+
+    def _find(self, records: DataFrame, min_chars: int, bands: int, rows: int) -> None:
         # No text is shorter than its normalised form, so what is too short is dropped before Python sees it.
         texts = records.filter("content is not null and id is not null").filter(F.length("content") >= min_chars).select("tbl", F.col("id").cast("bigint").alias("id"), "content")
         every = stage(_signed(texts, bands, rows, min_chars), "signed")
-        ids = every.select("tbl", "id", "h").distinct()
-        firsts = ids.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-        #: (tbl, rep, id, copies) of each record that is not its class's first.
-        self.copies = stage(ids.join(firsts, ["tbl", "h"]).filter("id != rep").select("tbl", "rep", "id", "copies"), "copies")
+        ids = every.groupBy("tbl", "id", "h").agg(F.min("c").alias("c"))
+        firsts = ids.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+        several = ids.join(firsts, ["tbl", "h"])
+        contents = several.groupBy("tbl", "h", "c").agg(F.min("id").alias("first"), F.count("*").alias("same"))
+        #: (tbl, rep, id, first, same) of each record of a class of several: the first of the class, and of those with its very content, and their number.
+        self.members = stage(several.join(contents, ["tbl", "h", "c"]).select("tbl", "rep", "id", "first", "same"), "members")
+        #: (tbl, rep, id) of each record that is not its class's first.
+        self.copies = self.members.filter("id != rep").select("tbl", "rep", "id")
         self.ids = ids
         signed = every.join(self.copies.select("tbl", "id"), ["tbl", "id"], "left_anti")
         # Two shuffles rather than one partitioning for both: the first adds up before it, and in the join
@@ -271,10 +304,10 @@ class NearDuplicates:
         candidates = stage(self._near(among.union(hot.select("tbl", "a", "b")).distinct()), "candidates")
         wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).union(hot.select("tbl", "b")).distinct()
         self.texts = stage(_norms(texts.join(wanted, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"])), "texts")
-        tested = stage(_checked(candidates, self.texts), "links")
+        tested = stage(_checked(candidates, self.texts, self.threshold), "links")
         if not hot.isEmpty():
             rest = self._near(self._rest(hot, tested).join(tested, ["tbl", "a", "b"], "left_anti"))
-            tested = tested.unionByName(stage(_checked(rest, self.texts), "links"))
+            tested = tested.unionByName(stage(_checked(rest, self.texts, self.threshold), "links"))
         self._links = self._closed(tested)
 
     def _near(self, links: DataFrame) -> DataFrame:
@@ -298,7 +331,7 @@ class NearDuplicates:
             ends = found.select("tbl", F.col("a").alias("mid"), F.col("b").alias("end")).union(found.select("tbl", F.col("b"), F.col("a")))
             other = ends.withColumnRenamed("end", "b")
             open_ = ends.withColumnRenamed("end", "a").join(other, ["tbl", "mid"]).filter("a < b").select("tbl", "a", "b").distinct().join(tested.select("tbl", "a", "b"), ["tbl", "a", "b"], "left_anti")
-            more = stage(_checked(open_, self.texts), "triangles")
+            more = stage(_checked(open_, self.texts, self.threshold), "triangles")
             if more.isEmpty():
                 return found
             tested = tested.unionByName(more)
@@ -310,15 +343,15 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(tbl, id_a, id_b), id_a < id_b: all pairs of similar records.
 
-        Copies of one text stand in for each other, as long as there are at most COPIES_AS_PAIRS of them;
-        of larger groups only the first record has links, and each other record is paired with the first.
+        All records of a class have its links, and are paired among themselves. Only of more than COPIES_AS_PAIRS
+        records with the very same content the first alone does so, and each other one is paired with it.
         """
-        small = self.copies.filter(F.col("copies") <= COPIES_AS_PAIRS).select("tbl", "rep", "id")
+        small = self.members.filter((F.col("same") <= COPIES_AS_PAIRS) | (F.col("id") == F.col("first"))).select("tbl", "rep", "id")
         links = self._links.select("tbl", "a", "b")
         reps = links.select("tbl", F.col("a").alias("rep")).union(links.select("tbl", "b")).distinct()
-        members = small.union(reps.select("tbl", "rep", F.col("rep").alias("id")))
+        members = small.union(reps.select("tbl", "rep", F.col("rep").alias("id"))).distinct()
         across = links.join(members.select("tbl", F.col("rep").alias("a"), F.col("id").alias("x")), ["tbl", "a"]).join(members.select("tbl", F.col("rep").alias("b"), F.col("id").alias("y")), ["tbl", "b"])
-        star = self.copies.select("tbl", F.col("rep").alias("x"), F.col("id").alias("y"))
+        star = self.members.filter("id != first").select("tbl", F.col("first").alias("x"), F.col("id").alias("y"))
         among = small.alias("s").join(small.alias("t"), ["tbl", "rep"]).filter("s.id < t.id").select("tbl", F.col("s.id").alias("x"), F.col("t.id").alias("y"))
         every = across.select("tbl", "x", "y").union(star).union(among)
         return every.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()

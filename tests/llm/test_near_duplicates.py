@@ -63,6 +63,14 @@ def test_a_large_group_of_copies_is_a_star(spark):
     assert got == {(0, i) for i in range(1, 300)} | {(0, 1000)}
 
 
+def test_contents_of_a_large_class_that_differ_keep_their_links(spark):
+    base = text(200).replace(" ", "")
+    rows = [("a", i, base[:100] + " " * i + base[100:]) for i in range(70)] + [("a", 70 + i, base + "!") for i in range(70)] + [("a", 1000, base[:100] + "새말" + base[100:])]
+    got = {(r.id_a, r.id_b) for r in nd.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).pairs().collect()}
+    one = [*range(71), 1000]
+    assert got == {(x, y) for x in one for y in one if x < y} | {(70, i) for i in range(71, 140)}
+
+
 def test_a_chain_is_one_group(spark):
     pieces = [text(120) for _ in range(14)]
     rows = [("a", 50 - i, " ".join(pieces[i : i + 5])) for i in range(10)]

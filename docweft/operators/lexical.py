@@ -134,6 +134,19 @@ def ngram_scores(features: DataFrame, query: str) -> DataFrame:
     return features.select("chunk_id", (both / (F.col("n_grams") + len(grams) - both)).alias("score"))
 
 
+def ngram_scores_of(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): ngram_scores() of many queries (query_id, query), by a join on their grams.
+
+    Chunks that share no gram with a query, whose score is 0, are left out.
+    """
+    sets = lambda df, name, text, n: df.select(F.col(name), tx.ngram_set(text).alias("own")).select(name, F.size("own").alias(n), F.explode("own").alias("g"))
+    asked = sets(queries, "query_id", F.col("query"), "m")
+    body = searchable(*SEARCHED) if text is None else text
+    own = sets(chunks.withColumn("chunk_id", F.col(key)), "chunk_id", body, "n")
+    both = own.join(asked, "g").groupBy("query_id", "chunk_id").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return both.select("query_id", "chunk_id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score"))
+
+
 def field_scores(chunks: DataFrame, terms: list[str], weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
     """`chunks` with match_score, of those with a term in any field: the sum of the weights of fields per term.
 
@@ -148,6 +161,29 @@ def field_scores(chunks: DataFrame, terms: list[str], weights: dict[str, int] =
     return chunks.withColumn("match_score", total).filter("match_score > 0")
 
 
+def field_scores_of(chunks: DataFrame, queries: DataFrame, weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
+    """(query_id, chunk_id, match_score): field_scores() of many queries (query_id, query).
+
+    A term can only be where its first two characters are, so these are joined before fields are looked through.
+    """
+    if "normalized_body" not in chunks.columns:
+        chunks = chunks.withColumn("normalized_body", tx.normalized(F.col("body")))
+    asked = stage(queries.select("query_id", F.explode(tx.search_terms(F.col("query"))).alias("term")).distinct(), "terms")
+    lower = stage(chunks.select("chunk_id", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in weights]), "fields")
+    begun = asked.select("term", F.substring("term", 1, 2).alias("begin")).distinct()
+    near = lower.select("chunk_id", F.explode(tx.pieces(F.concat_ws("\n", *weights))).alias("begin")).join(begun, "begin").select("chunk_id", "term")
+    total = reduce(lambda a, c: a + c, [F.when(F.contains(f, "term"), w).otherwise(0) for f, w in weights.items()])
+    hits = near.join(lower, "chunk_id").select("chunk_id", "term", total.alias("worth")).filter("worth > 0")
+    return hits.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("worth").alias("match_score"))
+
+
+def best_fields_of(scored: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """best_fields() of each query of field_scores_of(), with rank."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("match_score"), F.desc_nulls_last("updated_at"), "source", "chunk_id")
+    rows = scored.join(chunks.select("chunk_id", "updated_at", "source"), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, min(limit, 200)))
+
+
 def best_fields(scored: DataFrame, limit: int) -> DataFrame:
     """The first `limit` (1 to 200) rows by match_score, then latest, source and chunk."""
     return scored.orderBy(F.desc("match_score"), F.desc_nulls_last("updated_at"), "source", "chunk_id").limit(max(1, min(limit, 200)))

@@ -67,6 +67,27 @@ def weighted_fields_v2(spark: SparkSession, root: str) -> DataFrame:
     return lexical.best_fields(scored, 50).select("chunk_id", F.col("match_score").cast("bigint").alias("match_score"))
 
 
+def ngram_jaccard_titles(spark: SparkSession, root: str) -> DataFrame:
+    """ngram_jaccard_topk of many."""
+    return _rounded(lexical.top_k(lexical.ngram_scores_of(chunk_table(spark, root), title_queries(spark, root)), 20))
+
+
+def _weighted_titles(spark: SparkSession, root: str, weights: dict[str, int]) -> DataFrame:
+    live = chunk_table(spark, root).join(live_docs(spark, root).select("source"), "source", "left_semi")
+    best = lexical.best_fields_of(lexical.field_scores_of(live, title_queries(spark, root), weights), live, 50)
+    return best.select("query_id", "chunk_id", F.col("match_score").cast("bigint").alias("match_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def weighted_fields_titles(spark: SparkSession, root: str) -> DataFrame:
+    """weighted_fields of many."""
+    return _weighted_titles(spark, root, lexical.FIELD_WEIGHTS)
+
+
+def weighted_fields_v2_titles(spark: SparkSession, root: str) -> DataFrame:
+    """weighted_fields_v2 of many."""
+    return _weighted_titles(spark, root, lexical.FIELD_WEIGHTS_V2)
+
+
 def document_scores(spark: SparkSession, root: str) -> DataFrame:
     docs = spread(live_docs(spark, root).select("source", "title", "customer", "content"))
     return lexical.document_scores(docs, QUERY).filter("score > 0").select("source", "score")
@@ -177,7 +198,7 @@ def answer_chunks(spark: SparkSession, root: str) -> DataFrame:
     return hybrid.for_answer(found).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, weighted_fields, weighted_fields_v2, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, hybrid_hash_vectors, stored_search, v2_blend, rrf_fusion, candidate_provenance, snippet_cards, context_budget, answer_chunks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, hybrid_hash_vectors, stored_search, v2_blend, rrf_fusion, candidate_provenance, snippet_cards, context_budget, answer_chunks)}
 
 _ASKED = "asked as (select idx as query_id, min(title) as query from maintenance_requests where idx % 20 = 0 and title is not null group by idx)"
 
@@ -218,6 +239,16 @@ def _weighted(weights: dict[str, int]) -> str:
     return f"select chunk_id, cast(match_score as bigint) as match_score from (select chunk_id, source, try_cast(updated_at as timestamptz) as u, {_fields(weights)} as match_score from chunks where source in (select source from maintenance_docs where deleted_at is null)) where match_score > 0 order by match_score desc, u desc nulls last, source, chunk_id limit 50"
 
 
+def _weighted_many(weights: dict[str, int]) -> str:
+    terms = f"list_distinct(list_filter(list_transform({sql.words('query')}, lambda w: {sql.without_particle('w')}), lambda t: (length(t) >= 2 or regexp_full_match(t, '[0-9]+')) and t not in ({', '.join(map(sql.lit, tx.SEARCH_STOPWORDS))})))"
+    worth = " + ".join(f"case when contains({'nb' if f == 'normalized_body' else f'lower(coalesce({f}, $$$$))'}, term) then {w} else 0 end" for f, w in weights.items())
+    return f"""with {_ASKED}, q as (select query_id, unnest({terms}) as term from asked), t as (select distinct term from q),
+c as materialized (select *, {sql.normalized("body")} as nb, try_cast(updated_at as timestamptz) as u from chunks where source in (select source from maintenance_docs where deleted_at is null)),
+h as (select chunk_id, source, u, term, {worth} as worth from c, t),
+s as (select query_id, chunk_id, any_value(source) as source, any_value(u) as u, sum(worth) as match_score from q join h using (term) where worth > 0 group by all)
+select query_id, chunk_id, cast(match_score as bigint) as match_score, row_number() over (partition by query_id order by match_score desc, u desc nulls last, source, chunk_id) as rank from s qualify rank <= 50"""
+
+
 _FORM = {f: sql.normalized(f) for f in ("title", "filename", "folder", "heading", "body")}
 _CFG = DEFAULTS["search"]
 
@@ -264,6 +295,12 @@ SQL = {
 d as (select query_id, document_id, arg_min(chunk_id, rank) as chunk_id, round(arg_min(score, rank), 4) as score, min(rank) as first_rank, list(chunk_id order by rank) as l from k group by all)
 select query_id, document_id, chunk_id, score, row_number() over (partition by query_id order by first_rank) as rank, array_to_string(l[2:], ',') as related from d qualify rank <= 5""",
     "ngram_jaccard_topk": f"select chunk_id, round(ngram, 6) as score from {_jaccard(_GRAMS, sql.SEARCHED)} order by round(ngram, 9) desc, chunk_id limit 20",
+    "ngram_jaccard_titles": f"""with {_ASKED}, c as (select chunk_id, len(own) as n, unnest(own) as g from {sql.ngram_sets(sql.SEARCHED)}),
+q as (select chunk_id as query_id, len(own) as m, unnest(own) as g from {sql.ngram_sets("query", "(select query_id as chunk_id, query from asked)")}),
+s as (select query_id, chunk_id, count(*) / (any_value(n) + any_value(m) - count(*)) as score from q join c using (g) group by query_id, chunk_id)
+select query_id, chunk_id, round(score, 6) as score, rank from {_top("s", 20)}""",
+    "weighted_fields_titles": _weighted_many(lexical.FIELD_WEIGHTS),
+    "weighted_fields_v2_titles": _weighted_many(lexical.FIELD_WEIGHTS_V2),
     "weighted_fields": _weighted(lexical.FIELD_WEIGHTS),
     "weighted_fields_v2": _weighted(lexical.FIELD_WEIGHTS_V2),
     "document_scores": f"""with {sql.LIVE}, x as (select *, {_FLAT} as flat from live where content is not null),

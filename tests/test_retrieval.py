@@ -78,6 +78,16 @@ def test_ngram_scores_equal_sets(chunks):
     assert {r.score for r in lexical.ngram_scores(lexical.ngram_features(chunks), "!").collect()} == {0.0}
 
 
+def test_scores_of_many_queries_equal_those_of_each(spark, chunks):
+    queries = ["엘베 고장 CAD", "점검 도면 9", "!", "as 처리내역을", "누수"]
+    asked = lexical.query_frame(spark, *queries)
+    many = {(r.query_id, r.chunk_id): r.score for r in lexical.ngram_scores_of(chunks, asked).collect()}
+    fields = {(r.query_id, r.chunk_id): r.match_score for r in lexical.field_scores_of(chunks, asked).collect()}
+    features = lexical.ngram_features(chunks)
+    assert many == pytest.approx({(i, r.chunk_id): r.score for i, q in enumerate(queries) for r in lexical.ngram_scores(features, q).collect() if r.score})
+    assert fields == {(i, r.chunk_id): r.match_score for i, q in enumerate(queries) for r in lexical.field_scores(chunks, plain.search_terms(q)).collect()}
+
+
 def test_modes_and_sources(spark, chunks):
     near = spark.createDataFrame([("c3", 0.9), ("c1", 0.2)], "chunk_id string, similarity double")
     only = hybrid.search(chunks, "도면", as_of(), 5, "vector_only", vectors=near).orderBy("rank").collect()

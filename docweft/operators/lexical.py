@@ -171,9 +171,11 @@ def field_scores_of(chunks: DataFrame, queries: DataFrame, weights: dict[str, in
     asked = stage(queries.select("query_id", F.explode(tx.search_terms(F.col("query"))).alias("term")).distinct(), "terms")
     lower = stage(chunks.select("chunk_id", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in weights]), "fields")
     begun = asked.select("term", F.substring("term", 1, 2).alias("begin")).distinct()
-    near = lower.select("chunk_id", F.explode(tx.pieces(F.concat_ws("\n", *weights))).alias("begin")).join(begun, "begin").select("chunk_id", "term")
-    total = reduce(lambda a, c: a + c, [F.when(F.contains(f, "term"), w).otherwise(0) for f, w in weights.items()])
-    hits = near.join(lower, "chunk_id").select("chunk_id", "term", total.alias("worth")).filter("worth > 0")
+    near = lower.select("chunk_id", F.explode(tx.pieces(F.concat_ws("\n", *weights))).alias("begin")).join(begun, "begin").groupBy("chunk_id").agg(F.collect_list("term").alias("terms"))
+    total = lambda t: reduce(lambda a, c: a + c, [F.when(F.contains(F.col(f), t), w).otherwise(0) for f, w in weights.items()])
+    # Texts meet the terms of their chunk in one row, so that they are not shuffled once for each.
+    worth = F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), total(t).alias("worth"))), lambda x: x["worth"] > 0)
+    hits = near.join(lower, "chunk_id").select("chunk_id", F.inline(worth))
     return hits.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("worth").alias("match_score"))
 
 

@@ -12,10 +12,25 @@ marked as (select term, occurrences, doc_freq, n_docs,
 _ITEMS = """select distinct 'maintenance_docs' as tbl, source as item_id from maintenance_docs where length(content) > 1200
 union all select distinct 'chunks', chunk_id from chunks where length(body) > 1200"""
 
+# The statistics of texts. W are blanks and B line breaks, as classes of the regular expressions.
+_W = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STATISTICS = rf"""with t as (select row_number() over () as i, doc_id, length(coalesce(text, '')) as n_chars, nfc_normalize(coalesce(text, '')) as x from documents),
+words as (select i, w from (select i, unnest(string_split_regex(x, '[{_W}]+')) as w from t) where w <> ''),
+by_word as (select i, count(*) as n_words, sum(length(w)) as solid, sum(length(regexp_replace(w, '[\p{{L}}\p{{N}}\p{{M}}\p{{Cf}}]', '', 'g'))) as symbols,
+  count(*) filter (regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}\p{{M}}\p{{Cf}}]+|[^\p{{L}}\p{{N}}\p{{M}}\p{{Cf}}]+$', '', 'g') in (select lower(word) from common_words)) as hits from words group by i),
+lines as (select i, trim(regexp_replace(unnest(string_split_regex(x, '\r\n|[\n\x0b\f\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')), '[{_W}]+', ' ', 'g'), ' ') as line from t),
+by_line as (select i, count(*) as n_lines, count(distinct line) as lone, count(*) filter (regexp_matches(line, '[.!?。！？…:;]["''”’)\] ]*$')) as punctuated,
+  count(*) filter (regexp_matches(line, '^(?:(?:[-*+•‣▪▫◦○●■□▶➤·–—※☐☑✓✔o]|\(?(?:[0-9]{{1,4}}|[\p{{L}}\p{{N}}\p{{M}}\p{{Cf}}])[.)\]]|\[[^ ]?|\[[^ ]\]) |[\x{{2460}}-\x{{24ff}}\x{{3260}}-\x{{327f}}])')) as bullets
+  from lines where line <> '' group by i)
+select doc_id, n_chars, coalesce(n_lines, 0) as n_lines, coalesce(n_words, 0) as n_words, coalesce(solid / n_words, 0) as mean_word_length, coalesce(symbols / solid, 0) as symbol_ratio, coalesce(punctuated / n_lines, 0) as punctuation_line_share,
+  coalesce(bullets / n_lines, 0) as bullet_line_share, coalesce(hits / n_words, 0) as common_word_share, coalesce(1 - lone / n_lines, 0) as repeated_line_share
+from t left join by_word using (i) left join by_line using (i)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _TERMS + "select term, mark from marked where mark is not null",
         "p1_counts": _TERMS + "select term, occurrences, doc_freq, n_docs, mark from marked",
         "p5_found": _ITEMS,
+        "p8_statistics": _STATISTICS,
     }

@@ -79,9 +79,14 @@ def p8_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.text_quality(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "common_words"))
 
 
+def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
+    names = "n_chars n_lines n_words mean_word_length symbol_ratio punctuation_line_share bullet_line_share common_word_share repeated_line_share".split()
+    return p8_quality(spark, root).select("doc_id", *names)
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return quality.unfit(p8_quality(spark, root), "doc_id")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p4_found, p4_masked, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_quality)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p4_found, p4_masked, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_quality, p8_statistics)}

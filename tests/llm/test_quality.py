@@ -1,7 +1,6 @@
 import pytest
 
 from docweft.llm import quality as q
-from docweft.llm.blocks import blocks
 
 COMMON = ["the", "is", "다시", "있습니다"]
 SENTENCES = ["배수펌프를 다시 점검한 뒤 결과를 기록하고 있습니다.", "온수단말은 지하밸브를 연결한 뒤 따로 청소해 주세요."]
@@ -32,6 +31,10 @@ def kind(spark, text):
         ("%EB%B0%B0%EC%88%98%ED%8C%A8%EB%84%90" * 4, "junk"),
         ("7/@A!@(~:A</^^;{=0>\\:?(`~; */<^>?|$|:>$\\};+{]]#!\n?}})x>x{/}!^~]0f;&?%+=`{f[{$|7{&&?%0|=", "junk"),
         ("6jmsZGbwH5/yu5cG23NaLkQ0NJkkcwFwps7cIuq+c0PQ62FkFULElOaxFTSMBOP0usj87lhG4oyQ\nNhqLdlOpN192uuvdL6s7IrVx5", "junk"),
+        ("\n".join(f"{16 * i:08x}  {' '.join(f'{(37 * j + 91 * i) % 256:02x}' for j in range(16))}" for i in range(8)), "junk"),
+        ("sqzjlzd cljllqzhzx sacfeczqcdhce ffkw fgdawqkhwqjs qeszgadczg jfsqdck glxgejw", "junk"),
+        ("\n".join(f"    o  밸브  {i}개" for i in range(12)), "list"),
+        ("12 40 55 61\n" * 2 + "\n".join(f"{i}  {i * 7}  {i * 91}   ab" for i in range(10, 30)), "table"),
         ("짧은 글", "short"),
         ("", "short"),
         (None, "short"),
@@ -55,11 +58,21 @@ def test_statistics(spark):
     assert "symbol_ratio" in r.reasons
 
 
-def test_blocks_change_no_statistic(monkeypatch):
-    texts = ["가 나,다! " * 50, "", "x.y " * 300, None, "\n"]
-    whole = q._statistics(texts, frozenset())
-    monkeypatch.setattr(q, "blocks", lambda t: blocks(t, 64))
-    assert q._statistics(texts, frozenset()) == whole
+def test_size_of_blocks_changes_no_statistic(monkeypatch):
+    texts = ["가 나,다! \n" * 50, "", "x.y " * 300, None, "\n", "- 밸브 3개\n- 모터 4개\n\n" * 40, "a\r\nb\x85c"]
+    whole = {k: list(v) for k, v in q._statistics(texts, frozenset({"가"})).items()}
+    monkeypatch.setattr(q, "BLOCK", 64)
+    assert {k: list(v) for k, v in q._statistics(texts, frozenset({"가"})).items()} == whole
+
+
+def test_kinds_follow_from_the_reasons():
+    texts = ["=" * 60, "견적모듈\n" * 30, "하나 " * 60, "a|b|c\n" * 12 + "d|e|f\n" * 12, "\n".join(f"* 밸브 {i}개" for i in range(12)), "The pump is dry. " * 4]
+    found = q._statistics(texts, frozenset(COMMON))
+    for kind, reasons in zip(found["kind"], found["reasons"], strict=True):
+        named = [q.RULES[r][1] for r in q.RULES if r in reasons]
+        assert kind == (named[0] if named else "prose")
+    assert list(found["kind"]) == ["junk", "junk", "junk", "table", "list", "prose"]
+    assert "few_words" in found["reasons"][5]
 
 
 def test_table_of_all_cases(spark):

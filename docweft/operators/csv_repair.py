@@ -1,10 +1,11 @@
 """Parsing of CSV records that may be broken: valid ones come out typed, others with their reasons.
 
 Minimum-cost error parse: a record is read by the automaton of quoted and bare fields, which may insert or
-delete quotes and delimiters at a cost of one each. A dynamic program over (token, automaton state, fields
-so far) finds the cheapest way to a record of the right width. Records that parse at no cost and whose
-checked columns are valid load; for all others the edits say what is wrong. Records that a single pattern
-match finds to be well-formed skip the program, whose answer for them is known to be no edit.
+delete quotes and delimiters. A dynamic program over (token, automaton state, fields so far) finds the cheapest
+way to a record of the right width, for many records side by side. Records that parse at no cost and whose checked
+columns are valid load; of all others the edits state the reason: those of quotes that the quoting is broken, those
+of delimiters alone that the number of fields is wrong. Records that a pattern proves to be well-formed and of the
+right width skip the program, whose answer for them is known to be no edit.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ TICKET_COLUMNS = {
     "is_urgent": "boolean", "issues": "string", "report_title": "string", "progress_rate": "decimal(6,2)", "progress_status": "string", "notes": "string", "created_at": "timestamp", "updated_at": "timestamp",
 }
 
-_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
-_WHOLE = re.compile(rf"{_FIELD}(?:,{_FIELD})*\Z")
-_EACH = re.compile(rf"({_FIELD})(?:,|\Z)")
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+_WHOLE = re.compile(rf"(?:{_FIELD},)*+\Z")
+_EACH = re.compile(rf"({_FIELD}),")
 _TOKENS = re.compile(r'[^",]+|"|,')
 
 _ID = re.compile(r"[0-9]+\Z")
@@ -44,7 +45,12 @@ _MOMENT = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2})
 
 # Automaton states: before a field, in a bare field, in a quoted field, after a quote in a quoted field.
 _START, _BARE, _QUOTED, _QUOTE = range(4)
-_FAR = 1 << 28
+_TEXT, _MARK, _COMMA, _END = range(4)
+_KIND = {'"': _MARK, ",": _COMMA}
+#: An edit of a delimiter costs one, one of a quote more than all those of delimiters.
+_FAR, _DEAR = 1 << 50, 1 << 24
+#: Records that the program reads side by side.
+GROUP = 128
 
 
 def _day(text: str) -> dt.date | None:
@@ -69,118 +75,184 @@ CHECKS = {
 
 def fields_of(record: str) -> list[str] | None:
     """The fields of a well-formed record without their quotes; None if its quoting is broken."""
+    if '"' not in record:
+        return record.split(",")
+    record += ","
     if not _WHOLE.match(record):
         return None
-    out, at = [], 0
+    return [x[1:-1].replace('""', '"') if x[:1] == '"' else x for x in _EACH.findall(record)]
+
+
+def _closed(cost: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Costs after any insertions: quotes change the state, delimiters also the number of fields.
+
+    A delimiter is not put where it would make up for a quote out of place: between a quoted field's end and
+    further text, or between bare text and a quote. `ahead` is the kind of each record's next token.
+    """
+    after_bare = np.where(ahead == _MARK, _FAR, 1)[:, None]
+    after_quote = np.where((ahead == _COMMA) | (ahead == _END), 1, _FAR)[:, None]
+    step = np.arange(cost.shape[2])
     while True:
-        found = _EACH.match(record, at)
-        raw = found[1]
-        out.append(raw[1:-1].replace('""', '"') if raw[:1] == '"' else raw)
-        at = found.end()
-        if at >= len(record) and record[at - 1 : at] != "," or at == 0:
-            return out
-        if at >= len(record):
-            return [*out, ""]
-
-
-def _closed(cost: np.ndarray) -> np.ndarray:
-    """Costs after any insertions: quotes change the state, delimiters also the number of fields."""
-    for _ in range(3):
         before = cost.copy()
-        np.minimum(cost[_QUOTED], cost[_START] + 1, out=cost[_QUOTED])
-        np.minimum(cost[_QUOTE], cost[_QUOTED] + 1, out=cost[_QUOTE])
-        np.minimum(cost[_QUOTED], cost[_QUOTE] + 1, out=cost[_QUOTED])
-        for state in (_BARE, _QUOTE):
-            np.minimum(cost[_START, 1:], cost[state, :-1] + 1, out=cost[_START, 1:])
-        step = np.arange(cost.shape[1], dtype=cost.dtype)
-        cost[_START] = np.minimum.accumulate(cost[_START] - step) + step
+        np.minimum(cost[:, _QUOTED], cost[:, _START] + _DEAR, out=cost[:, _QUOTED])
+        np.minimum(cost[:, _QUOTE], cost[:, _QUOTED] + _DEAR, out=cost[:, _QUOTE])
+        np.minimum(cost[:, _QUOTED], cost[:, _QUOTE] + _DEAR, out=cost[:, _QUOTED])
+        np.minimum(cost[:, _START, 1:], cost[:, _BARE, :-1] + after_bare, out=cost[:, _START, 1:])
+        np.minimum(cost[:, _START, 1:], cost[:, _QUOTE, :-1] + after_quote, out=cost[:, _START, 1:])
+        cost[:, _START] = np.minimum.accumulate(cost[:, _START] - step, axis=1) + step
         if (before == cost).all():
-            break
-    return cost
-
-
-def _read(cost: np.ndarray, token: str) -> np.ndarray:
-    """Costs after reading `token` as it is, or deleting it if it is a quote or delimiter."""
-    new = np.full_like(cost, _FAR)
-    if token == '"':
-        new[_QUOTED] = np.minimum(cost[_START], cost[_QUOTE])
-        new[_QUOTE] = cost[_QUOTED]
-        return np.minimum(new, cost + 1)
-    if token == ",":
-        new[_QUOTED] = cost[_QUOTED]
-        new[_START, 1:] = np.minimum(np.minimum(cost[_START], cost[_BARE]), cost[_QUOTE])[:-1]
-        return np.minimum(new, cost + 1)
-    new[_BARE] = np.minimum(cost[_START], cost[_BARE])
-    new[_QUOTED] = cost[_QUOTED]
+            return cost
+
+
+def _read(cost: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Costs after each record's next token, read as it is, or deleted if it is a quote or delimiter.
+
+    A deleted delimiter joins two fields, each of which keeps its own quotes.
+    """
+    kind = kind[:, None]
+    new = cost + np.select([kind == _MARK, kind == _END], [_DEAR, 0], _FAR)[:, None]
+    quote = np.minimum(cost[:, _START], cost[:, _QUOTE])
+    np.minimum(new[:, _QUOTED], np.where(kind == _MARK, quote, cost[:, _QUOTED]), out=new[:, _QUOTED])
+    np.minimum(new[:, _QUOTE], np.where(kind == _MARK, cost[:, _QUOTED], _FAR), out=new[:, _QUOTE])
+    bare = np.minimum(cost[:, _START], cost[:, _BARE])
+    np.minimum(new[:, _BARE], np.where(kind == _TEXT, bare, _FAR), out=new[:, _BARE])
+    ended = np.where(kind == _COMMA, np.minimum(bare, cost[:, _QUOTE]), _FAR)
+    np.minimum(new[:, _START, 1:], ended[:, :-1], out=new[:, _START, 1:])
+    np.minimum(new[:, _START], ended + 1, out=new[:, _START])
     return new
 
 
+class _Path:
+    """The way back through a record's costs, with the edits on it."""
+
+    def __init__(self, tokens: list[str], last: np.ndarray) -> None:
+        self.tokens, self.at, self.count = tokens, len(tokens), last.shape[1] - 1
+        self.places = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).tolist()
+        self.state = min((_START, _BARE, _QUOTE), key=lambda s: last[s, self.count])
+        self.edits: list[str] = []
+        self.fields: list[list[str]] = [[]]
+
+    def back(self, costs: list[np.ndarray], begin: int) -> None:
+        """Down to the token `begin`; costs[i] are those before token begin + i."""
+        while self.at > begin or begin == 0 and (self.state, self.count) != (_START, 0):
+            here, state, count = costs[self.at - begin], self.state, self.count
+            now = here[state, count]
+            if state == _QUOTED:
+                put = next(((s, count, '"') for s in (_START, _QUOTE) if here[s, count] + _DEAR == now), None)
+            elif state == _QUOTE:
+                put = (_QUOTED, count, '"') if here[_QUOTED, count] + _DEAR == now else None
+            elif state == _START and count:
+                ahead = _KIND.get(self.tokens[self.at], _TEXT) if self.at < len(self.tokens) else _END
+                ways = [s for s, ok in ((_BARE, ahead != _MARK), (_QUOTE, ahead in (_COMMA, _END)), (_START, True)) if ok]
+                put = next(((s, count - 1, ",") for s in ways if here[s, count - 1] + 1 == now), None)
+            else:
+                put = None
+            if put:
+                self.edits.append(f"insert {'quote' if put[2] == '"' else 'delimiter'}@{self.places[self.at]}")
+                self._take(put[2], put[0])
+                self.state, self.count = put[:2]
+                continue
+            self.at -= 1
+            token, before = self.tokens[self.at], costs[self.at - begin]
+            outside = [s for s in (_START, _BARE, _QUOTE) if state == _START]
+            if token == '"':
+                ways = [(s, count, 0) for s in {_QUOTED: (_START, _QUOTE), _QUOTE: (_QUOTED,)}.get(state, ())] + [(state, count, _DEAR)]
+            elif token == ",":
+                ways = [(_QUOTED, count, 0)] if state == _QUOTED else [(s, count - 1, 0) for s in outside if count] + [(s, count, 1) for s in outside]
+            else:
+                ways = [(s, count, 0) for s in {_BARE: (_START, _BARE), _QUOTED: (_QUOTED,)}.get(state, ())]
+            came, left, price = next(x for x in ways if before[x[:2]] + x[2] == now)
+            if price:
+                self.edits.append(f"delete {'quote' if token == '"' else 'delimiter'}@{self.places[self.at]}")
+            else:
+                self._take(token, came)
+            self.state, self.count = came, left
+
+    def _take(self, token: str, came: int) -> None:
+        """Puts what was read from the state `came` before what is known of the fields."""
+        if token == "," and self.state == _START:
+            self.fields.append([])
+        elif token != '"' or self.state == _QUOTED and came == _QUOTE:
+            self.fields[-1].append(token)
+
+    def found(self) -> tuple[list[str], list[str]]:
+        return self.edits[::-1], ["".join(reversed(f)) for f in reversed(self.fields)]
+
+
+def repairs(records: list[str], width: int) -> list[tuple[list[str], list[str]]]:
+    """The edits of a cheapest parse of each record as `width` fields, and the fields it then has.
+
+    Edits are "insert quote@12" and the like, with the character position. A parse has as few edits of
+    quotes as can be, and of those with so few it has the fewest of delimiters; so edits of quotes mean that the
+    quoting is broken, and no edit but those of delimiters that only the number of fields is wrong. Which of
+    equally cheap parses is taken is fixed by the order of the automaton's states. Costs are kept at every
+    square root of a record's tokens and made again in between on the way back.
+    """
+    if len(records) > GROUP:
+        order = sorted(range(len(records)), key=lambda i: records[i].count('"') + records[i].count(","))
+        out: list = [None] * len(records)
+        for at in range(0, len(order), GROUP):
+            part = order[at : at + GROUP]
+            for i, found in zip(part, repairs([records[i] for i in part], width), strict=True):
+                out[i] = found
+        return out
+    tokens = [_TOKENS.findall(r) for r in records]
+    size = max(map(len, tokens), default=0)
+    if len(records) > 1 and size > 1 << 14:  # long ones by themselves
+        return [x for r in records for x in repairs([r], width)]
+    kinds = np.full((len(records), size + 1), _END, np.int8)
+    for i, found in enumerate(tokens):
+        kinds[i, : len(found)] = [_KIND.get(t, _TEXT) for t in found]
+    every = max(1, int(size**0.5))
+    cost = np.full((len(records), 4, width), _FAR, np.int64)
+    cost[:, _START, 0] = 0
+    cost, saved = _closed(cost, kinds[:, 0]), {}
+    for t in range(size):
+        if t % every == 0:
+            saved[t] = cost
+        cost = _closed(_read(cost, kinds[:, t]), kinds[:, t + 1])
+    paths = [_Path(t, cost[i]) for i, t in enumerate(tokens)]
+    for begin in reversed(range(0, max(size, 1), every)):
+        costs = [saved.get(begin, cost)]
+        for t in range(begin, min(begin + every, size)):
+            costs.append(_closed(_read(costs[-1], kinds[:, t]), kinds[:, t + 1]))
+        for i, path in enumerate(paths):
+            if path.at > begin or begin == 0:
+                path.back([c[i] for c in costs], begin)
+    return [p.found() for p in paths]
+
+
 def repair(record: str, width: int) -> tuple[list[str], list[str]]:
-    """The edits of a cheapest parse of `record` as `width` fields, and the fields it then has.
+    """repairs() of one record."""
+    return repairs([record], width)[0]
 
-    Edits are "insert quote@12" and the like, with the character position. Which of equally
-    cheap parses is taken is fixed by the order of the automaton's states.
+
+def judged(records: list[str | None], names: list[str], checks: dict = CHECKS) -> list[tuple[list[str] | None, list[str], list[str]]]:
+    """(fields, reasons, edits) of each record; no fields and no reasons for records of blank fields only.
+
+    Records with the right number of well-formed fields have a parse without edits and need no program.
+    The edits of the cheapest parse are the reasons of all others.
     """
-    tokens = _TOKENS.findall(record)
-    places = [0]
-    for token in tokens:
-        places.append(places[-1] + len(token))
-    cost = np.full((4, width), _FAR, np.int32)
-    cost[_START, 0] = 0
-    all_costs = [_closed(cost)]
-    for token in tokens:
-        all_costs.append(_closed(_read(all_costs[-1], token)))
-    count = width - 1
-    state = min((_START, _BARE, _QUOTE), key=lambda s: all_costs[-1][s, count])
-    at, edits, text = len(tokens), [], []
-    while at or (state, count) != (_START, 0):
-        now = all_costs[at][state, count]
-        here = all_costs[at]
-        put = None
-        if state == _QUOTED:
-            put = next(((s, count, '"') for s in (_START, _QUOTE) if here[s, count] + 1 == now), None)
-        elif state == _QUOTE and here[_QUOTED, count] + 1 == now:
-            put = (_QUOTED, count, '"')
-        elif state == _START and count:
-            put = next(((s, count - 1, ",") for s in (_BARE, _QUOTE, _START) if here[s, count - 1] + 1 == now), None)
-        if put:
-            edits.append(f"insert {'quote' if put[2] == '"' else 'delimiter'}@{places[at]}")
-            text.append(put[2])
-            state, count = put[0], put[1]
-            continue
-        token, before = tokens[at - 1], all_costs[at - 1]
-        at -= 1
-        if token == '"':
-            kept = {_QUOTED: (_START, _QUOTE), _QUOTE: (_QUOTED,)}.get(state, ())
-            back = next(((s, count) for s in kept if before[s, count] == now), None)
-        elif token == ",":
-            kept = [(_QUOTED, count)] if state == _QUOTED else [(s, count - 1) for s in (_START, _BARE, _QUOTE)] if state == _START and count else []
-            back = next((x for x in kept if before[x] == now), None)
-        else:
-            kept = {_BARE: (_START, _BARE), _QUOTED: (_QUOTED,)}.get(state, ())
-            back = next(((s, count) for s in kept if before[s, count] == now), None)
-        if back is None:
-            edits.append(f"delete {'quote' if token == '"' else 'delimiter'}@{places[at]}")
+    out: list = []
+    broken: dict[int, str] = {}
+    for i, record in enumerate(records):
+        record = (record or "").removesuffix("\r")
+        fields = fields_of(record)
+        if fields is not None and not any(x.strip() for x in fields):
+            out.append((None, [], []))
+        elif fields is None or len(fields) != len(names):
+            broken[i] = record
+            out.append(None)
         else:
-            state, count = back
-            text.append(token)
-    return edits[::-1], fields_of("".join(reversed(text))) or []
+            out.append((fields, [name for name, wrong in checks.items() if wrong(fields[names.index(name)].strip())], []))
+    for i, (edits, fields) in zip(broken, repairs(list(broken.values()), len(names)), strict=True):
+        out[i] = (fields, ["quoting" if any(" quote@" in e for e in edits) else "column_count"], edits)
+    return out
 
 
 def judge(record: str | None, names: list[str], checks: dict = CHECKS) -> tuple[list[str] | None, list[str], list[str]]:
-    """(fields, reasons, edits) of one record; no fields and no reasons for a record of blank fields only."""
-    record = record or ""
-    record = record[:-1] if record.endswith("\r") else record
-    fields = fields_of(record)
-    if fields is None:
-        edits, fields = repair(record, len(names))
-        return fields, ["quoting"], edits
-    if not any(x.strip() for x in fields):
-        return None, [], []
-    if len(fields) != len(names):
-        edits, fields = repair(record, len(names))
-        return fields, ["column_count"], edits
-    return fields, [name for name, wrong in checks.items() if wrong(fields[names.index(name)].strip())], []
+    """judged() of one record."""
+    return judged([record], names, checks)[0]
 
 
 def parse_records(df: DataFrame, key: str, record: str, columns: dict[str, str] = TICKET_COLUMNS) -> DataFrame:
@@ -198,7 +270,7 @@ def parse_records(df: DataFrame, key: str, record: str, columns: dict[str, str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.string())
         for batch in batches:
-            found = [judge(r, names) for r in batch.column(1).to_pylist()]
+            found = judged(batch.column(1).to_pylist(), names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], kind) for i in range(3))], ["k", "fields", "reasons", "edits"])
 
     return narrow.mapInArrow(run, schema).withColumnRenamed("k", key)

@@ -37,6 +37,23 @@ v as (select raw_id, whole, f, regexp_replace(f[1], '^\s+|\s+$', '', 'g') as idx
 _BAD_DAY = r"""not (day = ''
   or regexp_full_match(day, '[0-9]{4}(?:-[0-9]{1,2}-|\.[0-9]{1,2}\.|/[0-9]{1,2}/)[0-9]{1,2}') and try_cast(regexp_replace(day, '[./]', '-', 'g') as date) is not null
   or regexp_full_match(day, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])?') and try_cast(left(day, 10) as date) is not null)"""
+
+
+def _typed(e: str, kind: str) -> str:
+    """A field's value in the type of its column; null where it does not convert, but false for booleans."""
+    x = rf"regexp_replace({e}, '^(?:\s|\p{{Z}})+|(?:\s|\p{{Z}})+$', '', 'g')"
+    if kind == "string":
+        return f"nullif({x}, '')"
+    if kind == "boolean":
+        return f"lower({x}) in ('1', 'true', 't', 'y', 'yes', 'on')"
+    if kind == "date":
+        return rf"case when regexp_full_match({x}, '[0-9]{{4}}(?:-[0-9]{{1,2}}-|\.[0-9]{{1,2}}\.|/[0-9]{{1,2}}/)[0-9]{{1,2}}') then try_cast(regexp_replace({x}, '[./]', '-', 'g') as date) when regexp_matches({x}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}') then try_cast(left({x}, 10) as date) end"
+    if kind == "timestamp":
+        return f"try_cast({x} as timestamptz)"
+    number = "[+-]?[0-9]+" if "int" in kind else r"[+-]?[0-9]+(?:\.[0-9]*)?"
+    return f"case when regexp_full_match({x}, '{number}') then try_cast({x} as {kind}) end"
+
+
 _BAD_IDX = "not coalesce(regexp_full_match(idx, '[0-9]+') and try_cast(idx as hugeint) between 1 and 9223372036854775807, false)"
 _BAD_RATE = r"not (rate = '' or coalesce(regexp_full_match(rate, '[0-9]+(?:\.[0-9]{1,2})?') and try_cast(rate as double) <= 100, false))"
 
@@ -46,5 +63,6 @@ SQL = {
 union all select distinct raw_id, 'column_count' from v where whole and len(f) <> 30
 union all select distinct raw_id, 'idx' from v where whole and len(f) = 30 and {_BAD_IDX}
 union all select distinct raw_id, 'progress_rate' from v where whole and len(f) = 30 and {_BAD_RATE}
-union all select distinct raw_id, 'request_date' from v where whole and len(f) = 30 and {_BAD_DAY}"""
+union all select distinct raw_id, 'request_date' from v where whole and len(f) = 30 and {_BAD_DAY}""",
+    "p3_tickets": _SPLIT + "select raw_id, " + ", ".join(f"{_typed(f'f[{i}]', kind)} as {name}" for i, (name, kind) in enumerate(csv_repair.TICKET_COLUMNS.items(), 1)) + f" from v where whole and len(f) = 30 and not {_BAD_IDX} and not {_BAD_RATE} and not {_BAD_DAY}",
 }

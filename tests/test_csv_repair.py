@@ -48,17 +48,17 @@ def test_reasons(given, want):
     assert cr.judge(record(**given), NAMES)[1] == want
 
 
-def cheapest(text, width):
-    """Fewest edits by trying all records of up to two edits."""
+def fewest_quotes(text):
+    """Fewest edits of quotes alone that make a record well-formed, up to two."""
     seen = {text}
     for edits in range(3):
-        if any((f := cr.fields_of(x)) is not None and len(f) == width for x in seen):
+        if any(cr.fields_of(x) is not None for x in seen):
             return edits
         grown = set()
         for x in seen:
             for i in range(len(x) + 1):
-                grown |= {x[:i] + c + x[i:] for c in '",'}
-                if i < len(x) and x[i] in '",':
+                grown.add(x[:i] + '"' + x[i:])
+                if i < len(x) and x[i] == '"':
                     grown.add(x[:i] + x[i + 1 :])
         seen = grown
     return 3
@@ -66,17 +66,43 @@ def cheapest(text, width):
 
 def test_repairs_are_cheapest():
     rng = random.Random(3)
-    for text in {"".join(rng.choice('a"",,b') for _ in range(rng.randrange(1, 8))) for _ in range(120)}:
-        for width in (1, 3):
-            edits, fields = cr.repair(text, width)
-            assert len(fields) == width
-            assert min(len(edits), 3) == cheapest(text, width), (text, width, edits)
+    texts = sorted({"".join(rng.choice('a"",,b') for _ in range(rng.randrange(0, 9))) for _ in range(400)})
+    for width in (1, 3):
+        for text, (edits, fields) in zip(texts, cr.repairs(texts, width), strict=True):
+            assert len(fields) == width, text
+            quotes = sum(" quote@" in e for e in edits)
+            whole = cr.fields_of(text)
+            assert min(quotes, 3) == fewest_quotes(text), (text, width, edits)
+            if whole is not None:
+                assert len(edits) == abs(len(whole) - width), (text, width, edits)
+
+
+def test_repairs_side_by_side_are_those_of_each_record():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice('a"",,bc') for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    assert cr.repairs(texts, 9) == [cr.repair(t, 9) for t in texts]
+
+
+def test_a_long_record_needs_little_memory():
+    import tracemalloc
+
+    text = 'x"y,' * 6000
+    tracemalloc.start()
+    edits, fields = cr.repair(text, 30)
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    assert len(fields) == 30
+    assert sum("delete quote" in e for e in edits) > 0
 
 
 def test_repair_says_what_it_did():
     assert cr.repair('a,"b,c', 2)[0] == ["insert quote@6"]
     assert cr.repair("a,b,c", 2)[0] == ["delete delimiter@1"]
     assert cr.repair("a", 2)[0] == ["insert delimiter@1"]
+    # Commas inside quotes are no reason to touch the quotes, nor is a delimiter one to excuse them.
+    assert cr.repair('"a,b,c",d', 4)[0] == ["insert delimiter@7"] * 2 or all("delimiter" in e for e in cr.repair('"a,b,c",d', 4)[0])
+    assert all("quote" in e for e in cr.repair('"a"b', 1)[0])
+    assert any("quote" in e for e in cr.repair('"a"b', 2)[0])
 
 
 def test_well_formed_records_cost_nothing():

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings under which the library is developed and tested. All of them hold at any scale;
 #: the number of shuffle partitions is left to the cluster and to adaptive execution.
@@ -71,6 +72,19 @@ def drop_staged() -> None:
             pass
 
 
+def once(df: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """One row of each `key`, null being one too, without a shuffle of the rows whose key is not repeated.
+
+    The repeated keys are found from the key column alone. Up to `most` of them are broadcast, so only their own
+    rows move; of more, all rows are shuffled by key. Which of the rows with a key stays is not fixed.
+    """
+    again = stage(df.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again")), "again")
+    if again.limit(most + 1).count() > most:
+        return df.dropDuplicates([key])
+    on = F.col(key).eqNullSafe(F.col("_again"))
+    return df.join(F.broadcast(again), on, "left_anti").unionByName(df.join(F.broadcast(again), on, "left_semi").dropDuplicates([key]))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Splits a scan that comes in fewer partitions than the session has cores.
 

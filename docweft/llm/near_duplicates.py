@@ -9,8 +9,8 @@
 5. A leaf of a star that is not similar to the centre may be similar to other leaves. It is compared with those that
    share one of its rarest shingles, which all texts of at least the threshold do (prefix filter), so that a form
    letter's common part makes no candidates.
-6. Leaves that are similar to one centre may be similar among themselves: links that share a class are closed to
-   triangles and checked on their texts too, until no new link appears.
+6. Leaves that are similar to one centre may be similar among themselves. For the list of all pairs, and only for it,
+   links that share a class are closed to triangles and checked on their texts too, until no new link appears.
 """
 
 from __future__ import annotations
@@ -41,8 +41,6 @@ DIGEST = 64
 HOT = 128
 #: Rows and shingles of the sample that orders shingles by how common they are; it decides what is compared, never the result.
 SAMPLE, COMMON = 2000, 100_000
-#: Up to this many records of one content come out with all their pairs; beyond it each with the first only.
-COPIES_AS_PAIRS = 64
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,13 +147,28 @@ def _norms(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "tbl string, id bigint, norm string")
 
 
-def _hashed(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, in order."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _hashed(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Hashes of the distinct shingles of each text, in order. Two shingles have one hash with probability 2**-64."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(max(0, len(codes) - shingle + 1), np.uint64)
     for j in range(shingle):
         h = h * np.uint64(0x100000001B3) + codes[j : len(codes) - shingle + 1 + j]
-    return np.unique(_mixed(h * _G + _G).view(np.int64))
+    h = _mixed(h * _G + _G).view(np.int64)
+    out, at = [], 0
+    for text in texts:
+        own = np.sort(h[at : max(at, at + len(text) - shingle + 1)])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+        at += len(text)
+    return out
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of the values in both of those in either."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return 0.0
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both / (len(x) + len(y) - both)
 
 
 def _common(norms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +177,7 @@ def _common(norms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_hashed(text), pa.int64())], ["g"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashed([text])[0], pa.int64())], ["g"])
 
     sample = norms.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("norm")
     seen = sample.mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
@@ -183,7 +196,7 @@ def _prefixed(norms: DataFrame, threshold: float, shared: tuple[np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(3).to_pylist()):
-                g = _hashed(text)
+                g = _hashed([text])[0]
                 n = len(g)
                 place = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
                 count = np.where(known[place] == g, often[place], 0) if len(known) else np.zeros(n, np.int64)
@@ -198,11 +211,15 @@ def _prefixed(norms: DataFrame, threshold: float, shared: tuple[np.ndarray, np.n
 
 
 def _sharing(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Links (tbl, a, b) of prefixes, of which at least one has failed, that can reach the threshold after their first common shingle."""
+    """Links (tbl, a, b) of prefixes, of which at least one has failed, that can reach the threshold after their first common shingle.
+
+    With a column part, only links between different parts.
+    """
     x, y = prefixes.filter("early").alias("x"), prefixes.alias("y")
     sizes = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
+    apart = F.col("x.part") != F.col("y.part") if "part" in prefixes.columns else F.lit(True)
     enough = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    on = (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.failed") | F.col("y.failed")) & sizes & enough
+    on = (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.failed") | F.col("y.failed")) & apart & sizes & enough
     return x.join(y, on).select("x.tbl", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -226,23 +243,29 @@ def _alike(links: DataFrame, threshold: float) -> DataFrame:
     return links.select("tbl", "a", "b", "da", "db").mapInArrow(run, "tbl string, a bigint, b bigint")
 
 
-def _checked(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
     """(tbl, a, b, sim) of links (tbl, a, b) with the similarity of their texts (tbl, id, norm).
 
-    Hashes of the shingles, which are quicker, tell those far below `threshold`.
+    A text is hashed once for all its links that come together, and shingles are compared as ordered arrays.
     """
 
+    def parts(xs: list[str], ys: list[str]) -> Iterator[tuple[int, int]]:
+        begin = size = 0
+        for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            size += len(x) + len(y)
+            if size > 1 << 22:
+                yield begin, i + 1
+                begin, size = i + 1, 0
+        if begin < len(xs):
+            yield begin, len(xs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims, last, g = [], None, None
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if y != last:
-                    last, g = y, _hashed(y)
-                h = _hashed(x)
-                every = np.sort(np.concatenate([g, h]), kind="stable")
-                both = int((every[1:] == every[:-1]).sum())
-                sim = both / max(1, len(every) - both)
-                sims.append(sim if sim < threshold - 0.01 else jaccard(x, y))
+            xs, ys, sims = batch.column(3).to_pylist(), batch.column(4).to_pylist(), []
+            for begin, end in parts(xs, ys):
+                own = list(dict.fromkeys(xs[begin:end] + ys[begin:end]))
+                known = dict(zip(own, _hashed(own), strict=True))
+                sims += [_shared(known[x], known[y]) for x, y in zip(xs[begin:end], ys[begin:end], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sims, pa.float64())], ["tbl", "a", "b", "sim"])
 
     left = texts.select("tbl", F.col("id").alias("a"), F.col("norm").alias("x"))
@@ -286,9 +309,9 @@ class NearDuplicates:
         ids = every.groupBy("tbl", "id", "h").agg(F.min("c").alias("c"))
         firsts = ids.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
         several = ids.join(firsts, ["tbl", "h"])
-        contents = several.groupBy("tbl", "h", "c").agg(F.min("id").alias("first"), F.count("*").alias("same"))
-        #: (tbl, rep, id, first, same) of each record of a class of several: the first of the class, and of those with its very content, and their number.
-        self.members = stage(several.join(contents, ["tbl", "h", "c"]).select("tbl", "rep", "id", "first", "same"), "members")
+        contents = several.groupBy("tbl", "h", "c").agg(F.min("id").alias("first"))
+        #: (tbl, rep, id, first) of each record of a class of several: the first of the class, and of those with its very content.
+        self.members = stage(several.join(contents, ["tbl", "h", "c"]).select("tbl", "rep", "id", "first"), "members")
         #: (tbl, rep, id) of each record that is not its class's first.
         self.copies = self.members.filter("id != rep").select("tbl", "rep", "id")
         self.ids = ids
@@ -304,25 +327,29 @@ class NearDuplicates:
         candidates = stage(self._near(among.union(hot.select("tbl", "a", "b")).distinct()), "candidates")
         wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).union(hot.select("tbl", "b")).distinct()
         self.texts = stage(_norms(texts.join(wanted, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"])), "texts")
-        tested = stage(_checked(candidates, self.texts, self.threshold), "links")
-        if not hot.isEmpty():
-            rest = self._near(self._rest(hot, tested).join(tested, ["tbl", "a", "b"], "left_anti"))
-            tested = tested.unionByName(stage(_checked(rest, self.texts, self.threshold), "links"))
-        self._links = self._closed(tested)
+        self._tested = stage(_checked(candidates, self.texts), "links")
+        self._hot, self._links = hot, None
 
     def _near(self, links: DataFrame) -> DataFrame:
         """Those of the links (tbl, a, b) whose digests are close."""
         a, b = (self._digests.select("tbl", F.col("id").alias(c), F.col("digest").alias(f"d{c}")) for c in ("a", "b"))
         return _alike(links.join(a, ["tbl", "a"]).join(b, ["tbl", "b"]), self.threshold)
 
-    def _rest(self, leaves: DataFrame, tested: DataFrame) -> DataFrame:
-        """(tbl, a, b): the links among leaves (tbl, bucket, a, b) that stars and triangles leave out, as an end has failed at its centre."""
-        found = tested.filter(F.col("sim") >= self.threshold).select("tbl", "a", "b", F.lit(False).alias("failed"))
-        judged = leaves.join(found, ["tbl", "a", "b"], "left").select("tbl", "bucket", F.col("b").alias("id"), F.coalesce("failed", F.lit(True)).alias("failed"))
+    def _prefixes(self) -> DataFrame | None:
+        """The rarest shingles of the texts in buckets of which a leaf has failed at the centre; nothing if none has."""
+        found = self._tested.filter(F.col("sim") >= self.threshold).select("tbl", "a", "b", F.lit(False).alias("failed"))
+        judged = self._hot.join(found, ["tbl", "a", "b"], "left").select("tbl", "bucket", F.col("b").alias("id"), F.coalesce("failed", F.lit(True)).alias("failed"))
         open_ = judged.filter("failed").select("bucket").distinct()
         ends = stage(judged.join(open_, "bucket", "left_semi").groupBy("tbl", "id").agg(F.max("failed").alias("failed")), "ends")
+        if ends.isEmpty():
+            return None
         norms = self.texts.join(ends, ["tbl", "id"]).select("tbl", "id", "failed", "norm")
-        return _sharing(stage(_prefixed(norms, self.threshold, _common(norms)), "prefixes"), self.threshold)
+        return stage(_prefixed(norms, self.threshold, _common(norms)), "prefixes")
+
+    def _rest(self, prefixes: DataFrame) -> DataFrame:
+        """The links among leaves of stars that share one of their `prefixes`, checked."""
+        rest = _sharing(prefixes, self.threshold).join(self._tested.select("tbl", "a", "b"), ["tbl", "a", "b"], "left_anti")
+        return stage(_checked(self._near(rest), self.texts), "links")
 
     def _closed(self, tested: DataFrame) -> DataFrame:
         """All links of at least the threshold: those tested, and the triangles over them."""
@@ -331,38 +358,63 @@ class NearDuplicates:
             ends = found.select("tbl", F.col("a").alias("mid"), F.col("b").alias("end")).union(found.select("tbl", F.col("b"), F.col("a")))
             other = ends.withColumnRenamed("end", "b")
             open_ = ends.withColumnRenamed("end", "a").join(other, ["tbl", "mid"]).filter("a < b").select("tbl", "a", "b").distinct().join(tested.select("tbl", "a", "b"), ["tbl", "a", "b"], "left_anti")
-            more = stage(_checked(open_, self.texts, self.threshold), "triangles")
+            more = stage(_checked(open_, self.texts), "triangles")
             if more.isEmpty():
                 return found
             tested = tested.unionByName(more)
 
     def links(self) -> DataFrame:
         """(tbl, a, b, sim), a < b: all links between class representatives."""
+        if self._links is None:
+            with _short_batches(self._tested.sparkSession):
+                prefixes = self._prefixes()
+                self._links = self._closed(self._tested if prefixes is None else self._tested.unionByName(self._rest(prefixes)))
         return self._links
 
     def pairs(self) -> DataFrame:
-        """(tbl, id_a, id_b), id_a < id_b: all pairs of similar records.
+        """(tbl, id_a, id_b), id_a < id_b: the pairs of similar records, in one form whatever the number of copies.
 
-        All records of a class have its links, and are paired among themselves. Only of more than COPIES_AS_PAIRS
-        records with the very same content the first alone does so, and each other one is paired with it.
+        Of records with the very same content the one with the least id is the first. A pair comes out when at least
+        one of the two is the first of its content: so each record has the links to all other contents, by their
+        firsts, and to its own first, and copies make rows in proportion to their number.
         """
-        small = self.members.filter((F.col("same") <= COPIES_AS_PAIRS) | (F.col("id") == F.col("first"))).select("tbl", "rep", "id")
-        links = self._links.select("tbl", "a", "b")
-        reps = links.select("tbl", F.col("a").alias("rep")).union(links.select("tbl", "b")).distinct()
-        members = small.union(reps.select("tbl", "rep", F.col("rep").alias("id"))).distinct()
-        across = links.join(members.select("tbl", F.col("rep").alias("a"), F.col("id").alias("x")), ["tbl", "a"]).join(members.select("tbl", F.col("rep").alias("b"), F.col("id").alias("y")), ["tbl", "b"])
+        links = self.links().select("tbl", "a", "b")
+        ends = links.select("tbl", F.col("a").alias("rep")).union(links.select("tbl", "b")).distinct()
+        members = self.members.select("tbl", "rep", "id", "first").unionByName(ends.join(self.members.select("tbl", "rep").distinct(), ["tbl", "rep"], "left_anti").select("tbl", "rep", F.col("rep").alias("id"), F.col("rep").alias("first")))
+        firsts = members.filter("id = first")
+
+        def across(of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+            return links.join(of_a.select("tbl", F.col("rep").alias("a"), F.col("id").alias("x")), ["tbl", "a"]).join(of_b.select("tbl", F.col("rep").alias("b"), F.col("id").alias("y")), ["tbl", "b"]).select("tbl", "x", "y")
+
         star = self.members.filter("id != first").select("tbl", F.col("first").alias("x"), F.col("id").alias("y"))
-        among = small.alias("s").join(small.alias("t"), ["tbl", "rep"]).filter("s.id < t.id").select("tbl", F.col("s.id").alias("x"), F.col("t.id").alias("y"))
-        every = across.select("tbl", "x", "y").union(star).union(among)
+        among = self.members.filter("id = first").select("tbl", "rep", F.col("id").alias("x")).join(self.members.select("tbl", "rep", "first", F.col("id").alias("y")), ["tbl", "rep"]).filter("x != first").select("tbl", "x", "y")
+        every = across(firsts, members).union(across(members.filter("id != first"), firsts)).union(star).union(among)
         return every.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()
 
     def groups(self) -> DataFrame:
-        """(tbl, id, group_id, n_links): every record taking part, the least id of its group, links of its class.
+        """(tbl, id, class_id, group_id): every record taking part, the least ids of its class and of its group.
 
-        A group is what links and equal texts connect. Each round, a class takes the least group among its
-        neighbours and then the group of that group, so rounds grow with the logarithm of a chain's length.
+        A group is what links and equal texts connect. Triangles over tested links connect nothing further and are
+        not made; leaves that failed at their centre are compared only with such as stand in another group so far.
         """
-        links = self._links.select("tbl", "a", "b")
+        groups = self._connected(self._tested)
+        with _short_batches(self._tested.sparkSession):
+            prefixes = self._prefixes()
+            if prefixes is not None:
+                apart = prefixes.join(groups.withColumnRenamed("g", "part"), ["tbl", "id"], "left").withColumn("part", F.coalesce("part", "id"))
+                several = apart.groupBy("tbl", "g").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("tbl", "g")
+                rest = self._rest(apart.join(several, ["tbl", "g"], "left_semi"))
+                groups = self._connected(self._tested.unionByName(rest))
+        members = self.ids.select("tbl", "id").join(self.copies.select("tbl", "id", "rep"), ["tbl", "id"], "left").select("tbl", "id", F.coalesce("rep", "id").alias("rep"))
+        return members.join(groups.withColumnRenamed("id", "rep"), ["tbl", "rep"], "left").select("tbl", "id", F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id")).distinct()
+
+    def _connected(self, tested: DataFrame) -> DataFrame:
+        """(tbl, id, g): the least id of the group of each class that has links.
+
+        Each round, a class takes the least group among its neighbours and then the group of that group, so
+        rounds grow with the logarithm of a chain's length.
+        """
+        links = tested.filter(F.col("sim") >= self.threshold).select("tbl", "a", "b")
         both = stage(links.union(links.select("tbl", F.col("b"), F.col("a"))), "both")
         group = stage(both.groupBy("tbl", F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("g")), "groups")
         while True:
@@ -371,11 +423,8 @@ class NearDuplicates:
             jump = group.select("tbl", F.col("id").alias("m"), F.col("g").alias("j"))
             new = stage(lower.join(jump, ["tbl", "m"], "left").select("tbl", "id", "g", F.least("m", "j").alias("m")), "groups")
             if new.filter("g != m").isEmpty():
-                break
+                return new.select("tbl", "id", "g")
             group = new.select("tbl", "id", F.col("m").alias("g"))
-        degree = both.groupBy("tbl", F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-        members = self.ids.select("tbl", "id").join(self.copies.select("tbl", "id", "rep"), ["tbl", "id"], "left").select("tbl", "id", F.coalesce("rep", "id").alias("rep"))
-        return members.join(group.withColumnRenamed("id", "rep"), ["tbl", "rep"], "left").join(degree, ["tbl", "rep"], "left").select("tbl", "id", F.coalesce("g", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()
 
 
 def records_of(tables: dict[str, tuple[DataFrame, str]], text: str = "content") -> DataFrame:

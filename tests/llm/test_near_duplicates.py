@@ -8,6 +8,7 @@ from docweft.llm.blocks import blocks
 
 SCHEMA = "tbl string, id bigint, content string"
 rng = random.Random(4)
+_checked = nd._checked
 
 
 def text(n):
@@ -48,7 +49,12 @@ def test_pairs_equal_brute_force(spark):
     found = nd.NearDuplicates(spark.createDataFrame(rows, SCHEMA))
     got = [tuple(r) for r in found.pairs().collect()]
     assert len(got) == len(set(got))
-    assert set(got) == brute(rows)
+    # Of two records one at least is the first of its content.
+    first = {}
+    for t, i, c in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+        first.setdefault((t, c), i)
+    home = {(t, i): first[t, c] for t, i, c in rows if i is not None}
+    assert set(got) == {(t, a, b) for t, a, b in brute(rows) if home[t, b] == a or home[t, a] != home[t, b] and (home[t, a] == a or home[t, b] == b)}
     groups = {(r.tbl, r.id): r.group_id for r in found.groups().collect()}
     assert all(groups[t, a] == groups[t, b] for t, a, b in got)
     linked = {(t, x) for t, a, b in got for x in (a, b)}
@@ -56,19 +62,46 @@ def test_pairs_equal_brute_force(spark):
     assert sum(len(nd.normalised(c or "")) >= 60 for _, i, c in {r[:2]: r for r in rows}.values() if i is not None) == len(groups)
 
 
-def test_a_large_group_of_copies_is_a_star(spark):
+@pytest.mark.parametrize("copies", [2, 3, 64, 65, 66, 300])
+def test_copies_are_a_star_at_every_size(spark, copies):
     base = text(200)
-    rows = [("a", i, base) for i in range(300)] + [("a", 1000, base[:100] + "새말" + base[100:])]
+    rows = [("a", i, base) for i in range(copies)] + [("a", 1000, base[:100] + "새말" + base[100:])]
     got = {(r.id_a, r.id_b) for r in nd.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).pairs().collect()}
-    assert got == {(0, i) for i in range(1, 300)} | {(0, 1000)}
+    assert got == {(0, i) for i in range(1, copies)} | {(i, 1000) for i in range(copies)}
+
+
+def test_groups_cost_in_proportion_to_the_records(spark, monkeypatch):
+    """Records of one template: no closure, and far fewer links are tested than there are pairs."""
+    monkeypatch.setattr(nd, "HOT", 16)
+    base = text(600)
+    for n in (100, 400):
+        seen = []
+        monkeypatch.setattr(nd, "_checked", lambda links, texts, f=_checked, seen=seen: seen.append(links.count()) or f(links, texts))
+        found = nd.NearDuplicates(spark.createDataFrame([("a", i, edited(base, 0.08)) for i in range(n)], SCHEMA))
+        monkeypatch.setattr(found, "_closed", None)
+        assert {r.group_id for r in found.groups().collect()} == {0}
+        assert sum(seen) < nd.BANDS * n
+
+
+def test_leaves_unlike_their_centre_are_grouped(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", 4)
+    letter = text(600).replace(" ", "")[:400]
+    rows = [("a", 0, letter + text(200).replace(" ", "")[:150])]
+    for i in range(12):
+        own, same = (text(400).replace(" ", "")[:250] for _ in range(2))
+        rows += [("a", 100 + i, letter + same[:60] + own[20:110]), ("a", 200 + i, letter + same[:60] + own[110:200])]
+    groups = {r.id: r.group_id for r in nd.NearDuplicates(spark.createDataFrame(rows, SCHEMA), bands=64, rows=1).groups().collect()}
+    assert all(groups[a] == groups[b] for _, a, b in brute(rows))
+    assert len(set(groups.values())) == 13
 
 
 def test_contents_of_a_large_class_that_differ_keep_their_links(spark):
     base = text(200).replace(" ", "")
     rows = [("a", i, base[:100] + " " * i + base[100:]) for i in range(70)] + [("a", 70 + i, base + "!") for i in range(70)] + [("a", 1000, base[:100] + "새말" + base[100:])]
     got = {(r.id_a, r.id_b) for r in nd.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).pairs().collect()}
-    one = [*range(71), 1000]
-    assert got == {(x, y) for x in one for y in one if x < y} | {(70, i) for i in range(71, 140)}
+    one = [*range(70), 70, 1000]
+    copies = range(71, 140)
+    assert got == {(x, y) for x in one for y in one if x < y} | {(min(x, y), max(x, y)) for x in one for y in copies}
 
 
 def test_a_chain_is_one_group(spark):

@@ -6,8 +6,9 @@ node of the bytes read since and the last token before it; its root is the lates
 continuations share, so what lies before the root has been emitted. For byte-pair vocabularies a
 sequence is the encoding of its bytes exactly when every two neighbouring tokens encode to themselves
 when joined, so each prefix has one possible last token and a step needs only pair checks. States and
-transitions are made when text first needs them and dropped together when there are too many.
-Work is linear in the bytes, also for unbroken strings of any length.
+transitions are made when text first needs them and dropped together when there are too many, which is looked
+at before each new one: the tree in hand is carried over. Work is linear in the bytes and states are bounded, also
+for unbroken strings of any length.
 """
 
 from __future__ import annotations
@@ -151,14 +152,20 @@ class Transducer:
             if kept[k] and (k == root or up in place):
                 place[k] = len(rest)
                 rest.append((node, last, -1 if k == root else place[up]))
-        key = tuple(rest)
-        number = self.number.get(key)
+        if len(self.states) >= self.max_states:
+            self._forget()
+            return self._place(tuple(rest)), tuple(out)
+        found = self.steps[state][byte] = (self._place(tuple(rest)), tuple(out))
+        return found
+
+    def _place(self, tree: tuple) -> int:
+        """The number of the state with this tree, made if there is none."""
+        number = self.number.get(tree)
         if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
+            number = self.number[tree] = len(self.states)
+            self.states.append(tree)
             self.steps.append({})
-        found = self.steps[state][byte] = (number, tuple(out))
-        return found
+        return number
 
     def _final(self, state: int) -> tuple[int, ...]:
         """Tokens still to be emitted at the end: the way from the root to the last boundary."""
@@ -172,19 +179,18 @@ class Transducer:
 
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token, as 32-bit integers."""
-        if len(self.states) > self.max_states:
-            self._forget()
-        steps, state, out = self.steps, 0, []
+        steps, state, out = self.steps, 0, array("i")
         for byte in text.encode("utf-8"):
             found = steps[state].get(byte)
             if found is None:
                 found = self._step(state, byte)
+                steps = self.steps  # another list, if states were dropped
             state, certain = found
             if certain:
                 out.extend(certain)
         rest = self.finals.get(state)
         out.extend(self._final(state) if rest is None else rest)
-        ids = array("i", out).tobytes()
+        ids = out.tobytes()
         if len(text) <= MEMO_LONGEST:
             if len(self.memo) >= self.max_memo:
                 self.memo.clear()
@@ -280,3 +286,19 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     narrow = spread(df.select(df[key].alias("k"), df[text].alias("t")))
     schema = T.StructType([T.StructField("k", narrow.schema["k"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return narrow.mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(`key`, text) for each row of `df`, the text that its `ids` stand for; empty for an empty or null list."""
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transducer = transducer_of(shared.value)
+        for batch in batches:
+            texts = [transducer.decode(x or ()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "text"])
+
+    narrow = df.select(df[key].alias("k"), df[ids].alias("ids"))
+    schema = T.StructType([T.StructField("k", narrow.schema["k"].dataType), T.StructField("text", T.StringType())])
+    return narrow.mapInArrow(run, schema).withColumnRenamed("k", key)

@@ -49,6 +49,16 @@ def test_forgetting_states_changes_nothing(data_bytes, plain):
         assert small.encode(text) == plain.encode_ordinary(text)
 
 
+def test_states_stay_bounded_within_one_string(data_bytes, plain):
+    import random
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    small = tk.Transducer(tk.read_ranks(data_bytes), max_states=500)
+    assert small.encode(text) == plain.encode_ordinary(text)
+    assert len(small.states) <= 501
+
+
 def test_streamed_text_is_never_cut_within_a_character(transducer):
     text = "한글 \U0001f600 é 점검"
     parts = list(transducer.decode_stream(transducer.encode(text)))

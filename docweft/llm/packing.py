@@ -3,7 +3,8 @@
 Space-filling-curve order: each text's hashed token vector is projected to a few dimensions, texts are
 range-sorted by the Hilbert key of their place, and neighbours along the curve are packed together. Each
 task packs a bounded window of the curve at a time, largest items first into the fullest container that
-still takes them; containers that are left too empty are opened again for the next window.
+still takes them; containers that are left too empty are opened again for the next window. How many tasks
+there are follows from the total of tokens, as each may leave one container partly empty.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from docweft.session import spread, stage
 
 DIMENSIONS, BITS = 4, 8
 WINDOW = 4096
+#: Containers that a task fills at least, and the most tasks; beyond that tasks fill more.
+PER_TASK, MOST_TASKS = 256, 20_000
 #: A container whose free part is above this share is opened again while its task has more items.
 REOPEN_SHARE = 0.01
 
@@ -115,9 +118,13 @@ def pack(items: DataFrame, capacity: int = 8192, window: int = WINDOW, partition
     An item is divided only if it alone is larger: into full pieces, each a container of its own, and a rest
     that is packed like other items. Items of size 0 or null stay out. Repeated rows are items of their own.
     The range sort is by curve, then k and size, so items of equal curve (copies) split over partitions.
+    Items of containers that are opened again take up at most half of the next window; what goes beyond is left as it is.
+    There is one task for each PER_TASK containers' worth of tokens unless `partitions` is given.
     """
     items = items.select("k", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("curve").cast("bigint").alias("curve")).filter("n_tokens > 0")
-    partitions = partitions or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions:
+        total = items.agg(F.sum("n_tokens")).first()[0] or 0
+        partitions = min(MOST_TASKS, max(1, total // (capacity * PER_TASK)))
     order = ["curve", "k", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,18 @@ def test_packing(spark):
     assert {r.k for r in rows} == set(items)
 
 
+def test_tasks_follow_from_the_tokens(spark, data):
+    docs = table(spark, data, "documents")
+    fills = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = packing.fill_containers(docs).collect()
+        fills.append(sum(r.n_tokens for r in rows) / (8192 * len({r.container_id for r in rows})))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(fills) - min(fills) < 0.01
+
+
 def test_repeated_rows_are_items_of_their_own(spark):
     df = spark.createDataFrame([(7, 600, 1)] * 4, "k bigint, n_tokens bigint, curve bigint")
     assert len({r.container_id for r in packing.pack(df, 1000, partitions=2).collect()}) == 4

@@ -3,8 +3,9 @@
 A text over the limit is cut at the strongest boundary near its middle, and each half that is still over
 the limit less the overlap is cut in the same way; then each piece but the first gets the overlap in
 front. Boundaries, strongest first: blank line before a heading, heading line, blank line, line end,
-sentence end, clause end, blank. Where there is none, the cut is made at the middle, though never within
-a surrogate-free character sequence that belongs together (a combining mark or joiner stays with its base).
+sentence end, clause end, blank. Where there is none, the cut is made between the two characters as readers see them
+(grapheme clusters: marks, joined emoji, flags and conjoining jamo stay together) that are nearest before the
+middle; only a single one that is longer than a part may be is cut within.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ BOUNDARIES = [
     regex.compile(r"\s+"),
 ]
 
+_CLUSTER = regex.compile(r"\X")
+
 
 def _joined(text: str, at: int) -> bool:
     """Whether a cut at `at` would part a character from what it stands with."""
     left, right = text[at - 1], text[at]
-    return unicodedata.combining(right) != 0 or unicodedata.category(right) == "Mn" or right in "\u200d\ufe0e\ufe0f" or left == "\u200d" or (left == "\r" and right == "\n")
+    return unicodedata.category(right)[0] == "M" or right in "\u200d\ufe0e\ufe0f" or left == "\u200d" or (left == "\r" and right == "\n")
 
 
 def _cut(text: str, start: int, end: int, least: int) -> int:
@@ -51,10 +54,15 @@ def _cut(text: str, start: int, end: int, least: int) -> int:
                     best = at
             if best >= 0:
                 return best
-    at = middle
-    while at > start + 1 and middle - at < 64 and _joined(text, at):
-        at -= 1
-    return at if at > start + 1 and not _joined(text, at) else middle
+    # The span begins between two clusters, so reading on from there finds all others.
+    best = -1
+    for found in _CLUSTER.finditer(text, start, end):
+        if found.end() > middle and best >= 0 or found.end() >= end:
+            break
+        best = found.end()
+        if best >= middle:
+            break
+    return best if start + least <= best <= end - least else middle
 
 
 def cuts(text: str, limit: int = 1200, overlap: int = 150) -> list[tuple[int, int, int]]:

@@ -49,6 +49,16 @@ def test_combining_marks_stay_with_their_base():
     assert all(text[f] != "́" for _, f, _ in checked(text)[1:])
 
 
+@pytest.mark.parametrize("cluster", ["e" + "\u0301" * 70, "\U0001f1f0\U0001f1f7", "\U0001f44d\U0001f3fd", "\u1112\u1161\u11ab", "\U0001f468\u200d\U0001f469\u200d\U0001f467"])
+def test_characters_as_read_stay_whole(cluster):
+    text = cluster * 900
+    assert all(f % len(cluster) == 0 for _, f, _ in checked(text))
+
+
+def test_a_character_longer_than_a_part_is_cut():
+    checked("e" + "\u0301" * 5000)
+
+
 def test_table_of_all_cases(spark):
     rows = [(1, "a" * 1200, "x"), (2, "b " * 1000, "x"), (2, "b " * 1000, "x"), (None, "c", "x"), (4, None, "x"), (5, "", "x")]
     df = spark.createDataFrame(rows, "id bigint, body string, piece string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweft.session import stage
+from docweft.session import once, spread, stage
 
 #: Fixed value: what a term is, in lower-cased text.
 TERM_PATTERN = r"[가-힣]{2,}|[a-z][a-z0-9]+(?:[._-][a-z0-9]+)*"
@@ -74,7 +74,7 @@ def term_frequencies(
     Texts of any length are read whole. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    narrow = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    narrow = spread(docs.select(docs[key].alias("k"), docs[text].alias("t")))
     heavy = _heavy_terms(narrow.select("t"), pattern, sample_rows, heavy_terms)
     shared = spark.sparkContext.broadcast(heavy)
     schema = pa.schema([("term", pa.string()), ("occ", pa.int64()), ("df", pa.int64()), ("heavy_occ", pa.list_(pa.int64())), ("heavy_df", pa.list_(pa.int64())), ("n", pa.int64())])
@@ -112,7 +112,7 @@ def term_frequencies(
         if n:
             yield pa.RecordBatch.from_pydict({"term": [None], "occ": [None], "df": [None], "heavy_occ": [occ.tolist()], "heavy_df": [df.tolist()], "n": [n]}, schema=schema)
 
-    records = narrow.dropDuplicates(["k"]).select("t")
+    records = once(narrow, "k").select("t")
     counted = stage(records.mapInArrow(run, "term string, occ bigint, df bigint, heavy_occ array<bigint>, heavy_df array<bigint>, n bigint"), "terms")
     total = counted.agg(F.sum("n")).first()[0] or 0
     light = counted.filter("term is not null").groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("df").alias("doc_freq"))

@@ -12,6 +12,23 @@ marked as (select term, occurrences, doc_freq, n_docs,
 _ITEMS = """select distinct 'maintenance_docs' as tbl, source as item_id from maintenance_docs where length(content) > 1200
 union all select distinct 'chunks', chunk_id from chunks where length(body) > 1200"""
 
+# Near-duplicates by comparing the shingles of all texts.
+_LINKS = """with recursive rows_ as (select distinct 'maintenance_docs' as tbl, doc_pk as id, content from maintenance_docs union all select distinct 'maintenance_requests', idx, content from maintenance_requests),
+n as materialized (select tbl, id, content, regexp_replace(lower(content), '[^0-9a-z가-힣]', '', 'g') as x from rows_ where length(regexp_replace(lower(content), '[^0-9a-z가-힣]', '', 'g')) >= 60),
+c as materialized (select tbl, x, min(id) as rep from n group by tbl, x),
+sh as materialized (select distinct tbl, rep, unnest([substring(x, i, 5) for i in range(1, length(x) - 3)]) as g from c),
+sz as (select tbl, rep, count(*) as size from sh group by tbl, rep),
+both_ as (select a.tbl, a.rep as a, b.rep as b, count(*) as k from sh a join sh b on a.tbl = b.tbl and a.g = b.g and a.rep < b.rep group by a.tbl, a.rep, b.rep),
+links as materialized (select tbl, a, b from both_ join sz p using (tbl) join sz q using (tbl) where p.rep = a and q.rep = b and k >= 0.6 * (p.size + q.size - k)),
+members as materialized (select tbl, id, rep, min(id) over (partition by tbl, content) as first from n join c using (tbl, x))
+"""
+_PAIRS = _LINKS + """select distinct tbl, least(i, j) as id_a, greatest(i, j) as id_b from (
+  select l.tbl, p.id as i, q.id as j from links l join members p on p.tbl = l.tbl and p.rep = l.a join members q on q.tbl = l.tbl and q.rep = l.b where p.id = p.first or q.id = q.first
+  union all select p.tbl, p.id, q.id from members p join members q on p.tbl = q.tbl and p.rep = q.rep and p.id <> q.id where p.id = p.first) where i <> j"""
+_GROUPS = _LINKS + """, sides as (select tbl, a, b from links union all select tbl, b, a from links),
+reach as (select tbl, rep, rep as g from c union select r.tbl, s.b, r.g from reach r join sides s on s.tbl = r.tbl and s.a = r.rep)
+select tbl, id, rep as class_id, g as group_id from members join (select tbl, rep, min(g) as g from reach group by tbl, rep) using (tbl, rep)"""
+
 # The statistics of texts. W are blanks and B line breaks, as classes of the regular expressions.
 _W = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STATISTICS = rf"""with t as (select row_number() over () as i, doc_id, length(coalesce(text, '')) as n_chars, nfc_normalize(coalesce(text, '')) as x from documents),
@@ -31,6 +48,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _TERMS + "select term, mark from marked where mark is not null",
         "p1_counts": _TERMS + "select term, occurrences, doc_freq, n_docs, mark from marked",
+        "p2_found": _PAIRS,
+        "p2_groups": _GROUPS,
         "p5_found": _ITEMS,
+        "p5_joined": """select 'maintenance_docs' as tbl, source as item_id, md5(content) as text_md5, 0 as faults, true as counted, length(content) > 1200 as divided from (select distinct source, content from maintenance_docs where content is not null)
+union all select 'chunks', chunk_id, md5(body), 0, true, length(body) > 1200 from chunks where body is not null""",
+        "p6_round_trip": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
+        "p7_coverage": "select doc_id, 0 as faults from documents where text <> '' union all select null, 0",
         "p8_statistics": _STATISTICS,
     }

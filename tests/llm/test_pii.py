@@ -28,6 +28,11 @@ from docweft.llm import pii
         ("작성 이라람 / 검토 임다뜰\n- 홍라솔 드림", "작성 [NAME] / 검토 [NAME]\n- [NAME] 드림"),
         ("| 이름 | 직책 |\r\n|---|---|\r\n| 조람찬 | 기사 |\r\n\r\n| 권한 | 수량 |\r\n|---|---|\r\n| 권한록 | 3 |", "| 이름 | 직책 |\r\n|---|---|\r\n| [NAME] | 기사 |\r\n\r\n| 권한 | 수량 |\r\n|---|---|\r\n| 권한록 | 3 |"),
         ("Contact: Jorun Starrow <a.b@c.example> Mr.&nbsp; Varn Corrant confirmed", "Contact: [NAME] <[EMAIL]> Mr.&nbsp; [NAME] confirmed"),
+        ("김철 과장에게, 담당 남궁민수 부장, 최 민호 대리, 박지성 선수", "[NAME] 과장에게, 담당 [NAME] 부장, [NAME] 대리, [NAME] 선수"),
+        ("강남대로 12\n주소는 한빛로 5", "[ADDRESS]\n주소는 [ADDRESS]"),
+        ("user AT example DOT com / tel:010-1234-5678", "[EMAIL] / tel:[PHONE]"),
+        ("M12345678 제출함", "[ID_NUMBER] 제출함"),
+        ("At noon John Smith called, then Mary Jane Watson-Parker replied.", "At noon [NAME] called, then [NAME] replied."),
     ],
 )
 def test_items_are_replaced(text, want):
@@ -49,6 +54,11 @@ def test_items_are_replaced(text, want):
         "removed at month end, and photos were kept. The dot matrix",
         "오나빛 발전기 수치가 208밀리미터까지 올랐습니다.",
         "계약 59-0077-42호 부속서",
+        "주문번호 0212345678, 주문번호: 010-1234-5678, order no. 0212345678",
+        "자산번호 M12345678, serial M12345678, asset # S12345678",
+        "안전 과장 회의, 전산 팀장 승인, 민원 대리 접수",
+        "그대로 12번, 예정대로 3건을 처리했습니다. 순서대로 12",
+        "The Main Pump called for service. Last Night reported nothing.",
         "",
     ],
 )
@@ -57,6 +67,18 @@ def test_what_only_looks_like_it_stays(text):
     assert pii.masked(text) == text
 
 
+def test_overlaps_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        text = "서울시 강남구 테헤란로 12-3, " * n
+        began = time.process_time()
+        assert len(pii.find_items(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
 def test_no_text():
     assert pii.find_items(None) == []
     assert pii.masked(None) is None

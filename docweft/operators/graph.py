@@ -55,7 +55,7 @@ INTENT_EDGES = {
 VISIBLE_EDGES = ("HAS_DOCUMENT", "HAS_CHUNK", "MENTIONS", "HAS_ISSUE", "HAS_TICKET", "HANDLED_BY")
 NO_CUSTOMER = "_공통"
 TICKET_FOLDERS = ("유지보수_접수내역", "유지보수 접수내역")
-EXCLUDED = ("README.md",)
+EXCLUDED = ("README.md", "SIMPLIFY_CHANGELOG.md", "SIMPLIFY_VALIDATION_REPORT.md", "READABILITY_CLEANUP_REPORT.md", "READABILITY_FINAL_VALIDATION.md")
 # ----------------------------------------------------------------------------------------------------------
 
 _NODE = "node string, type string, label string, customer string, source string, preview string"
@@ -77,19 +77,27 @@ def with_terms(dictionary: dict[str, Sequence[str]], approved: dict[str, Sequenc
     return {**lower, **dictionary}
 
 
-def graph_documents(docs: DataFrame, max_docs: int | None = None) -> DataFrame:
+def graph_documents(docs: DataFrame, max_docs: int | None = None, excluded: Sequence[str] = EXCLUDED) -> DataFrame:
     """(source, title, customer, content) of live documents that belong in the graph; a blank customer is NO_CUSTOMER.
 
-    Documents of the store itself and copies of tickets are left out. `max_docs` keeps the first by source.
+    Documents of the store itself, by their file names, and copies of tickets are left out. `max_docs` keeps the first by source.
     """
     customer = strip(F.coalesce("customer", F.lit("")))
     named = docs.filter("deleted_at is null").dropDuplicates(["source"]).withColumn("customer", F.when(customer == "", NO_CUSTOMER).otherwise(customer))
-    kept = named.filter(~tx.basename(F.col("source")).isin(*EXCLUDED) & ~F.col("customer").isin(*TICKET_FOLDERS) & ~F.substring_index("source", "/", 1).isin(*TICKET_FOLDERS))
+    kept = named.filter(~tx.basename(F.col("source")).isin(*excluded or ("",)) & ~F.col("customer").isin(*TICKET_FOLDERS) & ~F.substring_index("source", "/", 1).isin(*TICKET_FOLDERS))
     title = strip(F.coalesce("title", F.lit("")))
     kept = kept.select("source", F.when(title == "", F.col("source")).otherwise(title).alias("title"), "customer", F.coalesce("content", F.lit("")).alias("content"))
     return kept.orderBy("source").limit(max_docs) if max_docs is not None else kept
 
 
+def customer_count(docs: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(n_customers): how many customers the graph of these documents and tickets has, without building it."""
+    key = tx.customer_key(F.col("customer"))
+    named = docs.select("customer").distinct()
+    more = tickets.select(strip(F.coalesce("customer", F.lit(""))).alias("customer")).filter("customer != ''").select(key.alias("ck")).distinct().join(named.select(key.alias("ck")).distinct(), "ck", "left_anti")
+    return named.select(F.lit(1)).union(more.select(F.lit(1))).agg(F.count("*").alias("n_customers"))
+
+
 class Graph:
     """nodes (node, type, label, customer, source, preview, degree) and edges (src, dst, type).
 
@@ -307,10 +315,14 @@ def subgraph(graph: Graph, wanted: Sequence[str] | None = None, chunks_per_doc:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(fingerprint): count and hash of source and change time of all documents, by source.
+    """(fingerprint): count and hash of source and change time of all documents, in the order of their sources.
 
-    Hashes of single documents are combined by their sum, so nothing is gathered in one place.
+    A tree of hashes of fixed shape: each document's; those of documents whose source's hash begins alike, in order,
+    as one of 65,536; and those together. So any other row, value or number of copies changes it, and no
+    task holds more than its share, whatever the sources are.
     """
-    one = F.sha1(F.concat(F.coalesce("source", F.lit("")), F.lit("\x1f"), F.coalesce(F.col("updated_at").cast("string"), F.lit("")), F.lit("\x1e")))
-    parts = [F.sum(F.conv(F.substring(one, i, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in (1, 9)]
-    return docs.agg(F.count("*").alias("n"), *parts).select(F.concat(F.col("n").cast("string"), F.lit(":"), F.substring(F.sha1(F.concat_ws(":", F.coalesce(F.col("p1").cast("string"), F.lit("0")), F.coalesce(F.col("p9").cast("string"), F.lit("0")))), 1, 12)).alias("fingerprint"))
+    source, changed = F.coalesce("source", F.lit("")), F.coalesce(F.col("updated_at").cast("string"), F.lit(""))
+    one = docs.select(F.substring(F.sha1(source), 1, 4).alias("part"), source.alias("s"), F.sha1(F.concat(source, F.lit("\x1f"), changed, F.lit("\x1e"))).alias("h"))
+    parts = one.groupBy("part").agg(F.count("*").alias("n"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "h"))), lambda x: x["h"]), "")).alias("h"))
+    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "").alias("all"))
+    return whole.select(F.concat(F.col("n").cast("string"), F.lit(":"), F.substring(F.sha1("all"), 1, 12)).alias("fingerprint"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as tx
 
-#: Words that make a sentence worth more.
+# ---- Fixed values: words that make a sentence worth more, and the wording of answers ----------------------
 IMPORTANT = ("id", "pw", "password", "vpn", "ftp", "host", "http", "https", "접속", "계정", "경로", "서버", "관리자", "주의")
 NOTHING_FOUND = "관련 문서를 찾지 못했습니다. 고객사명이나 기능명을 더 구체적으로 입력해 주세요."
+ANSWER_HEAD, GROUNDS_HEAD, SOURCES_HEAD = "## 검색 기반 답변", "### 핵심 근거", "### 참고 문서"
+ANSWER_BEST = "질문과 가장 관련도가 높은 문서는 `%s`입니다."
+SECTION, BULLET, SOURCE = "%d. `%s`", "   - ", "- `%s` / %s / score=%.3f"
+START_CHARS = 220
+# ------------------------------------------------------------------------------------------------------------
 
 
 def sentence_scores(ranked: DataFrame, query: Column) -> DataFrame:
@@ -24,49 +26,37 @@ def sentence_scores(ranked: DataFrame, query: Column) -> DataFrame:
     return rows.withColumn("value", hits + bonus).drop("_terms")
 
 
-def _cards(per_chunk: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def build(found: pd.DataFrame) -> pd.DataFrame:
-        """Picks sentences in chunk order; what one card used no later card repeats; the last card may be cut."""
-        seen, cards, used = set(), [], 0
-        for rank, own in found.sort_values(["rank", "place"], kind="stable").groupby("rank", sort=True):
-            by_value = own.sort_values("value", ascending=False, kind="stable")
-            picked = []
-            for sentence in by_value["sentence"].head(2 * per_chunk):
-                flat = " ".join(sentence.split())
-                if len(flat) >= 15 and flat not in seen:
-                    seen.add(flat)
-                    picked.append(sentence)
-                if len(picked) == per_chunk:
-                    break
-            if not picked:
-                for sentence in own["sentence"]:
-                    flat = " ".join(sentence.split())
-                    if len(flat) >= 15 and flat not in seen:
-                        seen.add(flat)
-                        picked.append(sentence)
-                        break
-            if not picked:
-                continue
-            first = own.iloc[0]
-            card = f"[{first['source']} / {first['title']}]\n" + "\n".join(picked)
-            if used + len(card) > most:
-                if most - used < 80:
-                    break
-                card = card[: most - used]
-            cards.append((first["query_id"], rank, first["source"], first["title"], float(first["score"]), card))
-            used += len(card)
-        return pd.DataFrame(cards, columns=["query_id", "rank", "source", "title", "score", "text"])
-
-    return build
-
-
-def cards(ranked: DataFrame, query: Column, most: int = 2500, per_chunk: int = 2) -> DataFrame:
+def cards(ranked: DataFrame, query: Column, most: int = 2500, per_chunk: int = 2, least: int = 15, least_rest: int = 80) -> DataFrame:
     """(query_id, rank, source, title, score, text): the best sentences of each chunk within `most` characters.
 
-    Which sentences a card may use depends on the cards before, so a query's few ranked chunks are one group.
+    A card takes the first `per_chunk` that are new among twice as many of the highest value, or else the first new
+    one of the chunk; new is what no earlier card of the query has, and at least `least` characters long. The card
+    that would go beyond `most` is cut, and left out with all after it if fewer than `least_rest` characters remain.
+    Which sentences a card may take depends on the cards before, so a query's few chunks are folded in rank order.
     """
-    rows = sentence_scores(ranked, query).select("query_id", "rank", "source", "title", "score", "place", "sentence", "value")
-    return rows.groupBy("query_id").applyInPandas(_cards(per_chunk, most), "query_id bigint, rank bigint, source string, title string, score double, text string")
+    one = F.struct((-F.col("value")).alias("worth"), "place", "sentence", F.trim(F.regexp_replace("sentence", r"(?U)\s+", " ")).alias("flat"))
+    chunks = sentence_scores(ranked, query).groupBy("query_id", "rank", "source", "title", "score").agg(F.array_sort(F.collect_list(one)).alias("said"))
+    whole = chunks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "title", "score", "said"))).alias("chunks"))
+    card = "array<struct<rank:bigint,source:string,title:string,score:double,text:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast(card).alias("cards"), F.lit(most).alias("rest"))
+
+    def fold(state: Column, chunk: Column) -> Column:
+        new = lambda xs: F.filter(xs, lambda x, i: (F.length(x["flat"]) >= least) & ~F.array_contains(state["taken"], x["flat"]) & ~F.exists(F.slice(xs, F.lit(1), i), lambda y: y["flat"] == x["flat"]))
+        best = F.slice(new(F.slice(chunk["said"], 1, 2 * per_chunk)), 1, per_chunk)
+        by_place = F.array_sort(F.transform(chunk["said"], lambda x: F.struct(x["place"].alias("place"), x["sentence"].alias("sentence"), x["flat"].alias("flat"))))
+        own = F.when(F.size(best) > 0, F.transform(best, lambda x: F.struct(x["place"].alias("place"), x["sentence"].alias("sentence"), x["flat"].alias("flat")))).otherwise(F.slice(new(by_place), 1, 1))
+
+        def put(own: Column) -> Column:
+            text = F.concat(F.lit("["), F.coalesce(chunk["source"], F.lit("")), F.lit(" / "), F.coalesce(chunk["title"], F.lit("")), F.lit("]\n"), F.array_join(F.transform(own, lambda x: x["sentence"]), "\n"))
+            ends = (F.length(text) > state["rest"]) & (state["rest"] < least_rest)
+            made = F.array(F.struct(chunk["rank"].cast("bigint").alias("rank"), chunk["source"].alias("source"), chunk["title"].alias("title"), chunk["score"].cast("double").alias("score"), F.substring(text, F.lit(1), state["rest"]).alias("text"))).cast(card)
+            grown = F.struct(F.concat(state["taken"], F.transform(own, lambda x: x["flat"])).alias("taken"), F.concat(state["cards"], made).alias("cards"), F.greatest(state["rest"] - F.length(text), F.lit(0)).alias("rest"))
+            return F.when(F.size(own) == 0, state).when(ends, F.struct(state["taken"].alias("taken"), state["cards"].alias("cards"), F.lit(0).alias("rest"))).otherwise(grown)
+
+        return tx.let(own, put)
+
+    folded = whole.select("query_id", F.inline(F.aggregate("chunks", start, fold, lambda s: s["cards"])))
+    return folded.select("query_id", "rank", "source", "title", "score", "text")
 
 
 def context(ranked: DataFrame, most: int = 5200) -> DataFrame:
@@ -85,19 +75,21 @@ def budgeted(ranked: DataFrame, length: Column, most: int) -> DataFrame:
     return ranked.withColumn("used", used).filter(F.col("used") <= most)
 
 
+def answers(ranked: DataFrame, bullets: int = 6, chunks: int = 3) -> DataFrame:
+    """(query_id, answer): a markdown answer for each query, with statements of its first chunks and the list of sources."""
+    # Of the chunks after the first few only the names are shown.
+    first = F.col("rank") <= chunks
+    said = F.when(first, F.slice(tx.readable_bullets(F.col("body")), 1, bullets)).otherwise(F.array().cast("array<string>"))
+    start = F.when(first, F.substring(tx.collapsed(F.coalesce("body", F.lit(""))), 1, START_CHARS)).otherwise("")
+    own = ranked.select("query_id", "rank", "source", "title", F.coalesce(F.nullif(F.transform(said, lambda b: F.concat(F.lit(BULLET), b)), F.array().cast("array<string>")), F.when(start != "", F.array(F.concat(F.lit(BULLET), start))), F.array().cast("array<string>")).alias("points"), F.format_string(SOURCE, "source", "title", "score").alias("line"))
+    listed = own.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "title", "points", "line"))).alias("all"))
+    parts = F.flatten(F.transform(F.slice("all", 1, chunks), lambda c: F.concat(F.array(F.format_string(SECTION, c["rank"], c["title"])), c["points"])))
+    sources = F.transform(F.filter("all", lambda c, i: ~F.exists(F.slice(F.col("all"), F.lit(1), i), lambda d: (d["source"] == c["source"]) & (d["title"] == c["title"]))), lambda c: c["line"])
+    head = F.array(F.lit(ANSWER_HEAD), F.lit(""), F.format_string(ANSWER_BEST, F.col("all")[0]["source"]), F.lit(""), F.lit(GROUNDS_HEAD))
+    return listed.select("query_id", F.array_join(F.concat(head, parts, F.array(F.lit(""), F.lit(SOURCES_HEAD)), sources), "\n").alias("answer"))
+
+
 def extractive_answer(ranked: DataFrame, bullets: int = 6, chunks: int = 3) -> str:
-    """Markdown answer from the ranked chunks of one query: statements of the first, and the list of sources."""
-    rows = ranked.orderBy("rank").select("source", "title", "score", tx.readable_bullets(F.col("body")).alias("bullets"), F.substring(tx.collapsed(F.col("body")), 1, 220).alias("start")).collect()
-    if not rows:
-        return NOTHING_FOUND
-    lines = ["## 검색 기반 답변", "", f"질문과 가장 관련도가 높은 문서는 `{rows[0].source}`입니다.", "", "### 핵심 근거"]
-    for n, r in enumerate(rows[:chunks], 1):
-        lines.append(f"{n}. `{r.title}`")
-        lines += [f"   - {b}" for b in (r.bullets[:bullets] or [r.start]) if b]
-    lines += ["", "### 참고 문서"]
-    seen = set()
-    for r in rows:
-        if (r.source, r.title) not in seen:
-            seen.add((r.source, r.title))
-            lines.append(f"- `{r.source}` / {r.title} / score={r.score:.3f}")
-    return "\n".join(lines)
+    """answers() of the one query of `ranked`, or that nothing was found."""
+    found = answers(ranked, bullets, chunks).first()
+    return found.answer if found else NOTHING_FOUND

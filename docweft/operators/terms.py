@@ -22,12 +22,15 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return by_customer.groupBy("term").agg(F.sum("n").alias("doc_freq"), F.count("customer").alias("customers"))
 
 
-def mine(docs: DataFrame, known: Sequence[str] = (), top: int = 80, min_docs: int = 3, max_share: float = 0.35) -> DataFrame:
+def mine(docs: DataFrame, known: Sequence[str] = (), top: int = 80, min_docs: int = 3, max_share: float = 0.35, customers: DataFrame | None = None) -> DataFrame:
     """(term, doc_freq, share, customers, score): the `top` terms that are frequent, not general, and kept to few customers.
 
-    Known terms, inflected words and pieces of names are left out. Equal scores go by term.
+    Known terms, inflected words and pieces of names are left out. Equal scores go by term. `customers` has one row
+    with n_customers, the number of all customers there are, such as those of the graph; else those of `docs` count.
     """
-    total = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"), F.greatest(F.countDistinct("customer"), F.lit(1)).alias("n_customers"))
+    if customers is None:
+        customers = docs.agg(F.countDistinct("customer").alias("n_customers"))
+    total = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs")).join(F.broadcast(customers.select(F.greatest("n_customers", F.lit(1)).alias("n_customers"))))  # one row each
     rows = term_statistics(docs).filter((F.col("doc_freq") >= min_docs) & ~F.col("term").isin(*known or ("",)) & ~tx.is_noise_term(F.col("term"))).join(F.broadcast(total))
     share = F.col("doc_freq") / F.col("n_docs")
     focus = 1.0 - F.least(F.col("customers") / F.col("n_customers"), F.lit(1.0))

@@ -112,7 +112,8 @@ def subgraph_nodes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def corpus_fingerprint(spark: SparkSession, root: str) -> DataFrame:
-    return gr.fingerprint(table(spark, root, "maintenance_docs").filter("deleted_at is null").dropDuplicates(["source"]))
+    live = table(spark, root, "maintenance_docs").filter("deleted_at is null").dropDuplicates(["source"])
+    return gr.fingerprint(live.select("source", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("updated_at")))
 
 
 QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_counts, hub_penalties, expand_1hop, expand_2hop, expand_3hop, expand_no_penalty, expand_top, expand_spread, entity_coverage, hub_list, customer_list, similar_chunks, system_ownership, linked_entities, resolved_seeds, subgraph_nodes, corpus_fingerprint)}
@@ -181,6 +182,10 @@ SQL = {
     "entity_coverage": _GRAPH + f", {_LINKS}, c as (select (select count(*) from bare where type = 'Chunk') as chunks, (select count(distinct node) from links) as linked) select chunks, linked, round(linked / greatest(chunks, 1), 4) as coverage from c",
     "hub_list": _GRAPH + "select node, label, type, degree, round(degree / (select greatest(count(*), 1) from bare where type = 'Chunk'), 4) as share from bare join deg using (node) where type in ('System', 'IssueType') order by degree desc, node limit 8",
     "customer_list": _GRAPH + "select label as name, coalesce(n, 0) as doc_count from bare left join (select src as node, count(*) as n from edges where type = 'HAS_DOCUMENT' group by 1) using (node) where type = 'Customer'",
+    "corpus_fingerprint": """with d as (select distinct on (source) source, updated_at from maintenance_docs where deleted_at is null),
+one as (select left(sha1(source), 4) as part, source, sha1(source || chr(31) || coalesce(strftime(updated_at at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.%f'), '') || chr(30)) as h from d),
+parts as (select part, count(*) as n, sha1(string_agg(h, '' order by source)) as h from one group by part)
+select cast(sum(n) as varchar) || ':' || left(sha1(string_agg(h, '' order by part)), 12) as fingerprint from parts""",
     "similar_chunks": _GRAPH + f", {_LINKS}, own as materialized (select * from links where entity in (select entity from links group by 1 having count(*) <= 60)), pr as (select a.node as src, b.node as dst, count(*) as shared from own a join own b using (entity) where a.node <> b.node group by all having count(*) >= 2) select src, dst, shared, least(1.0, shared / 4.0) as weight from pr qualify row_number() over (partition by src order by shared desc, dst) <= 5",
     "system_ownership": _GRAPH + "select distinct a.src as customer, c.dst as system from edges a join edges b on b.src = a.dst and b.type = 'HAS_CHUNK' join edges c on c.src = b.dst and c.type = 'MENTIONS' where a.type = 'HAS_DOCUMENT'",
     "linked_entities": _GRAPH + f"select node, type, label from bare where type in ('Customer', 'System', 'IssueType') and ((label <> '' and contains({sql.lit(QUERY.lower())}, lower(label))) or type || ':' || label in ({', '.join(sql.lit(f'{k}:{n}') for k, n in _ALIASES)}))",

@@ -98,7 +98,9 @@ def term_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 def term_mining(spark: SparkSession, root: str) -> DataFrame:
     known = [x.lower() for d in (gr.SYSTEMS, gr.ISSUES) for name, v in d.items() for x in (name, *v)]
-    return terms.mine(gr.graph_documents(table(spark, root, "maintenance_docs")), known)
+    docs = gr.graph_documents(table(spark, root, "maintenance_docs"))
+    asked = tickets.graph_tickets(tickets.unique_tickets(table(spark, root, "maintenance_requests")), limit=None)
+    return terms.mine(docs, known, customers=gr.customer_count(docs, asked))
 
 
 def typed_json(spark: SparkSession, root: str) -> DataFrame:
@@ -143,7 +145,9 @@ SQL = {
     "chunk_windows_graph": _windows("documents", "text", 1200, 150, 20, False),
     "term_statistics": _TERMS + "select term, doc_freq, customers from stats",
     "term_mining": _TERMS
-    + f""", n as (select greatest(count(*), 1) as n_docs, greatest(count(distinct customer), 1) as n_customers from docs),
+    + f""", keys as (select distinct lower(regexp_replace(customer, '(?:\s|\p{{Z}}|_)+', '', 'g')) as ck from docs),
+n as (select greatest((select count(*) from docs), 1) as n_docs, (select count(distinct customer) from docs) + (select count(distinct lower(regexp_replace(user_id, '(?:\s|\p{{Z}}|_)+', '', 'g'))) from maintenance_requests
+  where {sql.strip("coalesce(user_id, '')")} <> '' and lower(regexp_replace(user_id, '(?:\s|\p{{Z}}|_)+', '', 'g')) not in (select ck from keys)) as n_customers),
 x as (select *, doc_freq / n_docs as raw, 1.0 - least(customers / n_customers, 1.0) as focus from stats, n where doc_freq >= 3 and term not in ({_KNOWN}) and not ({_NOISE}))
 select term, doc_freq, round(raw, 4) as share, customers, round(doc_freq * (1.0 - raw) * (0.3 + 0.7 * focus), 2) as score from x where raw <= 0.35 order by score desc, term limit 80""",
     "typed_json": "select strftime(ts, '%Y-%m-%d') as day, cast(sum(try_cast(json_extract_string(props, '$.k') as int)) as bigint) as total, count(try_cast(json_extract_string(props, '$.k') as int)) as n from events group by 1",

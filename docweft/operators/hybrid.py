@@ -7,13 +7,15 @@ Equal scores go by chunk_id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions import plain
 from docweft.functions import text as tx
+from docweft.functions.vectors import clamped, cosine
 from docweft.operators import fusion, lexical
 from docweft.session import stage
 from docweft.settings import DEFAULTS
@@ -60,34 +62,62 @@ def _best(df: DataFrame, score: str | Column, n: int) -> DataFrame:
     return df.orderBy(F.round(F.col(score) if isinstance(score, str) else score, 9).desc(), "chunk_id").limit(n)
 
 
-def search(chunks: DataFrame, query: str, as_of: Column, top_k: int = 5, mode: str = "hybrid", settings: dict = DEFAULTS, vectors: DataFrame | None = None) -> DataFrame:
+def _near(spark: SparkSession, vectors: DataFrame | None, most: int) -> DataFrame:
+    """(chunk_id, similarity) of the `most` nearest chunks given."""
+    if vectors is None:
+        return spark.createDataFrame([], "chunk_id string, similarity double")
+    return _best(vectors.select("chunk_id", "similarity"), "similarity", most)
+
+
+def _similarity(rows: DataFrame, given: str, embeddings: DataFrame | None, query_vector: Sequence[float] | None, embed: Column | None) -> DataFrame:
+    """`rows` with embedding: the similarity given, else that of the stored vector, else of one made now, else 0."""
+    ways = [F.col(given)]
+    if query_vector is not None:
+        asked = F.array(*[F.lit(float(x)) for x in query_vector])
+        if embeddings is not None:
+            # The rows are few, so they go to the vectors and not these to them.
+            stored = embeddings.select("chunk_id", F.col("embedding").alias("_stored")).join(F.broadcast(rows.select("chunk_id")), "chunk_id")
+            rows = rows.join(stored, "chunk_id", "left")
+            ways.append(F.when(F.size("_stored") > 0, clamped(cosine(F.col("_stored"), asked))))
+        if embed is not None:
+            rows = rows.withColumn("_made", F.when(reduce(lambda a, b: a & b, [w.isNull() for w in ways]), embed))
+            ways.append(F.when(F.size("_made") > 0, clamped(cosine(F.col("_made"), asked))))
+    return rows.withColumn("embedding", F.coalesce(*ways, F.lit(0.0))).drop("_stored", "_made", *[given] * (given != "embedding"))
+
+
+def search(chunks: DataFrame, query: str, as_of: Column, top_k: int = 5, mode: str = "hybrid", settings: dict = DEFAULTS, vectors: DataFrame | None = None, embeddings: DataFrame | None = None, query_vector: Sequence[float] | None = None, embed: Column | None = None, index: lexical.TermIndex | None = None, features: DataFrame | None = None) -> DataFrame:
     """The best chunks with all partial scores, sources (which lists had them), score and rank.
 
-    `vectors` has the nearest chunks (chunk_id, similarity). Lists are cut before zero scores are dropped,
-    so chunks without any hit can take places. In a single mode only that list is ranked, by its own score.
+    `vectors` has the nearest chunks (chunk_id, similarity). With a `query_vector`, candidates that are not among
+    these have the similarity of their stored vector in `embeddings` (chunk_id, embedding), or of what `embed`, a
+    column over the chunks, makes. Lists are cut before zero scores are dropped, so chunks without any hit can take
+    places. In a single mode only that list is ranked, by its own score. A stored `index` with `features` spares
+    the reading of all texts.
     """
     mode = mode if mode in MODES else "hybrid"
     limits, w = settings["search"]["candidate_limits"], settings["search"]["weights"]
-    spark = chunks.sparkSession
     text = " ".join([plain.normalize(query), *plain.expansion(query, settings["synonyms"])])
-    asked = lexical.query_frame(spark, text)
-    words = lexical.TermIndex(chunks).scores(asked, **settings["bm25"]).select("chunk_id", F.col("score").alias("raw"))
-    grams = lexical.ngram_scores(lexical.ngram_features(chunks), text).withColumnRenamed("score", "ngram")
-    near = (vectors if vectors is not None else spark.createDataFrame([], "chunk_id string, similarity double")).select("chunk_id", F.col("similarity").alias("embedding"))
-    near = _best(near, "embedding", limits["vector"])
-    every = stage(chunks.select("chunk_id").join(words, "chunk_id", "left").join(grams, "chunk_id").join(near, "chunk_id", "left").select("chunk_id", F.coalesce("raw", F.lit(0.0)).alias("raw"), "ngram", F.coalesce("embedding", F.lit(0.0)).alias("embedding"), F.col("embedding").isNotNull().alias("near")), "hybrid")
-    most = every.agg(F.max("raw").alias("most"))
-    scored = every.join(F.broadcast(most)).withColumn("bm25", F.col("raw") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)).drop("raw", "most")
-    lists = {"bm25": _best(scored, "bm25", limits["bm25"]), "ngram": _best(scored, "ngram", limits["ngram"]), "vector": scored.filter("near")}
-    found = fusion.with_provenance({name: df.select("chunk_id", F.lit(0).alias("query_id")) for name, df in lists.items()})
-    candidates = scored.join(F.broadcast(found.select("chunk_id", "sources")), "chunk_id").drop("near")
+    one = lexical.OneQuery(chunks, text, index=index, features=features, **settings["bm25"])
+    near = _near(chunks.sparkSession, vectors, limits["vector"])
+    by_words = _best(one.words, "raw", limits["bm25"]).select("chunk_id")
+    if one.n_hits < limits["bm25"]:
+        # Chunks without a hit fill the list, by their ids.
+        first = one.grams.select("chunk_id").orderBy("chunk_id").limit(2 * limits["bm25"])
+        by_words = by_words.union(first.join(one.words.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id").limit(limits["bm25"] - one.n_hits))
+    lists = {"bm25": by_words, "ngram": _best(one.grams, "ngram", limits["ngram"]), "vector": near}
+    # Bounded by the limits of the three lists.
+    found = F.broadcast(fusion.with_provenance({name: df.select("chunk_id", F.lit(0).alias("query_id")) for name, df in lists.items()}).select("chunk_id", "sources"))
+    both = one.grams.join(found, "chunk_id").join(near.withColumnRenamed("similarity", "near"), "chunk_id", "left")
+    hits = one.words.join(found.select("chunk_id"), "chunk_id")
+    candidates = both.join(F.broadcast(hits), "chunk_id", "left").withColumn("bm25", F.coalesce(F.col("raw") / one.most, F.lit(0.0))).drop("raw")
     if mode == "hybrid":
-        candidates = _best(candidates, F.col("bm25") * w["bm25"] + F.col("ngram") * w["ngram"] + F.col("embedding") * w["embedding"], limits["merged_max"])
+        candidates = _best(candidates, F.col("bm25") * w["bm25"] + F.col("ngram") * w["ngram"] + F.coalesce("near", F.lit(0.0)) * w["embedding"], limits["merged_max"])
     else:
         candidates = candidates.filter(F.array_contains("sources", mode.removesuffix("_only")))
-    rows = _blend(chunks.join(F.broadcast(candidates), "chunk_id"), query, None, settings, as_of)
+    # Staged, as the candidates are few and each further step would make them anew.
+    rows = _similarity(chunks.join(F.broadcast(stage(candidates, "candidates")), "chunk_id"), "near", embeddings, query_vector, embed)
     own = {"bm25_only": "bm25", "ngram_only": "ngram", "vector_only": "embedding"}.get(mode, "final_score")
-    ranked = _best(rows.withColumn("score", F.col(own)), "score", top_k).filter("score > 0")
+    ranked = _best(_blend(rows, query, None, settings, as_of).withColumn("score", F.col(own)), "score", top_k).filter("score > 0")
     return fusion.ranked(ranked.withColumn("query_id", F.lit(0)), "score")
 
 
@@ -119,8 +149,7 @@ def stored_search(chunks: DataFrame, docs: DataFrame, query: str, as_of: Column,
     text = " ".join([plain.normalize(query), *plain.expansion(query, settings["synonyms"])]).strip() or query
     live = chunks.join(docs.filter("deleted_at is null").select("source").distinct(), "source", "left_semi")
     hits = lexical.best_fields(lexical.field_scores(live, plain.search_terms(text)), limit).select("chunk_id", F.col("match_score").cast("double").alias("raw"))
-    spark = chunks.sparkSession
-    near = (vectors if vectors is not None else spark.createDataFrame([], "chunk_id string, similarity double")).select("chunk_id", "similarity")
+    near = _near(chunks.sparkSession, vectors, settings["search"]["candidate_limits"]["vector"])
     both = hits.join(near, "chunk_id", "full").select("chunk_id", F.coalesce("raw", F.lit(0.0)).alias("raw"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     rows = live.join(F.broadcast(both), "chunk_id").withColumn("body", tx.focused(F.lit(query), F.col("body"))).filter("body != ''")
     most = rows.agg(F.max("raw").alias("most"))
@@ -148,8 +177,7 @@ def search_v2(chunks: DataFrame, docs: DataFrame, query: str, as_of: Column, top
     live = chunks.join(docs.filter("deleted_at is null").select("source").distinct(), "source", "left_semi")
     terms = plain.search_terms(query)
     hits = lexical.best_fields(lexical.field_scores(live, terms, lexical.FIELD_WEIGHTS_V2), candidate_limit).select("chunk_id", F.col("match_score").cast("double").alias("lexical"))
-    spark = chunks.sparkSession
-    near = (vectors if vectors is not None else spark.createDataFrame([], "chunk_id string, similarity double")).select("chunk_id", F.col("similarity").alias("vector"))
+    near = _near(chunks.sparkSession, vectors, candidate_limit).select("chunk_id", F.col("similarity").alias("vector"))
     both = hits.join(near, "chunk_id", "full").na.fill(0.0)
     text = lexical.searchable("title", "folder", "heading", "source", "body")
     rows = live.join(F.broadcast(both), "chunk_id").withColumn("normalized", tx.normalized(text))

@@ -6,6 +6,7 @@ and a row of totals. Queries come as (query_id, query); one literal query is a f
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,16 +35,18 @@ class TermIndex:
     """Postings and totals of chunks, for BM25 ranking.
 
     `chunks` has `key` and the searched fields. Chunks without tokens count in the number of chunks and the
-    mean length. Keys are taken to be unique; null fields are as empty.
+    mean length. Keys are taken to be unique; null fields are as empty. `length` makes a chunk's length of its
+    tokens; the mean is that of these lengths, or of `mean_of` where given, but then at least 1.
     """
 
-    def __init__(self, chunks: DataFrame, key: str = "chunk_id", text: Column | None = None, tokens=tx.bm25_tokens) -> None:
+    def __init__(self, chunks: DataFrame, key: str = "chunk_id", text: Column | None = None, tokens=tx.bm25_tokens, length=F.size, mean_of: Column | None = None) -> None:
         self.key = key
         # Staged, as postings, frequencies and totals all come from the tokens, which are costly to make.
-        tokenised = stage(chunks.select(F.col(key).alias("chunk_id"), tokens(searchable(*SEARCHED) if text is None else text).alias("tokens")), "tokens")
-        self.lengths = tokenised.select("chunk_id", F.size("tokens").alias("dl"))
-        self.postings = tokenised.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        self.totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        tokenised = stage(chunks.select(F.col(key).alias("chunk_id"), tokens(searchable(*SEARCHED) if text is None else text).alias("tokens"), (F.lit(None).cast("double") if mean_of is None else mean_of).alias("mean_of")), "tokens")
+        self.lengths = tokenised.select("chunk_id", length("tokens").alias("dl"))
+        self.postings = tokenised.select("chunk_id", length("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        mean = F.avg("dl") if mean_of is None else F.greatest(F.avg("mean_of"), F.lit(1.0))
+        self.totals = tokenised.select(length("tokens").alias("dl"), "mean_of").agg(F.count("*").alias("n"), mean.alias("avgdl"))
 
     def write(self, path: str) -> None:
         """Stores the index below `path`; postings are sorted by term, so that a reader skips what it needs not."""
@@ -109,29 +112,63 @@ def grouped_by_document(ranked: DataFrame, chunks: DataFrame, k: int) -> DataFra
     return flat.withColumn("rank", F.row_number().over(place).cast("bigint")).filter(F.col("rank") <= k).drop("first_rank")
 
 
-def ngram_features(chunks: DataFrame, key: str = "chunk_id", text: Column | None = None) -> DataFrame:
-    """What n-gram overlap needs of a chunk: its compact form, Hangul, runs and the size of its gram set."""
+def ngram_features(chunks: DataFrame, key: str = "chunk_id", text: Column | None = None, tokens: bool = False) -> DataFrame:
+    """What n-gram overlap needs of a chunk: its compact form, Hangul, runs and the size of its gram set; its tokens if wanted."""
     body = searchable(*SEARCHED) if text is None else text
     form = chunks.select(F.col(key).alias("chunk_id"), tx.normalized(body).alias("form"))
     dense = F.replace("form", F.lit(" "), F.lit(""))
-    return form.select("chunk_id", dense.alias("dense"), F.regexp_replace(dense, "[0-9a-z]+", "").alias("hangul"), F.array_distinct(F.regexp_extract_all("form", F.lit("([0-9a-z]{2,})"))).alias("runs"), F.size(tx.ngrams_of(F.col("form"), dense)).alias("n_grams"))
+    return form.select("chunk_id", dense.alias("dense"), F.regexp_replace(dense, "[0-9a-z]+", "").alias("hangul"), F.array_distinct(F.regexp_extract_all("form", F.lit("([0-9a-z]{2,})"))).alias("runs"), F.size(tx.ngrams_of(F.col("form"), dense)).alias("n_grams"), *[tx.countable_words(F.col("form")).alias("tokens")] * tokens)
 
 
-def ngram_scores(features: DataFrame, query: str) -> DataFrame:
-    """(chunk_id, score): Jaccard similarity of the query's gram set with each chunk's.
+def ngram_score(query: str) -> Column:
+    """Jaccard similarity of the query's gram set with a chunk's, of the columns of ngram_features().
 
     Whether a gram is in a chunk's set shows in the chunk's forms, so sets are never built at query time.
     """
     grams = sorted(plain.ngram_set(query))
     if not grams:
-        return features.select("chunk_id", F.lit(0.0).alias("score"))
+        return F.lit(0.0)
 
     def has(g: str) -> Column:
         run = F.array_contains("runs", g)
         return (run | F.contains("dense", F.lit(g)) | F.contains("hangul", F.lit(g))) if len(g) in (2, 3) else run
 
-    both = reduce(lambda a, c: a + c, [has(g).cast("int") for g in grams])
-    return features.select("chunk_id", (both / (F.col("n_grams") + len(grams) - both)).alias("score"))
+    return tx.let(reduce(lambda a, c: a + c, [has(g).cast("int") for g in grams]), lambda both: both / (F.col("n_grams") + len(grams) - both))
+
+
+def ngram_scores(features: DataFrame, query: str) -> DataFrame:
+    """(chunk_id, score): ngram_score() of each chunk."""
+    return features.select("chunk_id", ngram_score(query).alias("score"))
+
+
+class OneQuery:
+    """What one literal query finds in chunks, from one reading of their texts.
+
+    words has (chunk_id, raw), the BM25 scores of the chunks that share a token with it; grams has (chunk_id,
+    ngram) of all chunks; n_hits is the number of the former and most their highest score. Only lengths, the tokens
+    that the query has and a similarity are kept of a text. A stored `index` and stored ngram_features() `features`
+    stand in for the texts, and then only the postings of the query's tokens are read.
+    """
+
+    def __init__(self, chunks: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, index: TermIndex | None = None, features: DataFrame | None = None) -> None:
+        if index is not None:
+            self.words = stage(index.scores_of(query, k1, b).select("chunk_id", F.col("score").alias("raw")), "words")
+            self.grams = ngram_scores(ngram_features(chunks) if features is None else features, query).withColumnRenamed("score", "ngram")
+        else:
+            terms = {t: plain.bm25_tokens(query).count(t) for t in dict.fromkeys(plain.bm25_tokens(query))}
+            read = stage(ngram_features(chunks, tokens=True).select("chunk_id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms or ("",))).alias("hits"), ngram_score(query).alias("ngram")), "read")
+            n, mean, *frequencies = read.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0)), *[F.count_if(F.array_contains("hits", t)) for t in terms]).first()
+            dl = F.col("dl") / F.lit(max(mean, 1e-9))
+
+            def worth(term: str, times: int, df: int) -> Column:
+                tf = F.size(F.filter("hits", lambda t: t == term))
+                return F.lit(times * math.log((n - df + 0.5) / (df + 0.5) + 1.0)) * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl))
+
+            raw = reduce(lambda x, y: x + y, [worth(t, times, df) for (t, times), df in zip(terms.items(), frequencies, strict=True)], F.lit(0.0))
+            self.words = read.filter(F.size("hits") > 0).select("chunk_id", raw.alias("raw"))
+            self.grams = read.select("chunk_id", "ngram")
+        self.n_hits, most = self.words.agg(F.count("*"), F.max("raw")).first()
+        self.most = most if most and most > 0 else 1.0
 
 
 def ngram_scores_of(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: Column | None = None) -> DataFrame:

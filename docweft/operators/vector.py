@@ -6,13 +6,15 @@ rows with it and keeps its best k per query, and only these are shuffled. No pai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.functions.vectors import clamped, cosine
+
 #: Vectors of a query block: at most this many, 32 MB at 1,024 dimensions.
 BLOCK = 4096
 _SCHEMA = "query_id bigint, id bigint, similarity double"
@@ -96,6 +98,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def nearest_to(vectors: DataFrame, query: Sequence[float], k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """(`key`, similarity): the `k` nearest of `vectors` to one literal vector, within 0 and 1; equal ones (to 9 places) go by key.
+
+    Vectors that are null or not as long as the query's have similarity 0 and are left out.
+    """
+    asked = F.array(*[F.lit(float(x)) for x in query])
+    own = vectors.filter(F.size(vector) == len(query)).select(key, clamped(cosine(F.col(vector), asked)).alias("similarity"))
+    return own.orderBy(F.round("similarity", 9).desc(), key).limit(k)
+
+
 def live_nearest(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, model: str, **how) -> DataFrame:
     """Nearest chunks of documents that are not deleted, of one embedding model, among those that are embedded."""
     live = docs.filter("deleted_at is null").select("source").distinct()

@@ -18,6 +18,8 @@ from docweft.session import spread, table
 from docweft.settings import DEFAULTS, merged
 
 QUERY = "배수펌프 점검 이력 알려줘"
+#: Chunks take their vectors from so many places, of which the table fills a part; the vector that is asked for.
+PLACES, ASKED_VECTOR = 2500, 7
 SYNONYMS = {"배수펌프": ["배수모터", "오수펌프"], "점검": ["검수"]}
 
 
@@ -40,8 +42,13 @@ def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bm25_distinct_topk(spark: SparkSession, root: str) -> DataFrame:
-    index = lexical.TermIndex(chunk_table(spark, root), text=F.coalesce("body", F.lit("")), tokens=tx.lemma_tokens)
-    return _rounded(lexical.top_k(index.scores(title_queries(spark, root), k1=1.2, tokens=tx.lemma_tokens, repeated=False), 10))
+    return _rounded(lexical.top_k(_lemma_scores(spark, root), 10))
+
+
+def _lemma_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Scores of titles over lemmas: a chunk's length is a third of its lemmas as a text, the mean a third of its body's."""
+    index = lexical.TermIndex(chunk_table(spark, root), text=F.concat_ws(" ", F.coalesce("body", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("title", F.lit(""))), tokens=tx.lemma_tokens, length=lambda t: F.length(F.array_join(t, " ")) / 3.0, mean_of=F.length(F.coalesce("body", F.lit(""))) / 3.0)
+    return index.scores(title_queries(spark, root), k1=1.2, tokens=tx.lemma_tokens, repeated=False)
 
 
 def doc_grouped_search(spark: SparkSession, root: str) -> DataFrame:
@@ -115,12 +122,40 @@ def knn_metrics(spark: SparkSession, root: str) -> DataFrame:
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr")])
 
 
-def _hybrid(spark: SparkSession, root: str, mode: str, vectors: DataFrame | None = None) -> DataFrame:
+def _hybrid(spark: SparkSession, root: str, mode: str, vectors: DataFrame | None = None, **more) -> DataFrame:
     settings = merged(DEFAULTS, {"synonyms": SYNONYMS})
-    found = hybrid.search(chunk_table(spark, root), QUERY, F.lit(AS_OF).cast("timestamp"), 20, mode, settings, vectors)
+    found = hybrid.search(chunk_table(spark, root), QUERY, F.lit(AS_OF).cast("timestamp"), 20, mode, settings, vectors, **more)
     return found.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("bm25", "ngram", "embedding", "field_boost", "exact_match_boost", "recency_boost", "score")], F.array_join("sources", "+").alias("sources"))
 
 
+def chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """(chunk_id, embedding): vectors of the table embeddings for chunks, by a hash of their ids; some have none."""
+    place = F.conv(F.substring(F.md5("chunk_id"), 1, 7), 16, 10).cast("bigint") % PLACES
+    return table(spark, root, "chunks").select("chunk_id", place.alias("vec_id")).join(table(spark, root, "embeddings").select("vec_id", "embedding"), "vec_id").select("chunk_id", "embedding")
+
+
+def _query_vector(spark: SparkSession, root: str) -> list[float]:
+    return table(spark, root, "embeddings").filter(F.col("vec_id") == ASKED_VECTOR).first().embedding
+
+
+def _with_vectors(spark: SparkSession, root: str) -> dict:
+    own, asked = chunk_vectors(spark, root), _query_vector(spark, root)
+    return {"vectors": vector.nearest_to(own, asked, 50), "embeddings": own, "query_vector": asked}
+
+
+def hybrid_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return _hybrid(spark, root, "hybrid", **_with_vectors(spark, root))
+
+
+def mode_vector_only(spark: SparkSession, root: str) -> DataFrame:
+    return _hybrid(spark, root, "vector_only", **_with_vectors(spark, root))
+
+
+def nearest_chunks(spark: SparkSession, root: str) -> DataFrame:
+    found = vector.nearest_to(chunk_vectors(spark, root), _query_vector(spark, root), 50)
+    return found.select("chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
 def hybrid_blend(spark: SparkSession, root: str) -> DataFrame:
     return _hybrid(spark, root, "hybrid")
 
@@ -149,19 +184,31 @@ def hybrid_hash_vectors(spark: SparkSession, root: str) -> DataFrame:
     return _hybrid(spark, root, "hybrid", hash_vectors(spark, root, QUERY))
 
 
-def mode_vector_only(spark: SparkSession, root: str) -> DataFrame:
-    return _hybrid(spark, root, "vector_only", hash_vectors(spark, root, QUERY))
+def _stored(spark: SparkSession, root: str, vectors: DataFrame | None = None) -> DataFrame:
+    settings = merged(DEFAULTS, {"synonyms": SYNONYMS})
+    found = hybrid.stored_search(chunk_table(spark, root), table(spark, root, "maintenance_docs"), QUERY, F.lit(AS_OF).cast("timestamp"), 20, settings, vectors, vectors is not None)
+    return found.select("chunk_id", "source", F.round("score", 6).alias("score"))
 
 
 def stored_search(spark: SparkSession, root: str) -> DataFrame:
-    settings = merged(DEFAULTS, {"synonyms": SYNONYMS})
-    found = hybrid.stored_search(chunk_table(spark, root), table(spark, root, "maintenance_docs"), QUERY, F.lit(AS_OF).cast("timestamp"), 20, settings)
-    return found.select("chunk_id", "source", F.round("score", 6).alias("score"))
+    return _stored(spark, root)
+
+
+def stored_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return _stored(spark, root, vector.nearest_to(chunk_vectors(spark, root), _query_vector(spark, root), 50))
+
+
+def _v2(spark: SparkSession, root: str, vectors: DataFrame | None = None) -> DataFrame:
+    found = hybrid.search_v2(chunk_table(spark, root), table(spark, root, "maintenance_docs"), QUERY, F.lit(AS_OF).cast("timestamp"), 20, vectors=vectors)
+    return found.select("chunk_id", F.round("lexical", 6).alias("lexical"), F.round("vector", 6).alias("vector"), F.round("ngram", 6).alias("ngram"), F.round("score", 6).alias("score"))
 
 
 def v2_blend(spark: SparkSession, root: str) -> DataFrame:
-    found = hybrid.search_v2(chunk_table(spark, root), table(spark, root, "maintenance_docs"), QUERY, F.lit(AS_OF).cast("timestamp"), 20)
-    return found.select("chunk_id", F.round("lexical", 6).alias("lexical"), F.round("ngram", 6).alias("ngram"), F.round("score", 6).alias("score"))
+    return _v2(spark, root).drop("vector")
+
+
+def v2_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return _v2(spark, root, vector.nearest_to(chunk_vectors(spark, root), _query_vector(spark, root), 50))
 
 
 def _runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -198,7 +245,7 @@ def answer_chunks(spark: SparkSession, root: str) -> DataFrame:
     return hybrid.for_answer(found).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, hybrid_hash_vectors, stored_search, v2_blend, rrf_fusion, candidate_provenance, snippet_cards, context_budget, answer_chunks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, snippet_cards, context_budget, answer_chunks)}
 
 _ASKED = "asked as (select idx as query_id, min(title) as query from maintenance_requests where idx % 20 = 0 and title is not null group by idx)"
 
@@ -222,21 +269,21 @@ _GRAMS = "[" + ", ".join(sql.lit(g) for g in sorted(plain.ngram_set(QUERY))) + "
 _MORE_GRAMS = "[" + ", ".join(sql.lit(g) for g in sorted(plain.ngram_set(_TEXT_QUERY))) + "]"
 
 
-def _jaccard(grams: str, text: str) -> str:
-    return f"(select chunk_id, len(list_intersect(own, {grams})) / (len(own) + len({grams}) - len(list_intersect(own, {grams}))) as ngram from {sql.ngram_sets(text)})"
+def _jaccard(grams: str, text: str, rows: str = "chunks") -> str:
+    return f"(select chunk_id, len(list_intersect(own, {grams})) / (len(own) + len({grams}) - len(list_intersect(own, {grams}))) as ngram from {sql.ngram_sets(text, rows)})"
 
 
-def _fields(weights: dict[str, int]) -> str:
+def _fields(weights: dict[str, int], terms: list[str] | None = None) -> str:
     parts = []
-    for t in plain.search_terms(QUERY):
+    for t in plain.search_terms(QUERY) if terms is None else terms:
         for f, w in weights.items():
             e = sql.normalized("body") if f == "normalized_body" else f"lower(coalesce({f}, ''))"
             parts.append(f"case when contains({e}, {sql.lit(t)}) then {w} else 0 end")
     return " + ".join(parts)
 
 
-def _weighted(weights: dict[str, int]) -> str:
-    return f"select chunk_id, cast(match_score as bigint) as match_score from (select chunk_id, source, try_cast(updated_at as timestamptz) as u, {_fields(weights)} as match_score from chunks where source in (select source from maintenance_docs where deleted_at is null)) where match_score > 0 order by match_score desc, u desc nulls last, source, chunk_id limit 50"
+def _weighted(weights: dict[str, int], terms: list[str] | None = None, limit: int = 50) -> str:
+    return f"select chunk_id, cast(match_score as bigint) as match_score from (select chunk_id, source, try_cast(updated_at as timestamptz) as u, {_fields(weights, terms)} as match_score from chunks where source in (select source from maintenance_docs where deleted_at is null)) where match_score > 0 order by match_score desc, u desc nulls last, source, chunk_id limit {limit}"
 
 
 def _weighted_many(weights: dict[str, int]) -> str:
@@ -253,8 +300,8 @@ _FORM = {f: sql.normalized(f) for f in ("title", "filename", "folder", "heading"
 _CFG = DEFAULTS["search"]
 
 
-def _boosts() -> str:
-    own, more = tuple(sorted(set(plain.words(QUERY)))), tuple(plain.expansion(QUERY, SYNONYMS))
+def _boosts(terms: list[str] | None = None) -> str:
+    own, more = tuple(sorted(set(plain.words(QUERY) if terms is None else terms))), tuple(plain.expansion(QUERY, SYNONYMS))
     field = " + ".join(f"case when {sql.any_of('f_' + f, own)} then {w} when {sql.any_of('f_' + f, more)} then {w * _CFG['expanded_share']} else 0 end" for f, w in _CFG["field_boosts"].items())
     joined = "concat_ws(' ', " + ", ".join("f_" + f for f in _FORM) + ")"
     exact = f"case when contains({joined}, {sql.lit(plain.normalize(QUERY))}) then {_CFG['exact_phrase_boost']} else 0 end + case when contains(replace({joined}, ' ', ''), {sql.lit(plain.compact(QUERY))}) then {_CFG['compact_exact_phrase_boost']} else 0 end"
@@ -263,27 +310,68 @@ def _boosts() -> str:
     return f"least({field}, {_CFG['field_boost_cap']}) as field_boost, least({exact}, {_CFG['exact_boost_cap']}) as exact_match_boost, {recency} as recency_boost"
 
 
-def _mode(mode: str) -> str:
-    chosen = {"hybrid": "select chunk_id from cand order by round(bm25 * 0.35 + ngram * 0.15, 9) desc, chunk_id limit 100", "bm25_only": "select chunk_id from cand where in_b", "ngram_only": "select chunk_id from cand where in_g"}[mode]
-    rank = {"hybrid": "final", "bm25_only": "bm25", "ngram_only": "ngram"}[mode]
+_VECTORS = f"""asked_v as (select embedding::double[] as e from embeddings where vec_id = {ASKED_VECTOR}),
+sim as (select chunk_id, greatest(0.0, least(1.0, list_cosine_similarity(embedding::double[], e))) as similarity from chunks join embeddings on vec_id = ('0x' || left(md5(chunk_id), 7))::bigint % {PLACES}, asked_v),
+near as (select * from sim order by round(similarity, 9) desc, chunk_id limit 50)"""
+_NO_VECTORS = "sim as (select null::varchar as chunk_id, null::double as similarity where false), near as (select * from sim)"
+
+
+def _mode(mode: str, vectors: bool = False) -> str:
+    chosen = {"hybrid": "select chunk_id from cand order by round(bm25 * 0.35 + ngram * 0.15 + coalesce(near, 0) * 0.35, 9) desc, chunk_id limit 100", "bm25_only": "select chunk_id from cand where in_b", "ngram_only": "select chunk_id from cand where in_g", "vector_only": "select chunk_id from cand where near is not null"}[mode]
+    rank = {"hybrid": "final", "bm25_only": "bm25", "ngram_only": "ngram", "vector_only": "embedding"}[mode]
     return f"""with one as (select 0 as query_id, {sql.lit(_TEXT_QUERY)} as query),
+{_VECTORS if vectors else _NO_VECTORS},
 {_bm25("b", sql.SEARCHED, "one")},
 g as {_jaccard(_MORE_GRAMS, sql.SEARCHED)},
 al as (select c.chunk_id, coalesce(b.score, 0) as raw, g.ngram from chunks c left join b using (chunk_id) join g using (chunk_id)),
 s as (select chunk_id, raw / (select case when max(raw) > 0 then max(raw) else 1 end from al) as bm25, ngram from al),
 r as (select *, row_number() over (order by round(bm25, 9) desc, chunk_id) <= 50 as in_b, row_number() over (order by round(ngram, 9) desc, chunk_id) <= 50 as in_g from s),
-cand as (select * from r where in_b or in_g),
+cand as (select r.*, near.similarity as near from r left join near using (chunk_id) where in_b or in_g or near.similarity is not null),
 f as (select chunk_id, updated_at, {", ".join(f"{e} as f_{n}" for n, e in _FORM.items())} from chunks where chunk_id in ({chosen})),
-p as (select *, {_boosts()} from f join cand using (chunk_id)),
-t as (select *, bm25 * 0.35 + ngram * 0.15 + field_boost * 0.10 + exact_match_boost * 0.05 + recency_boost as final from p)
-select chunk_id, round(bm25, 6) as bm25, round(ngram, 6) as ngram, 0.0::double as embedding, round(field_boost::double, 6) as field_boost, round(exact_match_boost::double, 6) as exact_match_boost, round(recency_boost, 6) as recency_boost, round({rank}, 6) as score,
-  concat_ws('+', case when in_b then 'bm25' end, case when in_g then 'ngram' end) as sources from t where {rank} > 0 order by round({rank}, 9) desc, chunk_id limit 20"""
+p as (select f.*, cand.* exclude (chunk_id), coalesce(near, sim.similarity, 0.0)::double as embedding, {_boosts()} from f join cand using (chunk_id) left join sim using (chunk_id)),
+t as (select *, bm25 * 0.35 + ngram * 0.15 + embedding * 0.35 + field_boost * 0.10 + exact_match_boost * 0.05 + recency_boost as final from p)
+select chunk_id, round(bm25, 6) as bm25, round(ngram, 6) as ngram, round(embedding, 6) as embedding, round(field_boost::double, 6) as field_boost, round(exact_match_boost::double, 6) as exact_match_boost, round(recency_boost, 6) as recency_boost, round({rank}, 6) as score,
+  concat_ws('+', case when in_b then 'bm25' end, case when in_g then 'ngram' end, case when near is not null then 'vector' end) as sources from t where {rank} > 0 order by round({rank}, 9) desc, chunk_id limit 20"""
+
+
+def _stored_sql(vectors: bool) -> str:
+    terms = plain.search_terms(_TEXT_QUERY)
+    flat = r"trim(regexp_replace(" + sql.strip(r"replace(body, chr(65279), '')") + r", '(?:\s|\p{Z})+', ' ', 'g'))"
+    focus = sql.strip(f"case when length(flat) <= 1800 then flat else substring(flat, cast(greatest(1, coalesce({_POS} - 250, 1)) as int), 1800) end")
+    embedding = "similarity" if vectors else "case when raw > 0 then similarity else 0.0 end"
+    kept = "true" if vectors else "(raw > 0 or field_boost > 0 or exact_match_boost > 0)"
+    return f"""with {_VECTORS if vectors else _NO_VECTORS},
+h as ({_weighted(lexical.FIELD_WEIGHTS, terms, 160)}),
+hv as (select chunk_id, coalesce(match_score, 0)::double as raw, coalesce(similarity, 0.0) as similarity from h full join near using (chunk_id)),
+x as (select c.* exclude (body), raw, similarity, {flat} as flat from chunks c join hv using (chunk_id) where source in (select source from maintenance_docs where deleted_at is null)),
+rows_ as materialized (select * exclude (flat), {focus} as body from x where flat <> ''),
+g as {_jaccard(_MORE_GRAMS, sql.SEARCHED, "rows_")},
+f as (select chunk_id, source, updated_at, raw, similarity, raw / (select case when max(raw) > 0 then max(raw) else 1 end from rows_) as bm25, ngram, {", ".join(f"{e} as f_{n}" for n, e in _FORM.items())} from rows_ join g using (chunk_id)),
+p as (select *, {embedding} as embedding, {_boosts(plain.search_terms(QUERY))} from f),
+t as (select *, bm25 * 0.35 + ngram * 0.15 + embedding * 0.35 + field_boost * 0.10 + exact_match_boost * 0.05 + recency_boost as final from p where {kept})
+select chunk_id, source, round(final, 6) as score from t where final > 0 order by round(final, 9) desc, chunk_id limit 20"""
+
+
+def _v2_sql(vectors: bool) -> str:
+    return f"""with {_VECTORS if vectors else _NO_VECTORS}, h as ({_weighted(lexical.FIELD_WEIGHTS_V2)}),
+hv as (select chunk_id, coalesce(match_score, 0)::double as ms, coalesce(similarity, 0.0) as vector from h full join near using (chunk_id)),
+g as {_jaccard(_GRAMS, _V2_TEXT)},
+x as (select c.chunk_id, hv.ms / (select case when max(ms) > 0 then max(ms) else 1 end from hv) as lexical, vector, g.ngram, c.updated_at, {sql.normalized(_V2_TEXT)} as form from chunks c join hv using (chunk_id) join g using (chunk_id) where source in (select source from maintenance_docs where deleted_at is null)),
+y as (select *, case when {sql.any_of("form", tuple(plain.search_terms(QUERY)))} then 1.0 else 0.0 end as hit, case when try_cast(updated_at as timestamptz) is null then 0.0 else greatest(0.0, 0.05 * (1 - least(greatest(0.0, (epoch_us(timestamptz '{AS_OF}+00') - epoch_us(try_cast(updated_at as timestamptz))) / 86400000000.0), 365.0) / 365.0)) end as recency from x),
+z as (select *, lexical * 0.45 + vector * 0.30 + hit * 0.15 + ngram * 0.05 + recency as score from y where lexical > 0 or hit > 0 or vector <> 0)
+select chunk_id, round(lexical, 6) as lexical, {"round(vector, 6) as vector, " if vectors else ""}round(ngram, 6) as ngram, round(score, 6) as score from z order by round(score, 9) desc, chunk_id limit 20"""
 
 
 _V2_TEXT = "concat_ws(chr(10), coalesce(title, ''), coalesce(folder, ''), coalesce(heading, ''), coalesce(source, ''), coalesce(body, ''))"
 _SIMS = "sims as (select a.vec_id as query_id, b.vec_id as id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id), near as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, id) as rank from sims qualify rank <= 10)"
 _RUN_SQL = f"""{_ASKED}, {_bm25("bb", "coalesce(body, '')")}, {_bm25("hh", "concat_ws(chr(10), coalesce(title, ''), coalesce(heading, ''))")},
 runs as (select query_id, chunk_id, 'body' as run, rank, 1.0 as w from {_top("bb", 30)} union all select query_id, chunk_id, 'head', rank, 1.2 from {_top("hh", 20)})"""
+_LEMMAS = "flatten(list_transform(list_filter(regexp_extract_all(lower({}), '[가-힣]+|[a-z][a-z0-9_.-]*|[0-9]+'), lambda w: length(w) >= 2 and w not in (" + ", ".join(map(sql.lit, tx.LEMMA_STOPWORDS)) + ")), lambda w: case when regexp_full_match(w, '[가-힣]+') and length(w) > 3 then list_concat([w], [substring(w, i, 2) for i in range(1, length(w))]) else [w] end))"
+_LEMMA_SQL = f"""with {_ASKED}, tok as (select chunk_id, length(coalesce(body, '')) / 3.0 as bl, {_LEMMAS.format("coalesce(body, '') || ' ' || coalesce(heading, '') || ' ' || coalesce(title, '')")} as tokens from chunks),
+post as (select chunk_id, term, count(*) as tf, any_value(dl) as dl from (select chunk_id, length(array_to_string(tokens, ' ')) / 3.0 as dl, unnest(tokens) as term from tok) group by all),
+df as (select term, count(*) as df from post group by term), n as (select count(*) as n, greatest(avg(bl), 1.0) as avgdl from tok),
+q as (select distinct query_id, unnest({_LEMMAS.format("query")}) as term from asked),
+lem as (select query_id, chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join post using (term) join df using (term), n group by all)"""
 _FOCUS_WORDS = [w.lower() for w in QUERY.split() if len(w) >= 2]
 _FLAT = r"trim(regexp_replace(" + sql.strip(r"replace(content, chr(65279), '')") + r", '(?:\s|\p{Z})+', ' ', 'g'))"
 _POS = "least(" + ", ".join(f"case when strpos(lower(flat), {sql.lit(w)}) > 0 then strpos(lower(flat), {sql.lit(w)}) end" for w in _FOCUS_WORDS) + ")"
@@ -321,12 +409,14 @@ select count(*) as n, round(avg(case when r <= 1 then 1.0 else 0 end), 6) as hit
     "hybrid_blend": _mode("hybrid"),
     "mode_bm25_only": _mode("bm25_only"),
     "mode_ngram_only": _mode("ngram_only"),
-    "v2_blend": f"""with h as ({_weighted(lexical.FIELD_WEIGHTS_V2)}),
-g as {_jaccard(_GRAMS, _V2_TEXT)},
-x as (select c.chunk_id, h.match_score / (select max(match_score) from h) as lexical, g.ngram, c.updated_at, {sql.normalized(_V2_TEXT)} as form from chunks c join h using (chunk_id) join g using (chunk_id)),
-y as (select *, case when {sql.any_of("form", tuple(plain.search_terms(QUERY)))} then 1.0 else 0.0 end as hit, case when try_cast(updated_at as timestamptz) is null then 0.0 else greatest(0.0, 0.05 * (1 - least(greatest(0.0, (epoch_us(timestamptz '{AS_OF}+00') - epoch_us(try_cast(updated_at as timestamptz))) / 86400000000.0), 365.0) / 365.0)) end as recency from x),
-z as (select *, lexical * 0.45 + hit * 0.15 + ngram * 0.05 + recency as score from y)
-select chunk_id, round(lexical, 6) as lexical, round(ngram, 6) as ngram, round(score, 6) as score from z order by round(score, 9) desc, chunk_id limit 20""",
+    "v2_blend": _v2_sql(False),
+    "v2_vectors": _v2_sql(True),
+    "mode_vector_only": _mode("vector_only", True),
+    "hybrid_vectors": _mode("hybrid", True),
+    "nearest_chunks": f"with {_VECTORS} select chunk_id, round(similarity, 6) as similarity from near",
+    "stored_search": _stored_sql(False),
+    "stored_vectors": _stored_sql(True),
+    "bm25_distinct_topk": _LEMMA_SQL + f" select query_id, chunk_id, round(score, 6) as score, rank from {_top('lem', 10)}",
     "rrf_fusion": f"""with {_RUN_SQL}, u as (select query_id, chunk_id, sum(w / (60 + rank)) as score, string_agg(run, '+' order by run) as via from runs group by all)
 select query_id, chunk_id, round(score, 6) as score, via, rank from {_top("u", 10)}""",
     "candidate_provenance": f"with {_RUN_SQL} select query_id, chunk_id, string_agg(run, '+' order by run) as sources from runs group by all",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def metrics(cases: DataFrame, first: DataFrame, cuts: tuple[int, ...] = (1, 3, 5
     return rows.agg(F.count("*").alias("n"), *shares, F.coalesce(F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
 
 
+def compared(cases: DataFrame, runs: dict[str, DataFrame], matches: Column, cuts: tuple[int, ...] = (1, 3, 5), by: str = "query_id") -> DataFrame:
+    """(mode, n, hits, mrr): metrics() of each of several runs; `matches` is a condition on columns of run and case."""
+    parts = [metrics(cases, first_match(run.join(cases, by), matches, by), cuts, by).withColumn("mode", F.lit(name)) for name, run in runs.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def recall(cases: DataFrame, ranked: DataFrame, k: int, by: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """(recall): mean over cases (query_id, `key`) of the share of their relevant rows among the first `k`."""
     hit = cases.join(ranked.filter(F.col("rank") <= k).select(by, key, F.lit(1).alias("_hit")), [by, key], "left")

@@ -73,8 +73,8 @@ class TermIndex:
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
-    def scores(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokens=tx.bm25_tokens, repeated: bool = True) -> DataFrame:
-        """(query_id, chunk_id, score) of the chunks that share a token with a query.
+    def scores(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokens=tx.bm25_tokens, repeated: bool = True, counted: bool = False) -> DataFrame:
+        """(query_id, chunk_id, score) of the chunks that share a token with a query; n_terms too if `counted`, how many.
 
         A token that a query repeats counts each time, unless `repeated` is False. The terms of all queries
         are joined to the postings on the term, so that only their postings are read further.
@@ -86,7 +86,7 @@ class TermIndex:
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
         part = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
         weighted = hits.select("term", "chunk_id", part.alias("part"))
-        return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+        return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"), *[F.count("*").alias("n_terms")] * counted)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id", score: str = "score") -> DataFrame:

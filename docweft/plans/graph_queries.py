@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as tx
 from docweft.operators import graph as gr
-from docweft.operators import tickets
-from docweft.plans import sql
+from docweft.operators import graph_search, tickets
+from docweft.plans import search_queries, sql
 from docweft.plans.text_queries import _GRAPH_DOCS
 from docweft.session import spread, table
 
@@ -107,6 +107,22 @@ def resolved_seeds(spark: SparkSession, root: str) -> DataFrame:
     return gr.resolve_seeds(graph, top.union(_seeds(spark)), per_doc=2)
 
 
+def weighted_edges(spark: SparkSession, root: str) -> DataFrame:
+    return graph_search.weighted_edges(build(spark, root)).select("src", "dst", "type", F.round("exp_weight", 6).alias("exp_weight"))
+
+
+def query_links(spark: SparkSession, root: str) -> DataFrame:
+    graph, asked = build(spark, root), search_queries.title_queries(spark, root)
+    found = graph_search.linked(asked, graph_search.aliases(graph))
+    return found.join(graph_search.intents(asked, found), "query_id").select("query_id", "node", "intent")
+
+
+def graph_search_titles(spark: SparkSession, root: str) -> DataFrame:
+    graph = build(spark, root)
+    found = graph_search.search(graph, graph_search.weighted_edges(graph), table(spark, root, "chunks"), search_queries._lemma_index(spark, root), search_queries.title_queries(spark, root), graph_search.aliases(graph))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "via", F.col("rank").cast("bigint").alias("rank"))
+
+
 def subgraph_nodes(spark: SparkSession, root: str) -> DataFrame:
     return gr.subgraph(build(spark, root))[0].select("node", "type", "degree")
 
@@ -116,7 +132,7 @@ def corpus_fingerprint(spark: SparkSession, root: str) -> DataFrame:
     return gr.fingerprint(live.select("source", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("updated_at")))
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_counts, hub_penalties, expand_1hop, expand_2hop, expand_3hop, expand_no_penalty, expand_top, expand_spread, entity_coverage, hub_list, customer_list, similar_chunks, system_ownership, linked_entities, resolved_seeds, subgraph_nodes, corpus_fingerprint)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_counts, hub_penalties, expand_1hop, expand_2hop, expand_3hop, expand_no_penalty, expand_top, expand_spread, entity_coverage, hub_list, customer_list, similar_chunks, system_ownership, linked_entities, resolved_seeds, weighted_edges, query_links, graph_search_titles, subgraph_nodes, corpus_fingerprint)}
 
 
 def _entities(e: str, dictionary: dict) -> str:
@@ -168,7 +184,43 @@ def _expand(hops: int, penalty: bool = True) -> str:
 _LINKS = "links as (select distinct src as node, dst as entity from edges where type in ('MENTIONS', 'HAS_ISSUE') and prefix(src, 'Chunk:'))"
 _ALIASES = [(k, n) for k, d in (("System", gr.SYSTEMS), ("IssueType", gr.ISSUES)) for n, v in d.items() if any(x in QUERY.lower() for x in v)]
 
+_WORTH = " ".join(f"when '{k}' then {v}" for k, v in graph_search.EDGE_WEIGHTS.items())
+_RICH = _GRAPH + f""", {_LINKS},
+base as materialized (select * from edges where type in ('HAS_DOCUMENT', 'BELONGS_TO', 'HAS_CHUNK', 'PART_OF', 'MENTIONS', 'MENTIONED_IN', 'HAS_ISSUE', 'OCCURS_IN') and not prefix(src, 'Ticket:') and not prefix(dst, 'Ticket:')),
+home as (select b.dst as chunk, a.src as customer from base a join base b on a.dst = b.src and a.type = 'HAS_DOCUMENT' and b.type = 'HAS_CHUNK'),
+owned as (select distinct customer, c.dst as system from home join base c on c.src = chunk and c.type = 'MENTIONS'),
+rare as (select * from links where entity in (select entity from links group by 1 having count(*) <= 60)),
+pairs as (select a.node as src, b.node as dst, count(*) as shared from rare a join rare b using (entity) where a.node <> b.node group by all having count(*) >= 2),
+alike as (select * from pairs qualify row_number() over (partition by src order by shared desc, dst) <= 5),
+rich as (select src, dst, type, case type {_WORTH} else 1.0 end as weight from (select * from base union all select chunk, customer, 'BELONGS_TO' from home union all select customer, system, 'OWNS' from owned union all select system, customer, 'OWNED_BY' from owned)
+  union all select src, dst, 'SIMILAR_TO', least(1.0, shared / 4.0) from alike),
+out_ as (select src as node, count(*) as n from rich group by 1),
+worth as materialized (select src, dst, type, weight * case when coalesce(n, 0) > 1 then 1 / (1 + 0.9 * log10(n)) else 1.0 end as exp_weight from rich left join out_ on out_.node = rich.dst)"""
+_ASKED = search_queries._ASKED
+_KNOWN = ", ".join(f"({sql.lit(v.lower())}, {sql.lit(f'{k}:{n}')}, '{k}', {sql.lit(n)})" for k, d in (("System", gr.SYSTEMS), ("IssueType", gr.ISSUES)) for n, all_ in d.items() for v in all_)
+_LINKED = f"""{_ASKED}, known as (select * from (values {_KNOWN}) v(alias, node, type, label) where node in (select node from bare) union all select lower(label), node, type, label from bare where type = 'Customer'),
+linked as materialized (select distinct query_id, node, type, label from asked, known where alias <> '' and contains(lower(query), alias)),
+wish as materialized (select query_id, case when {sql.any_of("lower(query)", graph_search.HISTORY_WORDS)} then 'history' when query_id in (select query_id from linked where type = 'Customer') then 'customer_info' when {sql.any_of("lower(query)", graph_search.MANUAL_WORDS)} then 'manual' else 'default' end as intent from asked)"""
+_MAY = ", ".join(f"('{i}', '{t}')" for i, ts in graph_search.INTENT_EDGES.items() for t in ts)
+_FUSED = f"""{search_queries._LEMMA_SQL.removeprefix("with " + _ASKED + ", ")},
+words as materialized (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from lem qualify rank <= 30),
+own as materialized (select c.chunk_id, cp.node, cp.customer from chunks c join cp on cp.node = 'Chunk:' || c.source || '#' || lpad(c.ordinal::varchar, 4, '0')),
+start as (select query_id, node from linked union select query_id, node from words join own using (chunk_id) where rank <= 5),
+may as (select * from (values {_MAY}) v(intent, type)), ok as (select query_id, type from wish join may using (intent)),
+w1 as materialized (select query_id, dst as node, max(0.6 * exp_weight) as score from start join worth on src = start.node join ok using (query_id, type) where 0.6 * exp_weight > 0.05 group by all),
+w2 as (select query_id, dst as node, max(score * 0.6 * exp_weight) as score from w1 join worth on src = w1.node join ok using (query_id, type) where score * 0.6 * exp_weight > 0.05 group by all),
+walked as (select query_id, node, max(score) as score from (select * from w1 union all select * from w2) where prefix(node, 'Chunk:') group by all),
+paths as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, node) as rank from walked join own using (node) qualify rank <= 30),
+terms as (select query_id, chunk_id, count(*) as k from q join post using (term) group by all),
+scoped as (select t.query_id, t.chunk_id, row_number() over (partition by t.query_id order by w.rank nulls last, k desc, t.chunk_id) as rank from terms t join own using (chunk_id) join linked l on l.query_id = t.query_id and l.type = 'Customer' and l.label = own.customer
+  left join words w on w.query_id = t.query_id and w.chunk_id = t.chunk_id qualify rank <= 20),
+runs as (select query_id, chunk_id, 'lexical' as run, rank, 1.0 as w from words union all select query_id, chunk_id, 'graph', rank, 0.6 from paths union all select query_id, chunk_id, 'customer', rank, 1.2 from scoped),
+fused as (select query_id, chunk_id, sum(w / (60 + rank)) as score, string_agg(run, '+' order by run) as via from runs group by all)"""
+
 SQL = {
+    "weighted_edges": _RICH + " select src, dst, type, round(exp_weight, 6) as exp_weight from worth",
+    "query_links": _GRAPH + f", {_LINKED} select query_id, node, intent from linked join wish using (query_id)",
+    "graph_search_titles": _RICH + f", {_LINKED}, {_FUSED} select query_id, chunk_id, round(score, 6) as score, via, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from fused qualify rank <= 10",
     "graph_nodes": _GRAPH + "select b.node, b.type, b.label, coalesce(degree, 0) as degree from bare b left join deg using (node)",
     "graph_edges": _GRAPH + "select src, dst, type from edges",
     "graph_counts": _GRAPH + "select 'node' as what, type, count(*) as n from bare group by type union all select 'edge', type, count(*) from edges group by type",

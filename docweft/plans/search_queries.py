@@ -47,8 +47,11 @@ def bm25_distinct_topk(spark: SparkSession, root: str) -> DataFrame:
 
 def _lemma_scores(spark: SparkSession, root: str) -> DataFrame:
     """Scores of titles over lemmas: a chunk's length is a third of its lemmas as a text, the mean a third of its body's."""
-    index = lexical.TermIndex(chunk_table(spark, root), text=F.concat_ws(" ", F.coalesce("body", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("title", F.lit(""))), tokens=tx.lemma_tokens, length=lambda t: F.length(F.array_join(t, " ")) / 3.0, mean_of=F.length(F.coalesce("body", F.lit(""))) / 3.0)
-    return index.scores(title_queries(spark, root), k1=1.2, tokens=tx.lemma_tokens, repeated=False)
+    return _lemma_index(spark, root).scores(title_queries(spark, root), k1=1.2, tokens=tx.lemma_tokens, repeated=False)
+
+
+def _lemma_index(spark: SparkSession, root: str) -> lexical.TermIndex:
+    return lexical.TermIndex(chunk_table(spark, root), text=F.concat_ws(" ", F.coalesce("body", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("title", F.lit(""))), tokens=tx.lemma_tokens, length=lambda t: F.length(F.array_join(t, " ")) / 3.0, mean_of=F.length(F.coalesce("body", F.lit(""))) / 3.0)
 
 
 def doc_grouped_search(spark: SparkSession, root: str) -> DataFrame:
@@ -228,6 +231,37 @@ def candidate_provenance(spark: SparkSession, root: str) -> DataFrame:
     return fusion.with_provenance(_runs(spark, root)).select("query_id", "chunk_id", F.array_join("sources", "+").alias("sources"))
 
 
+def _cases(spark: SparkSession, root: str) -> DataFrame:
+    """(query_id, query, want): titles of live documents whose number is divisible by 20, and their sources."""
+    return live_docs(spark, root).filter("doc_pk % 20 = 0 and title is not null").select(F.col("doc_pk").alias("query_id"), F.col("title").alias("query"), F.col("source").alias("want"))
+
+
+def _judged_runs(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    chunks, cases = chunk_table(spark, root), _cases(spark, root)
+    asked, sources = cases.select("query_id", "query"), chunks.select("chunk_id", "source")
+    runs = {"bm25": lexical.TermIndex(chunks).scores(asked), "ngram": lexical.ngram_scores_of(chunks, asked)}
+    return cases.select("query_id", "want"), {name: lexical.top_k(scores, 10).join(sources, "chunk_id") for name, scores in runs.items()}
+
+
+def eval_modes(spark: SparkSession, root: str) -> DataFrame:
+    cases, runs = _judged_runs(spark, root)
+    found = evaluation.compared(cases, runs, F.col("source") == F.col("want"))
+    return found.select("mode", "n", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr")])
+
+
+def eval_complement(spark: SparkSession, root: str) -> DataFrame:
+    cases, runs = _judged_runs(spark, root)
+    solved = [evaluation.first_match(run.join(cases, "query_id"), F.col("source") == F.col("want")).filter("first_rank <= 5") for run in runs.values()]
+    return evaluation.complement(*solved).groupBy("solved_by").agg(F.count("*").alias("n"))
+
+
+def eval_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Mean share of a document's chunks among the first ten for its title."""
+    cases, runs = _judged_runs(spark, root)
+    wanted = cases.join(chunk_table(spark, root).select("chunk_id", F.col("source").alias("want")), "want").select("query_id", "chunk_id")
+    return evaluation.recall(wanted, runs["bm25"], 10).select(F.round("recall", 6).alias("recall"))
+
+
 def snippet_cards(spark: SparkSession, root: str) -> DataFrame:
     chunks, asked = chunk_table(spark, root), title_queries(spark, root)
     ranked = lexical.top_k(lexical.TermIndex(chunks).scores(asked), 5).join(chunks.select("chunk_id", "source", "title", "body"), "chunk_id").join(asked, "query_id")
@@ -245,7 +279,7 @@ def answer_chunks(spark: SparkSession, root: str) -> DataFrame:
     return hybrid.for_answer(found).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, snippet_cards, context_budget, answer_chunks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, eval_modes, eval_complement, eval_recall, snippet_cards, context_budget, answer_chunks)}
 
 _ASKED = "asked as (select idx as query_id, min(title) as query from maintenance_requests where idx % 20 = 0 and title is not null group by idx)"
 
@@ -377,7 +411,21 @@ _FLAT = r"trim(regexp_replace(" + sql.strip(r"replace(content, chr(65279), '')")
 _POS = "least(" + ", ".join(f"case when strpos(lower(flat), {sql.lit(w)}) > 0 then strpos(lower(flat), {sql.lit(w)}) end" for w in _FOCUS_WORDS) + ")"
 _DOC_WORDS = plain.words(QUERY)
 
+_CASES = f"{sql.LIVE}, cases as (select doc_pk as query_id, title as query, source as want from live where doc_pk % 20 = 0 and title is not null)"
+_JUDGED = f"""with {_CASES}, {_bm25("b", sql.SEARCHED, "cases")},
+gc as (select chunk_id, len(own) as n, unnest(own) as g from {sql.ngram_sets(sql.SEARCHED)}),
+gq as (select chunk_id as query_id, len(own) as m, unnest(own) as g from {sql.ngram_sets("query", "(select query_id as chunk_id, query from cases)")}),
+gs as (select query_id, chunk_id, count(*) / (any_value(n) + any_value(m) - count(*)) as score from gq join gc using (g) group by query_id, chunk_id),
+runs as (select 'bm25' as mode, query_id, chunk_id, rank from {_top("b", 10)} union all select 'ngram', query_id, chunk_id, rank from {_top("gs", 10)}),
+first as (select mode, query_id, min(rank) as r from runs join chunks using (chunk_id) join cases using (query_id) where source = want group by all)"""
+
 SQL = {
+    "eval_modes": _JUDGED + """ select m.mode, count(*) as n, round(avg(case when r <= 1 then 1.0 else 0 end), 6) as hit_1, round(avg(case when r <= 3 then 1.0 else 0 end), 6) as hit_3, round(avg(case when r <= 5 then 1.0 else 0 end), 6) as hit_5, round(avg(coalesce(1.0 / r, 0)), 6) as mrr
+from (values ('bm25'), ('ngram')) m(mode) cross join cases left join first on first.mode = m.mode and first.query_id = cases.query_id group by m.mode""",
+    "eval_complement": _JUDGED + """, s as (select query_id, bool_or(mode = 'bm25') as a, bool_or(mode = 'ngram') as b from first where r <= 5 group by query_id)
+select case when a and b then 'both' when a then 'a only' else 'b only' end as solved_by, count(*) as n from s group by 1""",
+    "eval_recall": _JUDGED + """, w as (select query_id, chunk_id from cases join chunks on source = want)
+select round(avg(x), 6) as recall from (select w.query_id, avg(case when runs.chunk_id is not null then 1.0 else 0 end) as x from w left join runs on runs.mode = 'bm25' and runs.query_id = w.query_id and runs.chunk_id = w.chunk_id group by w.query_id)""",
     "bm25_topk": f"with {_ASKED}, {_bm25('b', sql.SEARCHED)} select query_id, chunk_id, round(score, 6) as score, rank from {_top('b', 10)}",
     "doc_grouped_search": f"""with {_ASKED}, {_bm25("b", sql.SEARCHED)}, k as (select x.*, c.document_id from {_top("b", 20)} x join chunks c using (chunk_id)),
 d as (select query_id, document_id, arg_min(chunk_id, rank) as chunk_id, round(arg_min(score, rank), 4) as score, min(rank) as first_rank, list(chunk_id order by rank) as l from k group by all)

@@ -145,7 +145,7 @@ SQL = {
     "chunk_windows_graph": _windows("documents", "text", 1200, 150, 20, False),
     "term_statistics": _TERMS + "select term, doc_freq, customers from stats",
     "term_mining": _TERMS
-    + f""", keys as (select distinct lower(regexp_replace(customer, '(?:\s|\p{{Z}}|_)+', '', 'g')) as ck from docs),
+    + rf""", keys as (select distinct lower(regexp_replace(customer, '(?:\s|\p{{Z}}|_)+', '', 'g')) as ck from docs),
 n as (select greatest((select count(*) from docs), 1) as n_docs, (select count(distinct customer) from docs) + (select count(distinct lower(regexp_replace(user_id, '(?:\s|\p{{Z}}|_)+', '', 'g'))) from maintenance_requests
   where {sql.strip("coalesce(user_id, '')")} <> '' and lower(regexp_replace(user_id, '(?:\s|\p{{Z}}|_)+', '', 'g')) not in (select ck from keys)) as n_customers),
 x as (select *, doc_freq / n_docs as raw, 1.0 - least(customers / n_customers, 1.0) as focus from stats, n where doc_freq >= 3 and term not in ({_KNOWN}) and not ({_NOISE}))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.plans import csv_queries, graph_queries, search_queries, store_queries, text_queries
+from docweft.plans import csv_queries, graph_queries, more_queries, search_queries, store_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [text_queries, search_queries, graph_queries, store_queries, csv_queries]
+_MODULES = [text_queries, search_queries, graph_queries, store_queries, csv_queries, more_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -274,12 +274,7 @@ def context_budget(spark: SparkSession, root: str) -> DataFrame:
     return snippets.budgeted(ranked, F.length(F.coalesce("body", F.lit(""))), 3000).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.col("used").cast("bigint").alias("used"))
 
 
-def answer_chunks(spark: SparkSession, root: str) -> DataFrame:
-    found = hybrid.search(chunk_table(spark, root), QUERY, F.lit(AS_OF).cast("timestamp"), 20)
-    return hybrid.for_answer(found).select("chunk_id", F.round("score", 6).alias("score"))
-
-
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, eval_modes, eval_complement, eval_recall, snippet_cards, context_budget, answer_chunks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, eval_modes, eval_complement, eval_recall, snippet_cards, context_budget)}
 
 _ASKED = "asked as (select idx as query_id, min(title) as query from maintenance_requests where idx % 20 = 0 and title is not null group by idx)"
 

@@ -98,12 +98,6 @@ def corpus_totals(spark: SparkSession, root: str) -> DataFrame:
     return corpus_jobs.corpus_totals(table(spark, root, "maintenance_docs"), _chunks(spark, root))
 
 
-def content_status(spark: SparkSession, root: str) -> DataFrame:
-    before = spread(_docs(spark, root).select("source", "content"))
-    after = before.filter(F.coalesce(F.crc32("source") % 7 != 0, F.lit(True))).select("source", tx.clean(F.col("content")).alias("content"))
-    return corpus_jobs.content_status(before, after)
-
-
 def asset_refs(spark: SparkSession, root: str) -> DataFrame:
     own = _docs(spark, root).select("source", F.concat_ws("\n", "content", F.format_string("![a](images/%d.png) ![b](<http://x/y.png>) ![c](https://x/z.png) ![d](./e/%d.jpg \"t\")", F.col("doc_pk"), F.col("doc_pk"))).alias("content"))
     return own.select("source", F.explode(tx.image_refs(F.col("source"), F.col("content"))).alias("path"))
@@ -118,7 +112,7 @@ def customers_canonical(spark: SparkSession, root: str) -> DataFrame:
     return corpus_jobs.canonical_customer(table(spark, root, "maintenance_requests").select(F.col("user_id").alias("name")).filter("name is not null"), {"다온화학": "다온정밀화학"})
 
 
-QUERIES = {f.__name__: f for f in (upsert_merge, insert_if_absent, stale_chunks, hash_diff, sync_report, synced_index, prefix_rename, soft_delete_restore, purge_expired, backfilled_ids, folder_order, docs_per_folder, corpus_totals, content_status, asset_refs, unique_names, customers_canonical)}
+QUERIES = {f.__name__: f for f in (upsert_merge, insert_if_absent, stale_chunks, hash_diff, sync_report, synced_index, prefix_rename, soft_delete_restore, purge_expired, backfilled_ids, folder_order, docs_per_folder, corpus_totals, asset_refs, unique_names, customers_canonical)}
 
 _D = "d as (select distinct on (doc_pk) * from maintenance_docs order by doc_pk)"
 _CLEAN = sql.strip("regexp_replace(replace(coalesce(body, ''), chr(65279), ''), '\\n{3,}', chr(10) || chr(10), 'g')")

@@ -11,6 +11,7 @@ from docweft.plans import search_queries as sq
 from docweft.plans import sql
 from docweft.plans.store_queries import AS_OF, _chunks, _docs, _index
 from docweft.plans.store_queries import _INDEX as _INDEX_SQL
+from docweft.plans.text_queries import _GRAPH_DOCS
 from docweft.session import spread, table
 
 FOLDER = "다온화학"
@@ -192,20 +193,50 @@ _FLAT = r"trim(regexp_replace(lower(coalesce(body, '')), '(?:\s|\p{Z})+', ' ', '
 _BLANKS = r"'(?:\s|\p{Z})+'"
 
 
-def _legacy(e: str) -> str:
-    flat = rf"trim(regexp_replace(lower({e}), {_BLANKS}, ' ', 'g'))"
-    dense = f"replace({flat}, ' ', '')"
-    return f"list_concat({sql.grams(dense, 2)}, {sql.grams(dense, 3)}, {sql.grams(dense, 4)}, list_filter(string_split({flat}, ' '), lambda w: w <> ''))"
+def _legacy(name: str, rows: str, key: str, e: str) -> str:
+    """CTEs that end in `name` (`key`, g): the legacy grams of each row; forms are materialised, as they are used often."""
+    grams = ", ".join(sql.grams("dense", n) for n in (2, 3, 4))
+    return f"""{name}_f as materialized (select {key}, trim(regexp_replace(lower({e}), {_BLANKS}, ' ', 'g')) as flat from {rows}),
+{name}_d as materialized (select *, replace(flat, ' ', '') as dense from {name}_f),
+{name} as (select {key}, unnest(list_concat({grams}, list_filter(string_split(flat, ' '), lambda w: w <> ''))) as g from {name}_d)"""
 
 
-_LINES = r"""lines as (select doc_pk, generate_subscripts(l, 1) as k, unnest(l) as line from (select doc_pk, string_split_regex(content, '\r\n|[\n\r]') as l from d where content is not null)),
+LINES = r"""lines as (select doc_pk, generate_subscripts(l, 1) as k, unnest(l) as line from (select doc_pk, string_split_regex(content, '\r\n|[\n\r]') as l from d where content is not null)),
 h as (select *, length(regexp_extract(line, '^(#{1,6})\s+.*$', 1)) as level, """ + sql.strip(r"regexp_extract(line, '^#{1,6}\s+(.*)$', 1)") + """ as head from lines),
 s as (select *, sum(case when level > 0 then 1 else 0 end) over (partition by doc_pk order by k) as seg from h),
 b as (select doc_pk, seg, """ + sql.strip("string_agg(case when level = 0 then line end, chr(10) order by k)") + """ as body, """ + ", ".join(f"max(p{i}) as p{i}, arg_max(t{i}, p{i}) as t{i}" for i in range(1, 7)) + """ from (
   select *, """ + ", ".join(f"max(case when level = {i} then k end) over w as p{i}, arg_max(case when level = {i} then head end, case when level = {i} then k end) over w as t{i}" for i in range(1, 7)) + """ from s window w as (partition by doc_pk order by k rows between unbounded preceding and current row)) group by doc_pk, seg),
 p as (select doc_pk, seg, body, list_filter([""" + ", ".join(f"case when p{i} is not null and p{i} > {'greatest(' + ', '.join(f'coalesce(p{j}, 0)' for j in range(1, i)) + ')' if i > 1 else '0'} then t{i} end" for i in range(1, 7)) + "], lambda x: x is not null and x <> '') as path from b where body <> '')"
 
+_STARTS = "unnest(range(cast(greatest(1, ceil((length({0}) - {1}) / {2}.0) + 1) as bigint)))"
+_H1 = sql.strip(r"regexp_extract(content, '(?m)^#\s+(.+)$', 1)")
+_OWN = sql.strip(r"regexp_extract(section, '(?m)^#{1,3}\s+(.+)$', 1)")
+_SECTIONS = rf"""t as (select source, {_CLEAN_DOC} as content from live where content is not null),
+u as (select source, content, case when {_H1} <> '' then {_H1} else regexp_replace(regexp_replace(source, '^.*/', ''), '(.)\.[^.]*$', '\1') end as title from t where content <> ''),
+x as (select source, title, generate_subscripts(l, 1) as sec, {sql.strip("unnest(l)")} as section from (select source, title, string_split(regexp_replace(content, '(?m)^(#{{1,3}}\s)', chr(1) || '\1', 'g'), chr(1)) as l from u)),
+y as (select *, {_OWN} as own from x where section <> ''),
+z as (select * exclude (own), case when own <> '' then own else title end as heading from y where not {sql.any_of("case when own <> '' then own else title end", tx.SKIPPED_SECTIONS)}),
+w as (select *, {_STARTS.format("section", 1800, 1550)} as i from z),
+v as (select *, {sql.strip("substring(section, cast(i * 1550 + 1 as int), 1800)")} as body from w),
+n as (select *, row_number() over (partition by source order by sec, i) as k from v where length(body) >= 80)"""
+_READABLE = sql.strip(r"regexp_replace(regexp_replace(regexp_replace(replace(content, chr(65279), ''), '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+_SEEN = r"regexp_replace({}, '(?:\s|\p{{Z}}|\x{{feff}}|\x{{85}}|\x0b)+', '', 'g')"
+_UNMARKED = sql.strip(r"regexp_replace(regexp_replace(regexp_replace(c, '<[^>]+>', '', 'g'), '[ \t\r\f\x0b]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+
 SQL = {
+    "search_chunks": f"with {sql.LIVE}, {_SECTIONS} select left(sha1(source), 16) || '_chunk_' || lpad(k::varchar, 4, '0') as chunk_id, source, title, heading, k - 1 as ordinal, body from n",
+    "graph_chunks": f"""with {_GRAPH_DOCS}, d as (select source as doc_pk, content from docs), {LINES},
+w as (select *, {_STARTS.format("body", 1200, 1050)} as i from p), c as (select *, substring(body, cast(i * 1050 + 1 as int), 1200) as part from w)
+select doc_pk as source, row_number() over (partition by doc_pk order by seg, i) - 1 as ordinal, path as heading_path, part as body from c where length(part) >= 20""",
+    "readable_docs": f"""with t as (select distinct doc_pk, content from maintenance_docs), r as (select *, {_READABLE} as new from t),
+s as (select *, case when content is null then 'same' when {_SEEN.format("content")} <> {_SEEN.format("new")} then 'refused' when content = new then 'same' else 'changed' end as status from r)
+select distinct doc_pk, status, case when status = 'changed' then new else content end as content from s""",
+    "table_cells": rf"""with t as (select distinct doc_pk, content from maintenance_docs), u as (select doc_pk, unnest(string_split_regex(content, '\r\n|[\n\r]')) as raw from t), l as (select doc_pk, {sql.strip("raw")} as line from u),
+c as (select doc_pk, string_split(regexp_replace(line, '^\||\|$', '', 'g'), '|') as cells from l where prefix(line, '|') and not regexp_matches(line, '^\|[\s:|-]+\|?$'))
+select {sql.strip("cells[1]")} as first, len(cells) as n, count(distinct doc_pk) as docs from c group by all""",
+    "html_to_text": rf"""with t as (select distinct idx, replace(replace(replace(replace(replace(replace(coalesce(content, ''), '&nbsp;', ' '), '&#64;', '@'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as c from maintenance_requests),
+l as (select idx, regexp_replace(regexp_replace(c, '(?i)<\s*br\s*/?>', chr(10), 'g'), '(?i)</\s*(?:p|div|li|tr|h[1-6])\s*>', chr(10), 'g') as c from t)
+select distinct idx, {_UNMARKED} as text from l""",
     "ticket_upsert": f"with {_ONE}, n as (select idx, upper(title) as title from tk where idx % 4 = 0) select tk.idx, user_id, coalesce(n.title, tk.title) as title, case when n.idx is not null then 9 else status_id end as status_id from tk left join n using (idx) union all select -idx, null, title, 9 from n",
     "scoped_index": _INDEX_SQL + f"select chunk_id, source, body_hash from n where prefix(source, '{FOLDER}/') union all select chunk_id, source, body_hash from o where not coalesce(prefix(source, '{FOLDER}/'), false)",
     "scoped_report": _INDEX_SQL + f"select (select count(*) from t where prefix(source, '{FOLDER}/')) as upserted, (select count(*) from n where prefix(source, '{FOLDER}/')) - (select count(*) from t where prefix(source, '{FOLDER}/')) as skipped, (select count(*) from o where prefix(source, '{FOLDER}/') and chunk_id not in (select chunk_id from n)) as deleted",
@@ -219,11 +250,11 @@ SQL = {
     "content_status": f"with {_D}, a as (select source, coalesce(content, '') as x from d where doc_pk % 5 <> 0), b as (select source, coalesce({_CLEAN_DOC}, '') as y from d where doc_pk % 7 <> 0) select source, case when x is null then 'added' when y is null then 'removed' when x = y then 'same' else 'changed' end as status from a full join b using (source)",
     "import_summary": f"with {_D}, a as (select source, {_CLEAN_DOC} as x from d), b as (select source, content as y, true as had from d where doc_pk % 5 <> 0), j as (select * from a left join b using (source)) select count(*) filter (had is null) as created, count(*) filter (had and x is distinct from y) as updated, count(*) filter (had and x is not distinct from y) as skipped from j",
     "file_inventory": f"with {_D}, f as (select lower(regexp_extract(regexp_replace(source || case when doc_pk % 3 = 0 then '.PNG' else '' end, '^.*/', ''), '.(\\.[^.]+)$', 1)) as kind, strlen(content) as size from d) select case when kind = '' then '(none)' else kind end as kind, count(*) as n, cast(coalesce(sum(size), 0) as bigint) as bytes from f group by 1",
-    "section_paths": f"with {_D}, {_LINES} select doc_pk, row_number() over (partition by doc_pk order by seg) - 1 as n, array_to_string(path, ' > ') as path, md5(body) as body_md5 from p",
+    "section_paths": f"with {_D}, {LINES} select doc_pk, row_number() over (partition by doc_pk order by seg) - 1 as n, array_to_string(path, ' > ') as path, md5(body) as body_md5 from p",
     "unified_tokens": f"with f as materialized (select {_FLAT} as form from chunks), h as materialized (select form, regexp_replace(form, '[^가-힣]', '', 'g') as hangul from f), t as (select unnest(list_concat(regexp_extract_all(form, '[가-힣A-Za-z0-9_./:@!+-]{{2,}}'), {sql.grams('hangul', 2)}, {sql.grams('hangul', 3)})) as token from h) select token, count(*) as n from t group by token",
     "field_tokens": f"with t as (select unnest(regexp_extract_all({_FLAT}, '[가-힣A-Za-z0-9_./:@!+-]{{2,}}')) as token from chunks) select token, count(*) as n from t group by token",
-    "legacy_cosine": f"""with g as (select chunk_id, g, count(*) as c from (select chunk_id, unnest({_legacy("coalesce(body, '')")}) as g from chunks) group by all),
-q as (select g, count(*) as q from (select unnest({_legacy(sql.lit(sq.QUERY))}) as g) group by g), n as (select chunk_id, sqrt(sum(c * c)) as norm from g group by chunk_id),
+    "legacy_cosine": f"""with {_legacy("cg", "chunks", "chunk_id", "coalesce(body, '')")}, {_legacy("qg", f"(select {sql.lit(sq.QUERY)} as query)", "query", "query")},
+g as (select chunk_id, g, count(*) as c from cg group by all), q as (select g, count(*) as q from qg group by g), n as (select chunk_id, sqrt(sum(c * c)) as norm from g group by chunk_id),
 s as (select chunk_id, sum(c * q) / (any_value(norm) * (select sqrt(sum(q * q)) from q)) as score from g join q using (g) join n using (chunk_id) group by chunk_id)
 select chunk_id, round(score, 6) as score from s order by round(score, 9) desc, chunk_id limit 50""",
     "aliased_titles": "select distinct idx, concat_ws(' ', title, " + ", ".join(f"case when contains(replace(title, ' ', ''), {sql.lit(k.replace(' ', ''))}) then {sql.lit(v)} end" for k, v in ALIASES.items()) + ") as query from maintenance_requests where title is not null",

@@ -16,6 +16,8 @@ from docweft.functions import plain
 from docweft.functions import text as tx
 from docweft.session import stage
 
+#: Chunks of a term from which on it is hot, and the most hot terms that are broadcast; both decide how, not what, is scored.
+HOT_TERM, MOST_BROADCAST = 10_000, 100_000
 SEARCHED = ("title", "heading", "filename", "folder", "source", "body")
 #: What a term found in a field is worth.
 FIELD_WEIGHTS = {"title": 8, "filename": 6, "folder": 6, "heading": 5, "source": 4, "normalized_body": 2, "body": 1}
@@ -88,6 +90,50 @@ class TermIndex:
         weighted = hits.select("term", "chunk_id", part.alias("part"))
         return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"), *[F.count("*").alias("n_terms")] * counted)
 
+    def best(self, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, tokens=tx.bm25_tokens, repeated: bool = True, hot: int = HOT_TERM) -> DataFrame:
+        """top_k() of scores(), without multiplying the postings of terms in over `hot` chunks by all queries that have them.
+
+        The other terms are scored first. What hot ones can add to a query's scores has a bound, so that only chunks
+        near its best k can still get there; these alone meet the postings of hot terms, by chunk. Queries whose
+        hot terms could bring in a chunk by themselves are scored in full, each set of terms once.
+        """
+        counted = F.count("*") if repeated else F.lit(1)
+        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(counted.cast("double").alias("qtf"))
+        common = self.postings.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > hot)
+        common = stage(common.join(F.broadcast(self.totals)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")), "hot-terms")
+        if common.isEmpty():
+            return top_k(self.scores(queries, k1, b, tokens, repeated), k)
+        # Queries of the same terms are one.
+        sets = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("terms")).withColumn("set_id", F.xxhash64(F.to_json("terms")))
+        sets = stage(sets, "sets")
+        once = sets.groupBy("set_id").agg(F.first("terms").alias("terms")).select("set_id", F.inline("terms"))
+        once = stage(once.join(common, "term", "left"), "asked-once")
+        bound = once.filter("idf is not null").groupBy("set_id").agg(F.sum(F.col("qtf") * F.col("idf") * (k1 + 1.0)).alias("more"))
+        rare = stage(self._sum(once.filter("idf is null").select("set_id", "term", "qtf"), k1, b), "rare-scores")
+        place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score")))
+        last = rare.withColumn("place", place).filter(F.col("place") == k).select("set_id", F.col("score").alias("last"))
+        limits = stage(once.select("set_id").distinct().join(bound, "set_id", "left").join(last, "set_id", "left").select("set_id", F.coalesce("more", F.lit(0.0)).alias("more"), "last"), "limits")
+        closed = limits.filter(F.col("last").isNotNull() & (F.col("last") > F.col("more") + 1e-6))
+        near = rare.join(closed, "set_id").filter(F.col("score") + F.col("more") >= F.col("last") - 1e-6).select("set_id", "chunk_id", "score")
+        wanted = near.join(once.filter("idf is not null").select("set_id", "term", "qtf", "idf"), "set_id")
+        added = wanted.join(self.postings.join(F.broadcast(common.select("term")), "term") if common.count() <= MOST_BROADCAST else self.postings, ["chunk_id", "term"]).join(F.broadcast(self.totals))
+        more = added.select("set_id", "chunk_id", (F.col("qtf") * F.col("idf") * self._share(k1, b)).alias("score"))
+        whole = near.unionByName(more).groupBy("set_id", "chunk_id").agg(F.sum("score").alias("score"))
+        rest = self._sum(once.join(closed.select("set_id"), "set_id", "left_anti").select("set_id", "term", "qtf"), k1, b)
+        found = stage(top_k(whole.unionByName(rest), k, by="set_id"), "best")
+        return sets.select("query_id", "set_id").join(found, "set_id").select("query_id", "chunk_id", "score", "rank")
+
+    @staticmethod
+    def _share(k1: float, b: float) -> Column:
+        return F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
+
+    def _sum(self, asked: DataFrame, k1: float, b: float) -> DataFrame:
+        """(set_id, chunk_id, score) of sets of terms (set_id, term, qtf)."""
+        wanted = self.postings.join(asked.select("term").distinct(), "term")
+        hits = wanted.join(wanted.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(self.totals))
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+        return hits.select("term", "chunk_id", (idf * self._share(k1, b)).alias("part")).join(asked, "term").groupBy("set_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+
 
 def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id", score: str = "score") -> DataFrame:
     """The best `k` rows of each query with their rank; equal scores go by key.

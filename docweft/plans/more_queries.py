@@ -173,7 +173,7 @@ def nearest_live(spark: SparkSession, root: str) -> DataFrame:
 
 def contexts(spark: SparkSession, root: str) -> DataFrame:
     chunks = sq.chunk_table(spark, root)
-    ranked = lexical.top_k(lexical.TermIndex(chunks).scores(sq.title_queries(spark, root)), 5).join(chunks.select("chunk_id", "source", "title", F.coalesce("body", F.lit("")).alias("body")), "chunk_id")
+    ranked = lexical.TermIndex(chunks).best(sq.title_queries(spark, root), 5).join(chunks.select("chunk_id", "source", "title", F.coalesce("body", F.lit("")).alias("body")), "chunk_id")
     return snippets.context(ranked.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("score", F.round("score", 2))).select("query_id", F.md5("context").alias("context_md5"))
 
 

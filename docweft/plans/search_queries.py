@@ -38,7 +38,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
-    return _rounded(lexical.top_k(lexical.TermIndex(chunk_table(spark, root)).scores(title_queries(spark, root)), 10))
+    return _rounded(lexical.TermIndex(chunk_table(spark, root)).best(title_queries(spark, root), 10))
 
 
 def bm25_distinct_topk(spark: SparkSession, root: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _lemma_index(spark: SparkSession, root: str) -> lexical.TermIndex:
 
 def doc_grouped_search(spark: SparkSession, root: str) -> DataFrame:
     chunks = chunk_table(spark, root)
-    ranked = lexical.top_k(lexical.TermIndex(chunks).scores(title_queries(spark, root)), 20)
+    ranked = lexical.TermIndex(chunks).best(title_queries(spark, root), 20)
     return lexical.grouped_by_document(ranked, chunks, 5).select("query_id", "document_id", "chunk_id", "score", "rank", F.array_join("related", ",").alias("related"))
 
 
@@ -115,6 +115,13 @@ def knn_cosine(spark: SparkSession, root: str) -> DataFrame:
     return vector.nearest(own, own.filter("vec_id % 20 = 0"), 10, clamp=False).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def knn_cells(spark: SparkSession, root: str) -> DataFrame:
+    """knn_cosine by the index, looking into all cells, which makes it exact."""
+    own = table(spark, root, "embeddings")
+    found = vector.Index(own, part_rows=200).nearest(own.filter("vec_id % 20 = 0"), 10, probes=1 << 20, clamp=False)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def knn_metrics(spark: SparkSession, root: str) -> DataFrame:
     own = table(spark, root, "embeddings")
     found = vector.nearest(own, own.filter("vec_id % 20 = 0"), 10, clamp=False)
@@ -218,7 +225,7 @@ def _runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     chunks, asked = chunk_table(spark, root), title_queries(spark, root)
     body = lexical.TermIndex(chunks, text=F.coalesce("body", F.lit("")))
     head = lexical.TermIndex(chunks, text=lexical.searchable("title", "heading"))
-    return {"body": lexical.top_k(body.scores(asked), 30), "head": lexical.top_k(head.scores(asked), 20)}
+    return {"body": body.best(asked, 30), "head": head.best(asked, 20)}
 
 
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
@@ -264,17 +271,17 @@ def eval_recall(spark: SparkSession, root: str) -> DataFrame:
 
 def snippet_cards(spark: SparkSession, root: str) -> DataFrame:
     chunks, asked = chunk_table(spark, root), title_queries(spark, root)
-    ranked = lexical.top_k(lexical.TermIndex(chunks).scores(asked), 5).join(chunks.select("chunk_id", "source", "title", "body"), "chunk_id").join(asked, "query_id")
+    ranked = lexical.TermIndex(chunks).best(asked, 5).join(chunks.select("chunk_id", "source", "title", "body"), "chunk_id").join(asked, "query_id")
     return snippets.cards(ranked, F.col("query")).select("query_id", "rank", "source", "text")
 
 
 def context_budget(spark: SparkSession, root: str) -> DataFrame:
     chunks = chunk_table(spark, root)
-    ranked = lexical.top_k(lexical.TermIndex(chunks).scores(title_queries(spark, root)), 10).join(chunks.select("chunk_id", "body"), "chunk_id")
+    ranked = lexical.TermIndex(chunks).best(title_queries(spark, root), 10).join(chunks.select("chunk_id", "body"), "chunk_id")
     return snippets.budgeted(ranked, F.length(F.coalesce("body", F.lit(""))), 3000).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.col("used").cast("bigint").alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, eval_modes, eval_complement, eval_recall, snippet_cards, context_budget)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_distinct_topk, doc_grouped_search, ngram_jaccard_topk, ngram_jaccard_titles, weighted_fields, weighted_fields_titles, weighted_fields_v2, weighted_fields_v2_titles, document_scores, ticket_search, knn_cosine, knn_cells, knn_metrics, hybrid_blend, mode_bm25_only, mode_ngram_only, mode_vector_only, nearest_chunks, hybrid_vectors, hybrid_hash_vectors, stored_search, stored_vectors, v2_blend, v2_vectors, rrf_fusion, candidate_provenance, eval_modes, eval_complement, eval_recall, snippet_cards, context_budget)}
 
 _ASKED = "asked as (select idx as query_id, min(title) as query from maintenance_requests where idx % 20 = 0 and title is not null group by idx)"
 
@@ -446,6 +453,7 @@ select idx, cast(score as bigint) as score from (select *, case when contains(lo
   + case when contains(lower(coalesce(title, '')), '요청') then 5 else 0 end + case when contains(lower(coalesce(user_id, '')), '요청') then 3 else 0 end + case when contains(lower(search_text), '요청') then 1 else 0 end as score
 from m) order by score desc, updated_at desc nulls last, idx desc limit 50""",
     "knn_cosine": f"with {_SIMS} select query_id, id, round(similarity, 6) as similarity, rank from near",
+    "knn_cells": f"with {_SIMS} select query_id, id, round(similarity, 6) as similarity, rank from near",
     "knn_metrics": f"""with {_SIMS}, first as (select n.query_id, min(rank) as r from near n join embeddings a on a.vec_id = n.query_id join embeddings b on b.vec_id = n.id where a.label = b.label group by 1),
 c as (select vec_id as query_id, r from embeddings left join first on first.query_id = vec_id where vec_id % 20 = 0)
 select count(*) as n, round(avg(case when r <= 1 then 1.0 else 0 end), 6) as hit_1, round(avg(case when r <= 3 then 1.0 else 0 end), 6) as hit_3, round(avg(case when r <= 5 then 1.0 else 0 end), 6) as hit_5, round(avg(coalesce(1.0 / r, 0)), 6) as mrr from c""",

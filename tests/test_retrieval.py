@@ -154,7 +154,7 @@ def test_nearest_equals_brute_force(spark):
     want = {q: [i for _, i in sorted((-sims[q, i], i) for i in range(60) if i != q)][:5] for q in range(0, 60, 20)}
     for block in (4096, 1):
         got = {}
-        for r in vector.nearest(df, df.filter("vec_id % 20 = 0 and vec_id < 60"), 5, clamp=False, block=block).orderBy("rank").collect():
+        for r in vector.nearest(df, df.filter("vec_id % 20 = 0 and vec_id < 60"), 5, clamp=False, scan_bytes=block).orderBy("rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
         assert got == want
     assert vector.nearest(df.limit(0), df, 5).collect() == []
@@ -202,3 +202,34 @@ def test_legacy_cosine(spark, chunks):
     got = lexical.cosine_scores(chunks, "평면도 도면", F.col("body")).orderBy(F.desc("score")).first()
     assert got.chunk_id == "c4"
     assert 0 < got.score < 1
+
+
+@pytest.mark.parametrize("hot", [0, 2, 5, 10**6])
+def test_best_by_rare_terms_first_equals_scoring_all(spark, hot):
+    rng = random.Random(6)
+    vocabulary = ["점검", "밸브", "펌프", "교체", "승강기", "누수", "전기", "보고", "x1", "y2", "z3"]
+    weights = [30, 12, 6, 5, 3, 2, 2, 1, 1, 1, 1]
+    text = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+    chunks = spark.createDataFrame([(f"c{i:03}", text(rng.randrange(1, 12))) for i in range(120)], "chunk_id string, body string")
+    asked = spark.createDataFrame([(i, text(rng.randrange(1, 5))) for i in range(40)] + [(90, "점검"), (91, "점검 점검"), (92, "없는말"), (93, ""), (94, "점검")], "query_id bigint, query string")
+    index = lexical.TermIndex(chunks, text=F.col("body"))
+    flat = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8)) for r in df.collect())
+    for how in ({}, {"repeated": False, "k1": 1.2}):
+        assert flat(index.best(asked, 4, hot=hot, **how)) == flat(lexical.top_k(index.scores(asked, **how), 4))
+
+
+def test_index_of_cells_finds_most_neighbours(spark):
+    gen = np.random.default_rng(3)
+    m = gen.normal(size=(3000, 16)) + gen.normal(size=(12, 16))[gen.integers(0, 12, 3000)] * 1.5
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = df.filter("vec_id % 20 = 0 and vec_id < 3000")
+    index = vector.Index(df, sample=1000, part_rows=20)
+    exact, found = ({(r.query_id, r.id): r.similarity for r in f.collect()} for f in (vector.nearest(df, asked, 10, clamp=False), index.nearest(asked, 10, clamp=False)))
+    assert len(set(exact) & set(found)) / len(exact) >= 0.9
+    assert all(abs(exact[x] - found[x]) < 1e-8 for x in set(exact) & set(found))
+    assert index.cells.count() == 3000
+    every = index.nearest(asked, 10, probes=10**6, clamp=False)
+    assert {(r.query_id, r.id) for r in every.collect()} == set(exact)
+    empty = vector.Index(df.limit(0))
+    assert empty.nearest(asked, 5).collect() == []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as tx
 from docweft.functions.casts import strip
-from docweft.session import stage
+from docweft.session import stage, stage_all
 
 # ---- Fixed values: dictionaries of systems and issues, and what an intent may follow ---------------------
 SYSTEMS = {
@@ -113,9 +113,6 @@ class Graph:
         label = F.when(F.size(path) > 0, F.element_at(path, -1)).otherwise(F.concat(F.col("title"), F.lit(" · "), (F.col("ordinal") + 1).cast("string")))
         scope = F.concat_ws(" ", body, F.array_join(path, " "), F.col("title"))
         part = part.select(_node("Chunk", F.concat(F.col("source"), F.lit("#"), F.lpad(F.col("ordinal").cast("string"), 4, "0"))).alias("node"), doc.alias("doc"), F.substring(label, 1, 60).alias("label"), "customer", "source", F.substring(F.regexp_replace(body, r"(?U)\s+", " "), 1, 110).alias("preview"), entities(scope, systems).alias("systems"), entities(scope, issues).alias("issues"))
-        # Staged, as texts are to be read once and not again for each kind of node and edge.
-        part = stage(part, "graph-chunks")
-
         # A ticket's customer is a known one under any spelling, or a new one.
         known = docs.select("customer").distinct().groupBy(tx.customer_key(F.col("customer")).alias("ck")).agg(F.min("customer").alias("known"))
         called = tickets.withColumn("customer", strip(F.coalesce("customer", F.lit("")))).filter("customer != ''").withColumn("ck", tx.customer_key(F.col("customer")))
@@ -124,7 +121,8 @@ class Graph:
         title = strip(F.coalesce("title", F.lit("")))
         name = F.substring(F.when(title != "", title).otherwise(F.concat(F.lit("접수 "), F.col("idx").cast("string"))), 1, 60)
         called = called.select(_node("Ticket", F.concat(F.lit("ticket:"), F.col("idx").cast("string"))).alias("node"), name.alias("label"), "customer", "source", "owner", "manager_id", "worker_id").withColumns({"systems": entities(F.col("label"), systems), "issues": entities(F.col("label"), issues)})
-        called = stage(called, "graph-tickets")
+        # Staged, as texts are to be read once and not again for each kind of node and edge.
+        part, called = stage_all((part, "graph-chunks"), (called, "graph-tickets"))
 
         def both(df: DataFrame, a: Column, b: Column, there: str, back: str) -> DataFrame:
             pair = F.array(F.struct(a.alias("src"), b.alias("dst"), F.lit(there).alias("type")), F.struct(b.alias("src"), a.alias("dst"), F.lit(back).alias("type")))
@@ -145,8 +143,6 @@ class Graph:
             .unionByName(both(people, person, F.col("node"), "HANDLED", "HANDLED_BY"))
             .unionByName(mentions(called))
         )
-        # What is asked of a graph joins edges and nodes several times over: they are written once.
-        self.edges = stage(edges, "edges")
         null = F.lit(None).cast("string")
 
         def nodes(df: DataFrame, kind: str, node: Column, label: Column, customer: Column = null, source: Column = null, preview: Column = null) -> DataFrame:
@@ -164,7 +160,8 @@ class Graph:
             .unionByName(nodes(called, "Ticket", F.col("node"), F.col("label"), F.col("customer"), F.col("source")))
             .unionByName(nodes(people.select("p").distinct(), "Person", person, F.concat(F.lit("담당자 "), F.col("p"))))
         )
-        self.bare_nodes = stage(plain, "nodes")
+        # What is asked of a graph joins edges and nodes several times over: they are written once.
+        self.edges, self.bare_nodes = stage_all((edges, "edges"), (plain, "nodes"))
         self.nodes = self.bare_nodes.join(out_degree(self.edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
 
 

@@ -45,7 +45,8 @@ class TermIndex:
         self.key = key
         # Staged, as postings, frequencies and totals all come from the tokens, which are costly to make.
         tokenised = stage(chunks.select(F.col(key).alias("chunk_id"), tokens(searchable(*SEARCHED) if text is None else text).alias("tokens"), (F.lit(None).cast("double") if mean_of is None else mean_of).alias("mean_of")), "tokens")
-        self.lengths = tokenised.select("chunk_id", length("tokens").alias("dl"))
+        self._tokens = tokenised.select("chunk_id", length("tokens").alias("dl"), "tokens")
+        self.lengths = self._tokens.drop("tokens")
         self.postings = tokenised.select("chunk_id", length("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         mean = F.avg("dl") if mean_of is None else F.greatest(F.avg("mean_of"), F.lit(1.0))
         self.totals = tokenised.select(length("tokens").alias("dl"), "mean_of").agg(F.count("*").alias("n"), mean.alias("avgdl"))
@@ -60,7 +61,7 @@ class TermIndex:
     def read(cls, spark: SparkSession, path: str) -> TermIndex:
         """The index stored below `path`."""
         made = cls.__new__(cls)
-        made.key = "chunk_id"
+        made.key, made._tokens = "chunk_id", None
         made.postings, made.lengths, made.totals = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "totals"))
         return made
 
@@ -68,7 +69,7 @@ class TermIndex:
         """scores() of one literal query; its terms are pushed down into the scan of stored postings."""
         terms = sorted(set(plain.bm25_tokens(query)))
         part = TermIndex.__new__(TermIndex)
-        part.key, part.lengths, part.totals = self.key, self.lengths, self.totals
+        part.key, part._tokens, part.lengths, part.totals = self.key, None, self.lengths, self.totals
         part.postings = self.postings.filter(F.col("term").isin(terms)) if terms else self.postings.filter("false")
         return part.scores(query_frame(self.postings.sparkSession, query), k1, b)
 
@@ -81,14 +82,23 @@ class TermIndex:
         A token that a query repeats counts each time, unless `repeated` is False. The terms of all queries
         are joined to the postings on the term, so that only their postings are read further.
         """
-        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg((F.count("*") if repeated else F.lit(1)).cast("double").alias("qtf"))
-        wanted = self.postings.join(asked.select("term").distinct(), "term")
-        weights = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        hits = wanted.join(weights, "term").join(F.broadcast(self.totals))  # one row of totals
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-        part = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
-        weighted = hits.select("term", "chunk_id", part.alias("part"))
-        return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"), *[F.count("*").alias("n_terms")] * counted)
+        asked = self._asked(queries, tokens, repeated)
+        return self._sum(self._wanted(asked), asked, k1, b, "query_id", counted)
+
+    @staticmethod
+    def _asked(queries: DataFrame, tokens, repeated: bool) -> DataFrame:
+        """(query_id, term, qtf) of queries."""
+        times = F.count("*") if repeated else F.lit(1)
+        return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(times.cast("double").alias("qtf"))
+
+    def _wanted(self, asked: DataFrame) -> DataFrame:
+        """The postings of the terms asked for. Terms go to the chunks, unless they are too many to be broadcast."""
+        terms = stage(asked.select("term").distinct(), "terms")
+        terms = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
+        if self._tokens is None:
+            return stage(self.postings.join(terms, "term").select("chunk_id", "term", "tf", "dl"), "wanted")
+        own = self._tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term")
+        return stage(own.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "wanted")
 
     def best(self, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, tokens=tx.bm25_tokens, repeated: bool = True, hot: int = HOT_TERM) -> DataFrame:
         """top_k() of scores(), without multiplying the postings of terms in over `hot` chunks by all queries that have them.
@@ -97,29 +107,29 @@ class TermIndex:
         near its best k can still get there; these alone meet the postings of hot terms, by chunk. Queries whose
         hot terms could bring in a chunk by themselves are scored in full, each set of terms once.
         """
-        counted = F.count("*") if repeated else F.lit(1)
-        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(counted.cast("double").alias("qtf"))
-        common = self.postings.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > hot)
+        asked = self._asked(queries, tokens, repeated)
+        postings = self._wanted(asked)
+        common = postings.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > hot)
         common = stage(common.join(F.broadcast(self.totals)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")), "hot-terms")
         if common.isEmpty():
-            return top_k(self.scores(queries, k1, b, tokens, repeated), k)
+            return top_k(self._sum(postings, asked, k1, b, "query_id"), k)
         # Queries of the same terms are one.
         sets = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("terms")).withColumn("set_id", F.xxhash64(F.to_json("terms")))
         sets = stage(sets, "sets")
         once = sets.groupBy("set_id").agg(F.first("terms").alias("terms")).select("set_id", F.inline("terms"))
         once = stage(once.join(common, "term", "left"), "asked-once")
         bound = once.filter("idf is not null").groupBy("set_id").agg(F.sum(F.col("qtf") * F.col("idf") * (k1 + 1.0)).alias("more"))
-        rare = stage(self._sum(once.filter("idf is null").select("set_id", "term", "qtf"), k1, b), "rare-scores")
+        rare = stage(self._sum(postings, once.filter("idf is null").select("set_id", "term", "qtf"), k1, b, "set_id"), "rare-scores")
         place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score")))
         last = rare.withColumn("place", place).filter(F.col("place") == k).select("set_id", F.col("score").alias("last"))
         limits = stage(once.select("set_id").distinct().join(bound, "set_id", "left").join(last, "set_id", "left").select("set_id", F.coalesce("more", F.lit(0.0)).alias("more"), "last"), "limits")
         closed = limits.filter(F.col("last").isNotNull() & (F.col("last") > F.col("more") + 1e-6))
         near = rare.join(closed, "set_id").filter(F.col("score") + F.col("more") >= F.col("last") - 1e-6).select("set_id", "chunk_id", "score")
         wanted = near.join(once.filter("idf is not null").select("set_id", "term", "qtf", "idf"), "set_id")
-        added = wanted.join(self.postings.join(F.broadcast(common.select("term")), "term") if common.count() <= MOST_BROADCAST else self.postings, ["chunk_id", "term"]).join(F.broadcast(self.totals))
+        added = wanted.join(postings, ["chunk_id", "term"]).join(F.broadcast(self.totals))
         more = added.select("set_id", "chunk_id", (F.col("qtf") * F.col("idf") * self._share(k1, b)).alias("score"))
         whole = near.unionByName(more).groupBy("set_id", "chunk_id").agg(F.sum("score").alias("score"))
-        rest = self._sum(once.join(closed.select("set_id"), "set_id", "left_anti").select("set_id", "term", "qtf"), k1, b)
+        rest = self._sum(postings, once.join(closed.select("set_id"), "set_id", "left_anti").select("set_id", "term", "qtf"), k1, b, "set_id")
         found = stage(top_k(whole.unionByName(rest), k, by="set_id"), "best")
         return sets.select("query_id", "set_id").join(found, "set_id").select("query_id", "chunk_id", "score", "rank")
 
@@ -127,12 +137,12 @@ class TermIndex:
     def _share(k1: float, b: float) -> Column:
         return F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
 
-    def _sum(self, asked: DataFrame, k1: float, b: float) -> DataFrame:
-        """(set_id, chunk_id, score) of sets of terms (set_id, term, qtf)."""
-        wanted = self.postings.join(asked.select("term").distinct(), "term")
-        hits = wanted.join(wanted.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(self.totals))
+    def _sum(self, postings: DataFrame, asked: DataFrame, k1: float, b: float, by: str, counted: bool = False) -> DataFrame:
+        """(`by`, chunk_id, score) of terms asked for (`by`, term, qtf), from all their postings; n_terms too if `counted`."""
+        hits = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(self.totals))  # one row of totals
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-        return hits.select("term", "chunk_id", (idf * self._share(k1, b)).alias("part")).join(asked, "term").groupBy("set_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+        worth = hits.select("term", "chunk_id", (idf * self._share(k1, b)).alias("part"))
+        return worth.join(asked, "term").groupBy(by, "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"), *[F.count("*").alias("n_terms")] * counted)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id", score: str = "score") -> DataFrame:

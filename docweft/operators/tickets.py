@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from docweft.functions import text as tx
 from docweft.functions.casts import strip
+from docweft.session import once
 
 #: Fields of a ticket's search text, and those of its summary with their labels.
 SEARCH_FIELDS = ("idx", "user_id", "contact_person", "manager_id", "worker_id", "type_id", "status_id", "title", "report_title", "content", "issues", "progress_status", "notes", "request_date", "expected_date", "completed_date", "created_at", "updated_at")
@@ -67,9 +68,7 @@ def markdown(columns: list[str]) -> Column:
 
 def unique_tickets(tickets: DataFrame) -> DataFrame:
     """One row per idx: of those that came again, the last import."""
-    latest = tickets.groupBy("idx").agg(F.max(F.struct("imported_at", "last_import_id")).alias("_last"))
-    same = (tickets["imported_at"].eqNullSafe(latest["_last.imported_at"])) & (tickets["last_import_id"].eqNullSafe(latest["_last.last_import_id"]))
-    return tickets.join(latest.withColumnRenamed("idx", "_idx"), (tickets["idx"] == F.col("_idx")) & same, "left_semi").dropDuplicates(["idx"])
+    return once(tickets, "idx", latest=("imported_at", "last_import_id"))
 
 
 def graph_tickets(tickets: DataFrame, limit: int | None = 4000) -> DataFrame:

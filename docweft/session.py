@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stage_all(*parts: tuple[DataFrame, str]) -> list[DataFrame]:
+    """stage() of several frames that do not depend on each other, at the same time."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return list(pool.map(lambda part: stage(*part), parts))
+
+
 @atexit.register
 def drop_staged() -> None:
     """Deletes what stage() has written so far; frames that read it can't be used any more.
@@ -72,17 +80,24 @@ def drop_staged() -> None:
             pass
 
 
-def once(df: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+def once(df: DataFrame, key: str, most: int = 1_000_000, latest: Sequence[str] = ()) -> DataFrame:
     """One row of each `key`, null being one too, without a shuffle of the rows whose key is not repeated.
 
     The repeated keys are found from the key column alone. Up to `most` of them are broadcast, so only their own
-    rows move; of more, all rows are shuffled by key. Which of the rows with a key stays is not fixed.
+    rows move; of more, all rows are shuffled by key. The row that stays is the one with the greatest values in
+    `latest`; which of several it is, or without them, is not fixed.
     """
+
+    def one(rows: DataFrame) -> DataFrame:
+        if not latest:
+            return rows.dropDuplicates([key])
+        return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(*latest)).alias("_row")).select("_row.*")
+
     again = stage(df.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again")), "again")
     if again.limit(most + 1).count() > most:
-        return df.dropDuplicates([key])
+        return one(df)
     on = F.col(key).eqNullSafe(F.col("_again"))
-    return df.join(F.broadcast(again), on, "left_anti").unionByName(df.join(F.broadcast(again), on, "left_semi").dropDuplicates([key]))
+    return df.join(F.broadcast(again), on, "left_anti").unionByName(one(df.join(F.broadcast(again), on, "left_semi")))
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ def test_once(spark, most):
     assert once(df.limit(0), "k", most).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_the_latest_row_stays(spark, most):
+    df = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (1, 7, "c"), (None, 1, "d"), (None, 2, "e"), (2, None, "f")], "k int, at int, v string")
+    assert sorted(r.v for r in once(df, "k", most, ("at",)).collect()) == ["c", "e", "f"]
+
+
 def test_rows_that_occur_once_are_not_shuffled(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 900 as k", "repeat('x', 100) as t").write.parquet(str(tmp_path / "t"))
     plan = once(spark.read.parquet(str(tmp_path / "t")), "k")._jdf.queryExecution().optimizedPlan().toString()

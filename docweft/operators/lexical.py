@@ -68,10 +68,8 @@ class TermIndex:
     def scores_of(self, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """scores() of one literal query; its terms are pushed down into the scan of stored postings."""
         terms = sorted(set(plain.bm25_tokens(query)))
-        part = TermIndex.__new__(TermIndex)
-        part.key, part._tokens, part.lengths, part.totals = self.key, None, self.lengths, self.totals
-        part.postings = self.postings.filter(F.col("term").isin(terms)) if terms else self.postings.filter("false")
-        return part.scores(query_frame(self.postings.sparkSession, query), k1, b)
+        own = self.postings.filter(F.col("term").isin(terms)) if terms else self.postings.filter("false")
+        return self._sum(own, self._asked(query_frame(self.postings.sparkSession, query), tx.bm25_tokens, True), k1, b, "query_id")
 
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))

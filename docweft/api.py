@@ -123,7 +123,8 @@ class Portal:
 
     def term_candidates(self, top: int = 80) -> DataFrame:
         known = [x.lower() for d in (gr.SYSTEMS, gr.ISSUES) for name, v in d.items() for x in (name, *v)]
-        return terms.mine(gr.graph_documents(self.docs), known, _within(top, 10, 300))
+        docs = gr.graph_documents(self.docs)
+        return terms.mine(docs, known, _within(top, 10, 300), customers=gr.customer_count(docs, tickets.graph_tickets(self.requests)))
 
     def subgraph(self, customers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges to show; without customers chosen no chunks are given out."""
@@ -148,3 +149,14 @@ class Portal:
         old = self.chunks.withColumn("body_hash", F.sha2(F.coalesce("body", F.lit("")), 256))
         inside = None if scope is None else (F.col("source") == scope) | F.startswith("source", F.lit(scope + "/"))
         return store.Sync(old, (fresh if inside is None else fresh.filter(inside)).select(*[c for c in fresh.columns if c in old.columns]), scope=inside, force=force)
+
+    def refresh_index(self, path: str, embed, scope: str | None = None, force: bool = False, limit: int | None = None) -> dict[str, int]:
+        """rebuilt_index() that embeds what has changed and writes the index below `path`; the numbers of the run.
+
+        `embed` maps chunks to (chunk_id, embedding). With a `limit` only the first chunks are looked at and stale ones kept.
+        """
+        fresh = chunking.search_chunks(self.docs.filter("deleted_at is null")).withColumn("body_hash", F.sha2("body", 256))
+        inside = None if scope is None else (F.col("source") == scope) | F.startswith("source", F.lit(scope + "/"))
+        fresh = fresh if inside is None else fresh.filter(inside)
+        fresh = fresh if limit is None else chunking.first_chunks(fresh, limit)
+        return store.refreshed(fresh, path, embed, force, inside, partial=limit is not None)

@@ -87,6 +87,11 @@ def search_chunks(docs: DataFrame, size: int = 1800, overlap: int = 250, least:
     )
 
 
+def first_chunks(chunks: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` chunks by source and place."""
+    return chunks.orderBy("source", "ordinal").limit(limit)
+
+
 def heading_path_sections(text: Column) -> Column:
     """array<struct<path: array<string>, body: string>>: the text under each run of headings of levels 1 to 6.
 
@@ -110,9 +115,13 @@ def heading_path_sections(text: Column) -> Column:
     return F.aggregate(F.split(F.coalesce(text, F.lit("")), _LINE), zero, step, closed)
 
 
-def graph_chunks(docs: DataFrame, size: int = 1200, overlap: int = 150, least: int = 20) -> DataFrame:
-    """(source, ordinal, heading_path, body) of documents (source, content), ordinal from 0 within a document."""
-    parts = F.flatten(F.transform(heading_path_sections(F.col("content")), lambda s: F.transform(_cut(s["body"], size, overlap, least, False), lambda p: F.struct(s["path"].alias("heading_path"), p.alias("body")))))
+def graph_chunks(docs: DataFrame, size: int = 1200, overlap: int = 150, least: int = 20, least_body: int = 0) -> DataFrame:
+    """(source, ordinal, heading_path, body) of documents (source, content), ordinal from 0 within a document.
+
+    Stretches of text under `least_body` characters give none.
+    """
+    long = F.filter(heading_path_sections(F.col("content")), lambda s: F.length(s["body"]) >= least_body)
+    parts = F.flatten(F.transform(long, lambda s: F.transform(_cut(s["body"], size, overlap, least, False), lambda p: F.struct(s["path"].alias("heading_path"), p.alias("body")))))
     return docs.select("source", F.posexplode(parts).alias("ordinal", "p")).select("source", "ordinal", F.col("p.heading_path").alias("heading_path"), F.col("p.body").alias("body"))
 
 
@@ -121,3 +130,21 @@ def customer_blocks(df: DataFrame, text: str) -> DataFrame:
     cut = df.select("*", F.posexplode(F.split(F.col(text), r"(?m)(?=^###\s+\S)|(?=^\*\*[^*\n]+\*\*\s*$)")).alias("block_no", "block"))
     name = F.coalesce(F.nullif(F.regexp_extract("block", r"^###\s+(.+?)\s*(?:\n|$)", 1), F.lit("")), F.nullif(F.regexp_extract("block", r"^\*\*([^*\n]+)\*\*", 1), F.lit("")))
     return cut.withColumn("customer", strip(name)).filter("customer is not null")
+
+
+def customer_rows(df: DataFrame, text: str, least: int = 2, heads: tuple[str, ...] = ("고객사", "업체명")) -> DataFrame:
+    """`df` with row_no, customer and block: the rows of markdown tables of a handbook, each as a table of its own.
+
+    A row of at least `least` cells is about the customer in its first one; its block has a line for each cell
+    under the name of its column, "-" where it is empty. The row before with one of `heads` first names the columns.
+    """
+    rows = F.transform(tx.table_rows(F.col(text)), lambda r, i: F.struct(i.alias("i"), r.alias("cells")))
+    cut = df.withColumn("_rows", rows).withColumn("_heads", F.filter("_rows", lambda r: r["cells"][0].isin(*heads)))
+    one = cut.select("*", F.explode("_rows").alias("_row")).filter((F.size("_row.cells") >= least) & ~F.col("_row.cells")[0].isin(*heads))
+    head = F.element_at(F.filter("_heads", lambda h: h["i"] < F.col("_row.i")), -1)
+    named = one.withColumn("_head", F.when(F.size(F.filter("_heads", lambda h: h["i"] < F.col("_row.i"))) > 0, head["cells"]))
+    line = lambda c, i: F.concat(F.lit("| "), F.coalesce(F.get("_head", i), F.lit("")), F.lit(" | "), F.when(c != "", c).otherwise("-"), F.lit(" |"))
+    cells = F.transform("_row.cells", line)
+    block = F.array_join(F.concat(F.array(F.lit("| 항목 | 내용 |"), F.lit("|---|---|")), cells), "\n")
+    bare = strip(F.replace(F.col("_row.cells")[0], F.lit("**"), F.lit("")))
+    return named.select(*df.columns, F.col("_row.i").alias("row_no"), bare.alias("customer"), block.alias("block")).filter("customer != ''")

@@ -16,11 +16,19 @@ def docs_per_folder(docs: DataFrame, folders: DataFrame) -> DataFrame:
     return counts.join(folders.select("name").distinct(), "name", "full").select("name", F.coalesce("doc_count", F.lit(0)).cast("bigint").alias("doc_count"))
 
 
-def corpus_totals(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(documents, customers, chunks, bytes) of live documents; 0 where there are none."""
+def corpus_totals(docs: DataFrame, chunks: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(documents, customers, chunks, bytes, assets, asset_bytes): live documents, their chunks, live assets; 0 where there are none.
+
+    assets have path, size_bytes and deleted_at.
+    """
     live = docs.filter("deleted_at is null").dropDuplicates(["source"])
     own = live.agg(F.count("*").alias("documents"), F.countDistinct("customer").alias("customers"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("bigint").alias("bytes"))
-    return own.join(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))
+    cut = chunks.join(live.select("source"), "source", "left_semi").agg(F.count("*").alias("chunks"))
+    if assets is None:
+        held = docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("assets"), F.lit(0).cast("bigint").alias("asset_bytes"))
+    else:
+        held = assets.filter("deleted_at is null").agg(F.count("*").alias("assets"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("asset_bytes"))
+    return own.join(F.broadcast(cut)).join(F.broadcast(held))  # one row each
 
 
 def content_status(before: DataFrame, after: DataFrame, key: str = "source", text: str = "content") -> DataFrame:

@@ -7,6 +7,7 @@ and a row of totals. Queries come as (query_id, query); one literal query is a f
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,10 @@ from docweft.session import stage
 #: Chunks of a term from which on it is hot, and the most hot terms that are broadcast; both decide how, not what, is scored.
 HOT_TERM, MOST_BROADCAST = 10_000, 100_000
 SEARCHED = ("title", "heading", "filename", "folder", "source", "body")
+#: Words by which a query asks for reports or for access, and words of texts about access.
+REPORT_WORDS = ("보고서", "월간", "내역서", "점검대장")
+ACCESS_ASKED = ("접속정보", "접속", "계정", "로그인", "서버", "경로")
+ACCESS_WORDS = ("접속", "계정", "로그인", "관리자", "vpn", "ftp", "id", "pw", "password", "host", "클라우드", "경로")
 #: What a term found in a field is worth.
 FIELD_WEIGHTS = {"title": 8, "filename": 6, "folder": 6, "heading": 5, "source": 4, "normalized_body": 2, "body": 1}
 FIELD_WEIGHTS_V2 = {"title": 12, "filename": 8, "folder": 8, "heading": 6, "source": 5, "normalized_body": 2, "body": 1}
@@ -311,3 +316,27 @@ def cosine_scores(chunks: DataFrame, query: str, text: Column) -> DataFrame:
     dots = grams.join(asked, "g").groupBy("chunk_id").agg(F.sum(F.col("c") * F.col("q")).alias("dot"))
     own = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("own"))
     return dots.join(norms, "chunk_id").join(F.broadcast(own)).select("chunk_id", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("score"))
+
+
+def cosine_search(chunks: DataFrame, query: str, k: int, shared_folder: str = "공통자료") -> DataFrame:
+    """The best `k` chunks by cosine_scores() with boosts, of those with a score over 0.
+
+    A query that names the chunk's top folder adds 0.55, and each of its terms in source or title 0.04; chunks of
+    `shared_folder` lose 0.35 unless reports are asked for; where access is asked for, each access word in title and
+    body adds 0.035, up to 0.28. chunks have chunk_id, source, title and body; equal scores go by chunk_id.
+    """
+    dense = query.lower().replace(" ", "")
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    own = cosine_scores(chunks, query, F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
+    rows = chunks.select("chunk_id", "source", "title", "body").join(own, "chunk_id", "left")
+    name, folder = F.concat(low("source"), F.lit(" "), low("title")), F.lower(F.substring_index(F.coalesce("source", F.lit("")), "/", 1))
+    terms = sorted(set(re.findall("[가-힣A-Za-z0-9_]{2,}", query.lower())))
+    boost = F.when((folder != "") & F.contains(F.lit(dense), folder), 0.55).otherwise(0.0)
+    boost = reduce(lambda a, t: a + F.when(F.contains(name, F.lit(t)), 0.04).otherwise(0.0), terms, boost)
+    if not any(w in dense for w in REPORT_WORDS):
+        boost = boost - F.when(folder == shared_folder, 0.35).otherwise(0.0)
+    if any(w in dense for w in ACCESS_ASKED):
+        text = F.concat_ws("\n", low("title"), low("body"))
+        boost = boost + F.least(reduce(lambda a, w: a + F.when(F.contains(text, F.lit(w)), 0.035).otherwise(0.0), ACCESS_WORDS, F.lit(0.0)), F.lit(0.28))
+    scored = rows.select("chunk_id", (F.coalesce("score", F.lit(0.0)) + boost).alias("score"))
+    return scored.orderBy(F.round("score", 9).desc(), "chunk_id").limit(k).filter("score > 0")

@@ -89,6 +89,14 @@ def answers(ranked: DataFrame, bullets: int = 6, chunks: int = 3) -> DataFrame:
     return listed.select("query_id", F.array_join(F.concat(head, parts, F.array(F.lit(""), F.lit(SOURCES_HEAD)), sources), "\n").alias("answer"))
 
 
+def without_noise(ranked: DataFrame, query: Column) -> DataFrame:
+    """Ranked chunks without those whose title says nothing for the query, ranks closed up; where none is left, the first."""
+    kept = ranked.withColumn("_noise", tx.is_noise_title(query, F.col("title")))
+    own = Window.partitionBy("query_id")
+    some = kept.withColumn("_some", F.max(~F.col("_noise")).over(own)).filter(F.when(F.col("_some"), ~F.col("_noise")).otherwise(F.col("rank") == 1))
+    return some.withColumn("rank", F.row_number().over(own.orderBy("rank")).cast(ranked.schema["rank"].dataType)).drop("_noise", "_some")
+
+
 def extractive_answer(ranked: DataFrame, bullets: int = 6, chunks: int = 3) -> str:
     """answers() of the one query of `ranked`, or that nothing was found."""
     found = answers(ranked, bullets, chunks).first()

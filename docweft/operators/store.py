@@ -6,12 +6,14 @@ are taken to be unique on the stored side; of incoming rows with the same key an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions import text as tx
+from docweft.session import numbered, stage
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), values: dict[str, Column] | None = None) -> DataFrame:
@@ -63,8 +65,37 @@ def renamed_prefix(rows: DataFrame, column: str, old: str, new: str) -> DataFram
 
 
 def renamed_folder(docs: DataFrame, old: str, new: str) -> DataFrame:
-    """Documents with the folder renamed in source and, where it is the customer, there too."""
-    return renamed_prefix(docs, "source", old, new).withColumn("customer", F.when(F.col("customer") == old, new).otherwise(F.col("customer")))
+    """Documents with the folder renamed in source; those in it have its new name as customer."""
+    inside = F.startswith("source", F.lit(old + "/"))
+    return renamed_prefix(docs.withColumn("customer", F.when(inside, new).otherwise(F.col("customer"))), "source", old, new)
+
+
+def renamed_everywhere(docs: DataFrame, assets: DataFrame, chunks: DataFrame, folders: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables with folder `old` renamed: sources and customers, paths, sources and folders of chunks, and the name itself."""
+    inside = F.startswith("source", F.lit(old + "/"))
+    named = folders.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name")))
+    moved = renamed_prefix(chunks.withColumn("folder", F.when(inside, new).otherwise(F.col("folder"))), "source", old, new)
+    return renamed_folder(docs, old, new), renamed_prefix(assets, "path", old, new), moved, named
+
+
+def updated(docs: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """`docs` with the contents of `changes` (source, content) for the sources that there are; these have changed `at`."""
+    given = changes.dropDuplicates(["source"]).select("source", F.col("content").alias("_content"), F.lit(True).alias("_given"))
+    both = docs.join(given, "source", "left")
+    return both.withColumns({"content": F.when(F.col("_given"), F.col("_content")).otherwise(F.col("content")), "updated_at": F.when(F.col("_given"), at).otherwise(F.col("updated_at"))}).select(*docs.columns)
+
+
+def renamed_document(docs: DataFrame, source: str, new_source: str, title: str, customer: str, at: Column) -> DataFrame:
+    """`docs` with one document under another path, title and customer."""
+    own = F.col("source") == source
+    values = {"title": F.lit(title), "customer": F.lit(customer), "updated_at": at, "source": F.lit(new_source)}
+    return docs.select(*[F.when(own, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in docs.columns])
+
+
+def fetched(rows: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
+    """The rows with the given `keys` and their place, in the order given; a key given again counts once."""
+    wanted = rows.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(keys))), f"place int, {key} string")
+    return rows.join(F.broadcast(wanted), key).orderBy("place")
 
 
 def soft_deleted(docs: DataFrame, which: Column, at: Column) -> DataFrame:
@@ -98,12 +129,9 @@ def assets_deleted_with(assets: DataFrame, docs: DataFrame, at: Column) -> DataF
 
 
 def folders_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, sort_order): customers and given folder names, by name without regard to case.
-
-    The order is that of one list of folders, of which there are few.
-    """
+    """(name, sort_order): customers and given folder names, by name without regard to case."""
     every = docs.select(F.col("customer").alias("name")).union(names.select("name")).filter("name is not null and name != ''").distinct()
-    return every.withColumn("sort_order", F.row_number().over(Window.orderBy(F.lower("name"), "name")) - 1)
+    return numbered(every, [F.lower("name"), F.col("name")], "sort_order").withColumn("sort_order", F.col("sort_order").cast("int"))
 
 
 def folder_added(folders: DataFrame, name: str) -> DataFrame:
@@ -130,8 +158,11 @@ def unique_names(rows: DataFrame, taken: DataFrame, name: str, order: Sequence[s
     number = F.regexp_extract("_t", r"_(\d+)(\.[^./]*)?$", 1).try_cast("bigint")
     last = every.select(F.regexp_replace("_t", r"_(\d+)(\.[^./]*)?$", "$2").alias(name), number.alias("_n")).groupBy(name).agg(F.max("_n").alias("_last"))
     exact = held.distinct().select(F.col("_t").alias(name), F.lit(1).alias("_held"))
-    place = F.row_number().over(Window.partitionBy(name).orderBy(*order)) + F.coalesce("_held", F.lit(0))
-    placed = rows.join(last, name, "left").join(exact, name, "left").withColumn("_k", place)
+    # Numbers within a name from those of all rows, as one name may be that of a large part of them.
+    sorted_ = numbered(rows, [name, *order], "_n")
+    first = sorted_.groupBy(name).agg(F.min("_n").alias("_first"))
+    known = sorted_.join(first, name).join(last, name, "left").join(exact, name, "left")
+    placed = known.withColumn("_k", F.col("_n") - F.col("_first") + 1 + F.coalesce("_held", F.lit(0)))
     made = F.concat(base, F.lit("_"), (F.greatest(F.coalesce("_last", F.lit(1)), F.lit(1)) + F.col("_k") - 1).cast("string"), ending)
     return placed.withColumn(name, F.when(F.col("_k") > 1, made).otherwise(F.col(name))).select(*rows.columns)
 
@@ -174,3 +205,41 @@ def exported(docs: DataFrame, assets: DataFrame, folders: Sequence[str] = (), so
     own = docs.filter(chosen)
     shown = own.select(F.explode(tx.image_refs(F.col("source"), F.col("content"))).alias("path")).distinct()
     return own.select(F.col("source").alias("path"), F.lit("document").alias("kind")).distinct().unionByName(assets.select("path").join(shown, "path", "left_semi").distinct().withColumn("kind", F.lit("asset")))
+
+
+def publish(index: DataFrame, path: str) -> str:
+    """Writes an index as a snapshot below `path` and makes it the current one; the name of the snapshot.
+
+    Readers of the one before go on reading it; the file that names the current one is written last.
+    """
+    spark, name = index.sparkSession, f"snapshot-{uuid.uuid4().hex}"
+    index.write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    return name
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current snapshot of an index below `path`, if there is one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current').first().value}")
+
+
+def refreshed(fresh: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], force: bool = False, scope: Column | None = None, partial: bool = False, key: str = "chunk_id", digest: str = "body_hash") -> dict[str, int]:
+    """One run of index upkeep that writes: chunks that are new or changed are embedded, merged and published.
+
+    `fresh` has the chunks there should be, with their hash; `embed` maps those that need it to (key, embedding).
+    Of a `partial` list (as of a first few chunks) stale ones are kept. Gives the numbers of chunks, of those
+    upserted and skipped, and of stale ones deleted.
+    """
+    spark = fresh.sparkSession
+    old = current(spark, path)
+    if old is None:
+        old = spark.createDataFrame([], fresh.schema).withColumn("embedding", F.lit(None).cast("array<double>"))
+    run = Sync(old, fresh, key, digest, scope, force)
+    todo = stage(run.todo.join(embed(run.todo).select(key, "embedding"), key, "left").select(*old.columns), "embedded")
+    kept = old if partial else without_stale(old, fresh, [key], scope)
+    found = run.report.first()
+    publish(upsert(kept, todo, [key]), path)
+    return {"chunks": fresh.count(), "upserted": found.upserted, "skipped": found.skipped, "deleted": 0 if partial else found.deleted}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,29 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     return corpus_jobs.inventory(_docs(spark, root).select(F.concat("source", F.when(F.col("doc_pk") % 3 == 0, ".PNG").otherwise("")).alias("path"), F.octet_length("content").alias("size")))
 
 
+def folder_renamed(spark: SparkSession, root: str) -> DataFrame:
+    """A folder renamed in documents, assets, chunks and the list of folders."""
+    docs = _docs(spark, root)
+    names = docs.select(F.col("customer").alias("name")).distinct()
+    assets = docs.select(F.concat("source", F.lit("/a.png")).alias("path"))
+    parts = store.renamed_everywhere(docs.select("source", "customer"), assets, _chunks(spark, root).select("source", "folder"), names, FOLDER, "다온정밀화학")
+    shown = [("doc", "source", "customer"), ("asset", "path", None), ("chunk", "source", "folder"), ("folder", "name", None)]
+    rows = [df.select(F.lit(kind).alias("what"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("string")).alias("b")) for df, (kind, a, b) in zip(parts, shown, strict=True)]
+    return reduce(lambda x, y: x.unionByName(y), rows).groupBy("what", "a", "b").agg(F.count("*").alias("n"))
+
+
+def updated_docs(spark: SparkSession, root: str) -> DataFrame:
+    docs = _docs(spark, root).select("doc_pk", "source", "title", "customer", "content", "updated_at")
+    changes = docs.filter("doc_pk % 4 = 0").select("source", F.lit("neu").alias("content")).union(spark.createDataFrame([("gibt es nicht", "x")], "source string, content string"))
+    changed = store.updated(docs, changes, F.lit(AS_OF).cast("timestamp"))
+    return changed.select("doc_pk", F.md5("content").alias("content_md5"), F.unix_seconds("updated_at").alias("changed_s"))
+
+
+def fetched_chunks(spark: SparkSession, root: str) -> DataFrame:
+    keys = [r.chunk_id for r in _chunks(spark, root).select("chunk_id").orderBy(F.desc("chunk_id")).limit(50).collect()]
+    return store.fetched(_chunks(spark, root).select("chunk_id", "source"), [*keys, *keys[:5], "fehlt"], "chunk_id").select("chunk_id", "source", F.col("place").cast("bigint").alias("place"))
+
+
 # ---- Splitters and text functions --------------------------------------------------------------------------
 def section_paths(spark: SparkSession, root: str) -> DataFrame:
     """The headings that each stretch of text stands under."""
@@ -123,6 +148,16 @@ def legacy_cosine(spark: SparkSession, root: str) -> DataFrame:
     return found.orderBy(F.round("score", 9).desc(), "chunk_id").limit(50).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+def legacy_search(spark: SparkSession, root: str) -> DataFrame:
+    found = lexical.cosine_search(spread(_chunks(spark, root).select("chunk_id", "source", "title", "body")), f"{FOLDER} 서버 접속 경로", 50)
+    return found.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def unquoted_refs(spark: SparkSession, root: str) -> DataFrame:
+    own = _docs(spark, root).select("source", F.format_string("![a]('images/%d.png') ![b](HTTPS://x/y.png) ![c](//x/z.png) ![d](\"e/%d.jpg\" t)", F.col("doc_pk"), F.col("doc_pk")).alias("content"))
+    return own.select("source", F.explode(tx.image_refs(F.col("source"), F.col("content"), True)).alias("path"))
+
+
 def aliased_titles(spark: SparkSession, root: str) -> DataFrame:
     own = table(spark, root, "maintenance_requests").select("idx", "title").filter("title is not null").distinct()
     return own.select("idx", tx.with_aliases(F.col("title"), ALIASES).alias("query"))
@@ -183,7 +218,7 @@ def answer_chunks(spark: SparkSession, root: str) -> DataFrame:
     return hybrid.for_answer(found).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (ticket_upsert, scoped_index, scoped_report, forced_report, model_scoped_upsert, orphans, assets_deleted, exported_paths, folder_chunks_left, import_log, content_status, import_summary, file_inventory, section_paths, unified_tokens, field_tokens, legacy_cosine, aliased_titles, embedding_texts, markdown_cells, fenced_blocks, simple_names, ticket_snippets, imported_texts, company_folders, nearest_live, contexts, answer_chunks)}
+QUERIES = {f.__name__: f for f in (ticket_upsert, scoped_index, scoped_report, forced_report, model_scoped_upsert, orphans, assets_deleted, exported_paths, folder_chunks_left, import_log, content_status, import_summary, file_inventory, folder_renamed, updated_docs, fetched_chunks, section_paths, unified_tokens, field_tokens, legacy_cosine, legacy_search, unquoted_refs, aliased_titles, embedding_texts, markdown_cells, fenced_blocks, simple_names, ticket_snippets, imported_texts, company_folders, nearest_live, contexts, answer_chunks)}
 
 _D = "d as (select distinct on (doc_pk) * from maintenance_docs order by doc_pk)"
 _ONE = "tk as (select distinct on (idx) * from maintenance_requests order by idx, imported_at desc nulls last, last_import_id desc nulls last)"
@@ -250,6 +285,20 @@ select distinct idx, {_UNMARKED} as text from l""",
     "content_status": f"with {_D}, a as (select source, coalesce(content, '') as x from d where doc_pk % 5 <> 0), b as (select source, coalesce({_CLEAN_DOC}, '') as y from d where doc_pk % 7 <> 0) select source, case when x is null then 'added' when y is null then 'removed' when x = y then 'same' else 'changed' end as status from a full join b using (source)",
     "import_summary": f"with {_D}, a as (select source, {_CLEAN_DOC} as x from d), b as (select source, content as y, true as had from d where doc_pk % 5 <> 0), j as (select * from a left join b using (source)) select count(*) filter (had is null) as created, count(*) filter (had and x is distinct from y) as updated, count(*) filter (had and x is not distinct from y) as skipped from j",
     "file_inventory": f"with {_D}, f as (select lower(regexp_extract(regexp_replace(source || case when doc_pk % 3 = 0 then '.PNG' else '' end, '^.*/', ''), '.(\\.[^.]+)$', 1)) as kind, strlen(content) as size from d) select case when kind = '' then '(none)' else kind end as kind, count(*) as n, cast(coalesce(sum(size), 0) as bigint) as bytes from f group by 1",
+    "folder_renamed": f"""with {_D}, r as (select 'doc' as what, case when prefix(source, '{FOLDER}/') then '다온정밀화학' || substring(source, {len(FOLDER) + 1}) else source end as a, case when prefix(source, '{FOLDER}/') then '다온정밀화학' else customer end as b from d
+union all select 'asset', case when prefix(source, '{FOLDER}/') then '다온정밀화학' || substring(source, {len(FOLDER) + 1}) else source end || '/a.png', null from d
+union all select 'chunk', case when prefix(source, '{FOLDER}/') then '다온정밀화학' || substring(source, {len(FOLDER) + 1}) else source end, case when prefix(source, '{FOLDER}/') then '다온정밀화학' else folder end from chunks
+union all select 'folder', case when customer = '{FOLDER}' then '다온정밀화학' else customer end, null from (select distinct customer from d)) select what, a, b, count(*) as n from r group by all""",
+    "updated_docs": f"with {_D} select doc_pk, md5(case when doc_pk % 4 = 0 then 'neu' else content end) as content_md5, case when doc_pk % 4 = 0 then cast(epoch(timestamptz '{AS_OF}+00') as bigint) else cast(floor(epoch_us(updated_at) / 1000000) as bigint) end as changed_s from d",
+    "fetched_chunks": "select chunk_id, source, row_number() over (order by chunk_id desc) - 1 as place from chunks qualify place < 50",
+    "legacy_search": f"""with {_legacy("cg", "chunks", "chunk_id", "coalesce(title, '') || chr(10) || coalesce(body, '')")}, {_legacy("qg", f"(select '{FOLDER} 서버 접속 경로' as query)", "query", "query")},
+g as (select chunk_id, g, count(*) as c from cg group by all), q as (select g, count(*) as q from qg group by g), n as (select chunk_id, sqrt(sum(c * c)) as norm from g group by chunk_id),
+s as (select chunk_id, sum(c * q) / (any_value(norm) * (select sqrt(sum(q * q)) from q)) as score from g join q using (g) join n using (chunk_id) group by chunk_id),
+x as (select chunk_id, coalesce(score, 0) + case when string_split(source, '/')[1] <> '' and contains('{FOLDER}서버접속경로', lower(string_split(source, '/')[1])) then 0.55 else 0 end
+  + {" + ".join(f"case when contains(lower(source || ' ' || coalesce(title, '')), '{t}') then 0.04 else 0 end" for t in (FOLDER, "서버", "접속", "경로"))} - case when string_split(source, '/')[1] = '공통자료' then 0.35 else 0 end
+  + least(0.28, {" + ".join(f"case when contains(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '{w}') then 0.035 else 0 end" for w in lexical.ACCESS_WORDS)}) as score from chunks left join s using (chunk_id))
+select chunk_id, round(score, 6) as score from x where score > 0 order by round(score, 9) desc, chunk_id limit 50""",
+    "unquoted_refs": f"with {_D}, r as (select source, unnest(['images/' || doc_pk || '.png', 'e/' || doc_pk || '.jpg']) as r from d) select source, case when contains(source, '/') then regexp_replace(source, '/[^/]*$', '') || '/' || r else r end as path from r",
     "section_paths": f"with {_D}, {LINES} select doc_pk, row_number() over (partition by doc_pk order by seg) - 1 as n, array_to_string(path, ' > ') as path, md5(body) as body_md5 from p",
     "unified_tokens": f"with f as materialized (select {_FLAT} as form from chunks), h as materialized (select form, regexp_replace(form, '[^가-힣]', '', 'g') as hangul from f), t as (select unnest(list_concat(regexp_extract_all(form, '[가-힣A-Za-z0-9_./:@!+-]{{2,}}'), {sql.grams('hangul', 2)}, {sql.grams('hangul', 3)})) as token from h) select token, count(*) as n from t group by token",
     "field_tokens": f"with t as (select unnest(regexp_extract_all({_FLAT}, '[가-힣A-Za-z0-9_./:@!+-]{{2,}}')) as token from chunks) select token, count(*) as n from t group by token",

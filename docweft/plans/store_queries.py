@@ -95,7 +95,8 @@ def docs_per_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def corpus_totals(spark: SparkSession, root: str) -> DataFrame:
-    return corpus_jobs.corpus_totals(table(spark, root, "maintenance_docs"), _chunks(spark, root))
+    assets = _docs(spark, root).select(F.col("doc_pk").alias("path"), F.length("title").alias("size_bytes"), "deleted_at")
+    return corpus_jobs.corpus_totals(table(spark, root, "maintenance_docs"), _chunks(spark, root), assets)
 
 
 def asset_refs(spark: SparkSession, root: str) -> DataFrame:
@@ -131,13 +132,13 @@ union all select a.source, a.title, null, null from a where a.source not in (sel
     "hash_diff": _INDEX + "select chunk_id from t",
     "sync_report": _INDEX + "select (select count(*) from t) as upserted, (select count(*) from n) - (select count(*) from t) as skipped, (select count(*) from o where chunk_id not in (select chunk_id from n)) as deleted",
     "synced_index": _INDEX + "select chunk_id, source, body_hash from n",
-    "prefix_rename": f"with {_D} select case when prefix(source, '다온화학/') then '다온정밀화학' || substring(source, 5) else source end as source, case when customer = '다온화학' then '다온정밀화학' else customer end as customer from d",
+    "prefix_rename": f"with {_D} select case when prefix(source, '다온화학/') then '다온정밀화학' || substring(source, 5) else source end as source, case when prefix(source, '다온화학/') then '다온정밀화학' else customer end as customer from d",
     "soft_delete_restore": f"with {_D}, m as (select doc_pk, case when prefix(source, '벼리재단/') and deleted_at is null then timestamptz '{AS_OF}+00' else deleted_at end as x from d), r as (select doc_pk, case when doc_pk % 5 = 0 then null else x end as x from m) select doc_pk, x is null as live, cast(floor(epoch_us(x) / 1000000) as bigint) as deleted_s from r",
     "purge_expired": f"with {_D}, g as (select * from d where deleted_at < timestamptz '{AS_OF}+00' - interval 200 days) select 'doc' as what, source as key from d where doc_pk not in (select doc_pk from g) union all select 'chunk', chunk_id from chunks where source not in (select source from g)",
     "backfilled_ids": f"with {_D} select chunk_id, doc_pk as document_pk from chunks left join d using (source)",
     "folder_order": f"with {_D}, f as (select customer as name from d union select string_split(folder, '/')[1] from chunks), g as (select name, row_number() over (order by lower(name), name) - 1 as o from f where name is not null and name <> '') select name, case name when '다온화학' then 1 else o end as sort_order from g union all select '새 고객사', 0",
-    "docs_per_folder": f"with {sql.LIVE}, c as (select coalesce(customer, '') as name, count(*) as doc_count from live where not (not contains(source, '/') and (prefix(source, 'READABILITY_') or source in ('README.md'))) group by 1) select name, doc_count from c union all select '빈 폴더', 0",
-    "corpus_totals": f"with {sql.LIVE} select count(*) as documents, count(distinct customer) as customers, cast(coalesce(sum(strlen(content)), 0) as bigint) as bytes, (select count(*) from chunks) as chunks from live",
+    "docs_per_folder": f"with {sql.LIVE}, c as (select coalesce(customer, '') as name, count(*) as doc_count from live where not (not contains(source, '/') and (prefix(source, 'READABILITY_') or source in ({', '.join(map(sql.lit, tx.SYSTEM_DOCUMENTS))}))) group by 1) select name, doc_count from c union all select '빈 폴더', 0",
+    "corpus_totals": f"with {sql.LIVE} select count(*) as documents, count(distinct customer) as customers, cast(coalesce(sum(strlen(content)), 0) as bigint) as bytes, (select count(*) from chunks where source in (select source from live)) as chunks, (select count(*) from (select distinct doc_pk from maintenance_docs where deleted_at is null)) as assets, (select cast(coalesce(sum(length(title)), 0) as bigint) from (select distinct doc_pk, title from maintenance_docs where deleted_at is null)) as asset_bytes from live",
     "asset_refs": r"""with d as (select distinct on (doc_pk) * from maintenance_docs order by doc_pk), c as (select source, concat_ws(chr(10), content, format('![a](images/{0}.png) ![b](<http://x/y.png>) ![c](https://x/z.png) ![d](./e/{0}.jpg "t")', doc_pk)) as content from d),
 r as (select source, regexp_extract(unnest(regexp_extract_all(content, '!\[[^\]]*\]\(([^)]+)\)', 1)), '^\s*(\S+)', 1) as r from c)
 select source, case when contains(source, '/') then regexp_replace(source, '/[^/]*$', '') || '/' || r else r end as path from r where r <> '' and not regexp_matches(r, '^(?:https?://|data:|/)')""",

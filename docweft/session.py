@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings under which the library is developed and tested. All of them hold at any scale;
@@ -100,6 +100,23 @@ def once(df: DataFrame, key: str, most: int = 1_000_000, latest: Sequence[str] =
     return df.join(F.broadcast(again), on, "left_anti").unionByName(one(df.join(F.broadcast(again), on, "left_semi")))
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """`df` with its rows' places in `order`, from 0, in column `name`.
+
+    Rows are sorted in ranges and numbered within each; the ranges' sizes, one number for each task, give the
+    offsets. So no task has all rows, nor all of one value if `order` ends in a unique key.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", inside), "numbered")
+    sizes = sorted((r._part, r["count"]) for r in placed.groupBy("_part").count().collect())
+    offsets, total = [], 0
+    for part, n in sizes:
+        offsets.append((part, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(offsets, "_part int, _start bigint")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Splits a scan that comes in fewer partitions than the session has cores.
 

@@ -61,3 +61,13 @@ def test_embedding_cache(spark):
     cache = spark.createDataFrame([("a", "h1", [1.0, 2.0]), ("b", "old", [3.0, 4.0]), ("c", "h3", [5.0])], "chunk_id string, body_hash string, embedding array<double>")
     made = vector.with_cached(chunks, cache, lambda df: df.select("chunk_id", F.array(F.lit(0.0), F.lit(0.0)).alias("embedding")), dim=2)
     assert {r.chunk_id: r.embedding for r in made.collect()} == {"a": [1.0, 2.0], "b": [0.0, 0.0], "c": [0.0, 0.0]}
+
+
+def test_refresh_embeds_what_has_changed(spark, data, tmp_path):
+    embed = lambda df: df.select("chunk_id", F.array(F.length("body").cast("double")).alias("embedding"))
+    portal = Portal(spark, data)
+    first = portal.refresh_index(str(tmp_path / "i"), embed, limit=5)
+    assert (first["upserted"], first["deleted"]) == (5, 0)
+    full = portal.refresh_index(str(tmp_path / "i"), embed)
+    assert full["upserted"] == full["chunks"] - 5
+    assert portal.refresh_index(str(tmp_path / "i"), embed)["upserted"] == 0

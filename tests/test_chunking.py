@@ -82,3 +82,18 @@ def test_graph_chunks(spark):
 def test_customer_blocks(spark):
     df = spark.createDataFrame([("머리\n### 가 회사\n글\n**나 회사**\n글2\n",)], "t string")
     assert [(r.customer, "글" in r.block) for r in chunking.customer_blocks(df, "t").orderBy("block_no").collect()] == [("가 회사", True), ("나 회사", True)]
+
+
+def test_rows_of_customer_tables(spark):
+    text = "| 고객사 | VPN | 비고 |\n|---|---|---|\n| **가온** | 있음 | |\n| 나래 | 없음 | x |\n\n| 업체명 | 담당 |\n|---|---|\n| 다솜 | 김 |\n| 짧다 |"
+    df = spark.createDataFrame([("h", text), ("leer", None), ("ohne", "| a | b |")], "source string, body string")
+    got = {r.customer: r.block for r in chunking.customer_rows(df, "body").collect()}
+    assert set(got) == {"가온", "나래", "다솜", "a"}
+    assert got["가온"] == "| 항목 | 내용 |\n|---|---|\n| 고객사 | **가온** |\n| VPN | 있음 |\n| 비고 | - |"
+    assert got["다솜"].endswith("| 업체명 | 다솜 |\n| 담당 | 김 |")
+
+
+def test_short_stretches_may_be_left_out(spark):
+    df = spark.createDataFrame([("s", "# a\nkurz\n# b\n" + "lang " * 20)], "source string, content string")
+    assert [r.heading_path for r in chunking.graph_chunks(df, least=1, least_body=40).collect()] == [["b"]]
+    assert chunking.graph_chunks(df, least=1).count() == 2

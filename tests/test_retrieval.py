@@ -233,3 +233,10 @@ def test_index_of_cells_finds_most_neighbours(spark):
     assert {(r.query_id, r.id) for r in every.collect()} == set(exact)
     empty = vector.Index(df.limit(0))
     assert empty.nearest(asked, 5).collect() == []
+
+
+def test_noise_titles_leave_answers(spark):
+    ranked = spark.createDataFrame([(0, 1, "문서 개요"), (0, 2, "점검"), (0, 3, "월간 보고서"), (1, 1, "본문")], "query_id bigint, rank bigint, title string")
+    kept = lambda q: sorted((r.query_id, r.rank, r.title) for r in snippets.without_noise(ranked, F.lit(q)).collect())
+    assert kept("밸브") == [(0, 1, "점검"), (1, 1, "본문")]
+    assert kept("월간 보고서") == [(0, 1, "점검"), (0, 2, "월간 보고서"), (1, 1, "본문")]

@@ -1,6 +1,6 @@
 import pytest
 
-from docweft.session import once
+from docweft.session import numbered, once
 
 
 @pytest.mark.parametrize("most", [0, 1000])
@@ -23,3 +23,11 @@ def test_rows_that_occur_once_are_not_shuffled(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 900 as k", "repeat('x', 100) as t").write.parquet(str(tmp_path / "t"))
     plan = once(spark.read.parquet(str(tmp_path / "t")), "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "broadcast" in plan.lower()
+
+
+def test_numbers_are_places_in_the_order(spark):
+    rows = [(i % 3, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    got = {(r.a, r.b): r.n for r in numbered(df, ["a", "b"], "n").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(rows))}
+    assert numbered(df.limit(0), ["a"], "n").collect() == []

@@ -138,3 +138,40 @@ def test_settings(tmp_path):
     save(path, {"bm25": {"k1": 2.0}})
     assert load(path)["bm25"] == {"k1": 2.0, "b": 0.75}
     assert merged({"a": {"b": 1}}, {"a": 2}) == {"a": 2}
+
+
+def test_refresh_writes_snapshots(spark, tmp_path):
+    path, seen = str(tmp_path / "index"), []
+
+    def embed(df):
+        seen.append(sorted(r.chunk_id for r in df.collect()))
+        return df.select("chunk_id", F.array(F.length("body").cast("double")).alias("embedding"))
+
+    def run(rows, **how):
+        fresh = spark.createDataFrame(rows, "chunk_id string, source string, body string").withColumn("body_hash", F.sha2("body", 256))
+        report = store.refreshed(fresh, path, embed, **how)
+        return report, {r.chunk_id: (r.body, r.embedding) for r in store.current(spark, path).collect()}
+
+    assert store.current(spark, path) is None
+    report, rows = run([("a1", "a", "x"), ("b1", "b", "yy")])
+    assert (report, rows) == ({"chunks": 2, "upserted": 2, "skipped": 0, "deleted": 0}, {"a1": ("x", [1.0]), "b1": ("yy", [2.0])})
+    before = store.current(spark, path)
+    report, rows = run([("a1", "a", "xxx"), ("c1", "c", "z")])
+    assert report == {"chunks": 2, "upserted": 2, "skipped": 0, "deleted": 1}
+    assert rows == {"a1": ("xxx", [3.0]), "c1": ("z", [1.0])}
+    assert before.count() == 2
+    report, rows = run([("c1", "c", "z")], partial=True)
+    assert (report["skipped"], report["deleted"], set(rows)) == (1, 0, {"a1", "c1"})
+    report, rows = run([("c1", "c", "zz")], scope=F.col("source") == "c")
+    assert (report["upserted"], rows["a1"], rows["c1"]) == (1, ("xxx", [3.0]), ("zz", [2.0]))
+    report, _ = run([("a1", "a", "xxx"), ("c1", "c", "zz")], force=True)
+    assert report["upserted"] == 2
+    assert seen[-1] == ["a1", "c1"]
+
+
+def test_one_document_changes(spark):
+    docs = spark.createDataFrame([("a", "t", "c", "x", None), ("b", "t", "c", "y", None)], "source string, title string, customer string, content string, updated_at timestamp")
+    at = F.lit("2026-01-01").cast("timestamp")
+    moved = {r.source: r for r in store.renamed_document(docs, "a", "n/a", "neu", "d", at).collect()}
+    assert (moved["n/a"].title, moved["n/a"].customer, moved["n/a"].content, moved["b"].title, moved["b"].updated_at) == ("neu", "d", "x", "t", None)
+    assert [r.source for r in store.fetched(docs, ["b", "z", "a", "b"], "source").collect()] == ["b", "a"]

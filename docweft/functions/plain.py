@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 from docweft.functions.text import PARTICLES, SEARCH_STOPWORDS
 
@@ -47,11 +48,18 @@ def expansion(query: str, synonyms: dict[str, list[str]]) -> list[str]:
     return list(dict.fromkeys(s for s in found if s and s not in own))
 
 
+@lru_cache(1 << 17)
+def _bucket(token: str) -> tuple[int, float]:
+    """Hash of a token and its sign."""
+    digest = hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "big"), 1.0 if digest[4] % 2 == 0 else -1.0
+
+
 def hash_vector(text: str | None, dim: int) -> list[float]:
     """Signed feature hashing of tokens and n-grams to a unit vector; zeros for a text without any."""
     out = [0.0] * dim
     for token in bm25_tokens(text) + sorted(ngram_set(text)):
-        digest = hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
-        out[int.from_bytes(digest[:4], "big") % dim] += 1.0 if digest[4] % 2 == 0 else -1.0
+        place, sign = _bucket(token)
+        out[place % dim] += sign
     norm = math.sqrt(sum(x * x for x in out))
     return [x / norm for x in out] if norm else out

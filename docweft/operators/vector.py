@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions.vectors import clamped, cosine
-from docweft.session import stage
+from docweft.session import bounded_sample, stage
 
 #: Vectors that are multiplied at once, and the bytes of queries that are broadcast for one scan.
 BLOCK = 4096
@@ -155,7 +155,7 @@ class Index:
         dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
         self.dim, count = (dims.d, dims.n) if dims else (1, 0)
         held = rows.filter(F.size("v") == self.dim)
-        fit = np.nan_to_num(np.array([r.v for r in held.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], np.float64).reshape(-1, self.dim))
+        fit = np.nan_to_num(np.array([r.v for r in bounded_sample(held, "id", count, sample).collect()], np.float64).reshape(-1, self.dim))
         norm = np.linalg.norm(fit, axis=1)
         fit = fit[norm > 0] / norm[norm > 0, None]
         self.centres = self._fitted(fit, max(1, min(most_cells, int(count**0.5), max(1, len(fit) // 4))), rounds)

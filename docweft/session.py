@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,26 +45,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _STAGED: list[tuple[SparkSession, str]] = []
+#: What is staged in this context; that of the process unless staging() has opened one of its own.
+_HERE: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("staged", default=_STAGED)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` once as parquet into the shared folder and reads it back.
 
     It cuts lineage and keeps expensive rows from being computed once per branch. The files outlive
-    executors, and their sizes give the planner real statistics. They go when the session ends.
+    executors, and their sizes give the planner real statistics. They go when the process ends, or at the end
+    of the staging() that they are written in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docweft-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _STAGED.append((spark, path))
+    _HERE.get().append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
 def stage_all(*parts: tuple[DataFrame, str]) -> list[DataFrame]:
     """stage() of several frames that do not depend on each other, at the same time."""
     with ThreadPoolExecutor(len(parts)) as pool:
-        return list(pool.map(lambda part: stage(*part), parts))
+        return [x.result() for x in [pool.submit(copy_context().run, stage, *part) for part in parts]]
+
+
+def _dropped(staged: list[tuple[SparkSession, str]]) -> None:
+    while staged:
+        spark, path = staged.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Deletes at its end what is staged within it: for services, around one request whose results are then stored or collected.
+
+    Frames made inside can't be used any more; those of other threads and requests stay.
+    """
+    own: list[tuple[SparkSession, str]] = []
+    token = _HERE.set(own)
+    try:
+        yield
+    finally:
+        _HERE.reset(token)
+        _dropped(own)
 
 
 @atexit.register
@@ -71,13 +101,7 @@ def drop_staged() -> None:
 
     Runs when the process ends; a long session may call it once its results are stored.
     """
-    while _STAGED:
-        spark, path = _STAGED.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may be gone
-            pass
+    _dropped(_STAGED)
 
 
 def once(df: DataFrame, key: str, most: int = 1_000_000, latest: Sequence[str] = ()) -> DataFrame:
@@ -117,6 +141,17 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFra
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
+    """At most `most` of the `rows` rows of `df`: those of the least hash of `key`, the same on every run.
+
+    Of many rows only about twice as many are looked at, so that no task sends on `most` rows of its own.
+    """
+    digest = F.xxhash64(key)
+    if rows > 2 * most:
+        df = df.filter(digest < F.lit(-(1 << 63) + int((1 << 64) * 2 * most / rows)))
+    return df.orderBy(digest, key).limit(most)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Splits a scan that comes in fewer partitions than the session has cores.
 

@@ -1,6 +1,6 @@
 import pytest
 
-from docweft.session import numbered, once
+from docweft.session import bounded_sample, numbered, once, shared_dir, stage, stage_all, staging
 
 
 @pytest.mark.parametrize("most", [0, 1000])
@@ -31,3 +31,22 @@ def test_numbers_are_places_in_the_order(spark):
     got = {(r.a, r.b): r.n for r in numbered(df, ["a", "b"], "n").collect()}
     assert got == {x: i for i, x in enumerate(sorted(rows))}
     assert numbered(df.limit(0), ["a"], "n").collect() == []
+
+
+def test_a_bounded_sample_is_of_the_least_hashes(spark):
+    df = spark.range(5000).selectExpr("id", "'x' as t")
+    want = {r.id for r in df.selectExpr("id", "xxhash64(id) as h").orderBy("h").limit(50).collect()}
+    assert {r.id for r in bounded_sample(df, "id", 5000, 50).collect()} == want
+    assert bounded_sample(df.limit(30), "id", 30, 50).count() == 30
+
+
+def test_staged_files_go_with_their_request(spark, tmp_path):
+    from pathlib import Path
+
+    count = lambda: len([p for p in Path(shared_dir(spark).removeprefix("file://")).iterdir() if p.name.startswith("docweft-mine")])
+    kept = stage(spark.range(3), "mine")
+    with staging():
+        a, b = stage_all((spark.range(2), "mine"), (spark.range(4), "mine"))
+        assert (a.count(), b.count(), count()) == (2, 4, 3)
+    assert count() == 1
+    assert kept.count() == 3

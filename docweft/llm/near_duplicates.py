@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm.blocks import blocks
-from docweft.session import spread, stage
+from docweft.session import bounded_sample, spread, stage
 
 #: Fixed value: the characters that count, after lower-casing.
 _KEPT = re.compile("[0-9a-z가-힣]+")
@@ -144,7 +144,7 @@ def _norms(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([normalised(x) for x in batch.column(2).to_pylist()], pa.string())], ["tbl", "id", "norm"])
 
-    return texts.mapInArrow(run, "tbl string, id bigint, norm string")
+    return texts.select("tbl", "id", "content").mapInArrow(run, "tbl string, id bigint, norm string")
 
 
 def _hashed(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -171,15 +171,15 @@ def _shared(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _common(norms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample share, ordered, and in how many they are."""
+def _common(norms: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample of the `rows` share, ordered, and in how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_hashed([text])[0], pa.int64())], ["g"])
 
-    sample = norms.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("norm")
+    sample = bounded_sample(norms, "id", rows, SAMPLE).select("norm")
     seen = sample.mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     rows = seen.orderBy(F.desc("n"), "g").limit(COMMON).collect()
     rows.sort()
@@ -219,7 +219,7 @@ def _sharing(prefixes: DataFrame, threshold: float) -> DataFrame:
     sizes = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
     apart = F.col("x.part") != F.col("y.part") if "part" in prefixes.columns else F.lit(True)
     enough = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    on = (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.failed") | F.col("y.failed")) & apart & sizes & enough
+    on = (F.col("x.g") == F.col("y.g")) & (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.failed") | F.col("y.failed")) & apart & sizes & enough
     return x.join(y, on).select("x.tbl", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -270,7 +270,7 @@ def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select("tbl", F.col("id").alias("a"), F.col("norm").alias("x"))
     right = texts.select("tbl", F.col("id").alias("b"), F.col("norm").alias("y"))
-    both = links.join(left, ["tbl", "a"]).join(right, ["tbl", "b"])
+    both = links.join(left, ["a", "tbl"]).join(right, ["b", "tbl"])
     return both.select("tbl", "a", "b", "x", "y").mapInArrow(run, "tbl string, a bigint, b bigint, sim double")
 
 
@@ -303,19 +303,20 @@ class NearDuplicates:
             self._find(records, min_chars, bands, rows)
 
     def _find(self, records: DataFrame, min_chars: int, bands: int, rows: int) -> None:
+        # Keys of joins begin with a number, by whose first bytes rows are sorted without comparing the name of the table.
         # No text is shorter than its normalised form, so what is too short is dropped before Python sees it.
         texts = records.filter("content is not null and id is not null").filter(F.length("content") >= min_chars).select("tbl", F.col("id").cast("bigint").alias("id"), "content")
         every = stage(_signed(texts, bands, rows, min_chars), "signed")
         ids = every.groupBy("tbl", "id", "h").agg(F.min("c").alias("c"))
         firsts = ids.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-        several = ids.join(firsts, ["tbl", "h"])
+        several = ids.join(firsts, ["h", "tbl"])
         contents = several.groupBy("tbl", "h", "c").agg(F.min("id").alias("first"))
         #: (tbl, rep, id, first) of each record of a class of several: the first of the class, and of those with its very content.
-        self.members = stage(several.join(contents, ["tbl", "h", "c"]).select("tbl", "rep", "id", "first"), "members")
+        self.members = stage(several.join(contents, ["h", "c", "tbl"]).select("tbl", "rep", "id", "first"), "members")
         #: (tbl, rep, id) of each record that is not its class's first.
         self.copies = self.members.filter("id != rep").select("tbl", "rep", "id")
         self.ids = ids
-        signed = every.join(self.copies.select("tbl", "id"), ["tbl", "id"], "left_anti")
+        signed = every.join(self.copies.select("tbl", "id"), ["id", "tbl"], "left_anti")
         # Two shuffles rather than one partitioning for both: the first adds up before it, and in the join
         # adaptive execution can split a bucket that holds a large part of all rows.
         buckets = signed.select("tbl", "id", F.explode("bands").alias("bucket"))
@@ -323,32 +324,33 @@ class NearDuplicates:
         shared = stage(buckets.join(centres, "bucket").select("tbl", "bucket", "a", "id", "n"), "shared")
         small, hot = shared.filter(F.col("n") <= HOT), shared.filter((F.col("n") > HOT) & (F.col("id") != F.col("a"))).withColumnRenamed("id", "b")
         among = small.alias("x").join(small.select("bucket", "id").alias("y"), "bucket").filter("x.id < y.id").select("tbl", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        self._digests = signed.select("tbl", "id", "digest").dropDuplicates(["tbl", "id"])
+        self._digests = signed.select("tbl", "id", "digest").dropDuplicates(["id", "tbl"])
         candidates = stage(self._near(among.union(hot.select("tbl", "a", "b")).distinct()), "candidates")
         wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).union(hot.select("tbl", "b")).distinct()
-        self.texts = stage(_norms(texts.join(wanted, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"])), "texts")
+        self.texts = stage(_norms(texts.join(wanted, ["id", "tbl"], "left_semi").dropDuplicates(["id", "tbl"])), "texts")
         self._tested = stage(_checked(candidates, self.texts), "links")
         self._hot, self._links = hot, None
 
     def _near(self, links: DataFrame) -> DataFrame:
         """Those of the links (tbl, a, b) whose digests are close."""
         a, b = (self._digests.select("tbl", F.col("id").alias(c), F.col("digest").alias(f"d{c}")) for c in ("a", "b"))
-        return _alike(links.join(a, ["tbl", "a"]).join(b, ["tbl", "b"]), self.threshold)
+        return _alike(links.join(a, ["a", "tbl"]).join(b, ["b", "tbl"]), self.threshold)
 
     def _prefixes(self) -> DataFrame | None:
         """The rarest shingles of the texts in buckets of which a leaf has failed at the centre; nothing if none has."""
         found = self._tested.filter(F.col("sim") >= self.threshold).select("tbl", "a", "b", F.lit(False).alias("failed"))
-        judged = self._hot.join(found, ["tbl", "a", "b"], "left").select("tbl", "bucket", F.col("b").alias("id"), F.coalesce("failed", F.lit(True)).alias("failed"))
+        judged = self._hot.join(found, ["a", "b", "tbl"], "left").select("tbl", "bucket", F.col("b").alias("id"), F.coalesce("failed", F.lit(True)).alias("failed"))
         open_ = judged.filter("failed").select("bucket").distinct()
         ends = stage(judged.join(open_, "bucket", "left_semi").groupBy("tbl", "id").agg(F.max("failed").alias("failed")), "ends")
-        if ends.isEmpty():
+        n = ends.count()
+        if not n:
             return None
-        norms = self.texts.join(ends, ["tbl", "id"]).select("tbl", "id", "failed", "norm")
-        return stage(_prefixed(norms, self.threshold, _common(norms)), "prefixes")
+        norms = self.texts.join(ends, ["id", "tbl"]).select("tbl", "id", "failed", "norm")
+        return stage(_prefixed(norms, self.threshold, _common(norms, n)), "prefixes")
 
     def _rest(self, prefixes: DataFrame) -> DataFrame:
         """The links among leaves of stars that share one of their `prefixes`, checked."""
-        rest = _sharing(prefixes, self.threshold).join(self._tested.select("tbl", "a", "b"), ["tbl", "a", "b"], "left_anti")
+        rest = _sharing(prefixes, self.threshold).join(self._tested.select("tbl", "a", "b"), ["a", "b", "tbl"], "left_anti")
         return stage(_checked(self._near(rest), self.texts), "links")
 
     def _closed(self, tested: DataFrame) -> DataFrame:
@@ -357,7 +359,7 @@ class NearDuplicates:
             found = tested.filter(F.col("sim") >= self.threshold)
             ends = found.select("tbl", F.col("a").alias("mid"), F.col("b").alias("end")).union(found.select("tbl", F.col("b"), F.col("a")))
             other = ends.withColumnRenamed("end", "b")
-            open_ = ends.withColumnRenamed("end", "a").join(other, ["tbl", "mid"]).filter("a < b").select("tbl", "a", "b").distinct().join(tested.select("tbl", "a", "b"), ["tbl", "a", "b"], "left_anti")
+            open_ = ends.withColumnRenamed("end", "a").join(other, ["mid", "tbl"]).filter("a < b").select("tbl", "a", "b").distinct().join(tested.select("tbl", "a", "b"), ["a", "b", "tbl"], "left_anti")
             more = stage(_checked(open_, self.texts), "triangles")
             if more.isEmpty():
                 return found
@@ -380,14 +382,14 @@ class NearDuplicates:
         """
         links = self.links().select("tbl", "a", "b")
         ends = links.select("tbl", F.col("a").alias("rep")).union(links.select("tbl", "b")).distinct()
-        members = self.members.select("tbl", "rep", "id", "first").unionByName(ends.join(self.members.select("tbl", "rep").distinct(), ["tbl", "rep"], "left_anti").select("tbl", "rep", F.col("rep").alias("id"), F.col("rep").alias("first")))
+        members = self.members.select("tbl", "rep", "id", "first").unionByName(ends.join(self.members.select("tbl", "rep").distinct(), ["rep", "tbl"], "left_anti").select("tbl", "rep", F.col("rep").alias("id"), F.col("rep").alias("first")))
         firsts = members.filter("id = first")
 
         def across(of_a: DataFrame, of_b: DataFrame) -> DataFrame:
-            return links.join(of_a.select("tbl", F.col("rep").alias("a"), F.col("id").alias("x")), ["tbl", "a"]).join(of_b.select("tbl", F.col("rep").alias("b"), F.col("id").alias("y")), ["tbl", "b"]).select("tbl", "x", "y")
+            return links.join(of_a.select("tbl", F.col("rep").alias("a"), F.col("id").alias("x")), ["a", "tbl"]).join(of_b.select("tbl", F.col("rep").alias("b"), F.col("id").alias("y")), ["b", "tbl"]).select("tbl", "x", "y")
 
         star = self.members.filter("id != first").select("tbl", F.col("first").alias("x"), F.col("id").alias("y"))
-        among = self.members.filter("id = first").select("tbl", "rep", F.col("id").alias("x")).join(self.members.select("tbl", "rep", "first", F.col("id").alias("y")), ["tbl", "rep"]).filter("x != first").select("tbl", "x", "y")
+        among = self.members.filter("id = first").select("tbl", "rep", F.col("id").alias("x")).join(self.members.select("tbl", "rep", "first", F.col("id").alias("y")), ["rep", "tbl"]).filter("x != first").select("tbl", "x", "y")
         every = across(firsts, members).union(across(members.filter("id != first"), firsts)).union(star).union(among)
         return every.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()
 
@@ -401,12 +403,12 @@ class NearDuplicates:
         with _short_batches(self._tested.sparkSession):
             prefixes = self._prefixes()
             if prefixes is not None:
-                apart = prefixes.join(groups.withColumnRenamed("g", "part"), ["tbl", "id"], "left").withColumn("part", F.coalesce("part", "id"))
+                apart = prefixes.join(groups.withColumnRenamed("g", "part"), ["id", "tbl"], "left").withColumn("part", F.coalesce("part", "id"))
                 several = apart.groupBy("tbl", "g").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("tbl", "g")
-                rest = self._rest(apart.join(several, ["tbl", "g"], "left_semi"))
+                rest = self._rest(apart.join(several, ["g", "tbl"], "left_semi"))
                 groups = self._connected(self._tested.unionByName(rest))
-        members = self.ids.select("tbl", "id").join(self.copies.select("tbl", "id", "rep"), ["tbl", "id"], "left").select("tbl", "id", F.coalesce("rep", "id").alias("rep"))
-        return members.join(groups.withColumnRenamed("id", "rep"), ["tbl", "rep"], "left").select("tbl", "id", F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id")).distinct()
+        members = self.ids.select("tbl", "id").join(self.copies.select("tbl", "id", "rep"), ["id", "tbl"], "left").select("tbl", "id", F.coalesce("rep", "id").alias("rep"))
+        return members.join(groups.withColumnRenamed("id", "rep"), ["rep", "tbl"], "left").select("tbl", "id", F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id")).distinct()
 
     def _connected(self, tested: DataFrame) -> DataFrame:
         """(tbl, id, g): the least id of the group of each class that has links.
@@ -418,10 +420,10 @@ class NearDuplicates:
         both = stage(links.union(links.select("tbl", F.col("b"), F.col("a"))), "both")
         group = stage(both.groupBy("tbl", F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("g")), "groups")
         while True:
-            near = both.join(group.select("tbl", F.col("id").alias("b"), "g"), ["tbl", "b"]).groupBy("tbl", F.col("a").alias("id")).agg(F.min("g").alias("m"))
-            lower = group.join(near, ["tbl", "id"], "left").select("tbl", "id", "g", F.least("g", "m").alias("m"))
+            near = both.join(group.select("tbl", F.col("id").alias("b"), "g"), ["b", "tbl"]).groupBy("tbl", F.col("a").alias("id")).agg(F.min("g").alias("m"))
+            lower = group.join(near, ["id", "tbl"], "left").select("tbl", "id", "g", F.least("g", "m").alias("m"))
             jump = group.select("tbl", F.col("id").alias("m"), F.col("g").alias("j"))
-            new = stage(lower.join(jump, ["tbl", "m"], "left").select("tbl", "id", "g", F.least("m", "j").alias("m")), "groups")
+            new = stage(lower.join(jump, ["m", "tbl"], "left").select("tbl", "id", "g", F.least("m", "j").alias("m")), "groups")
             if new.filter("g != m").isEmpty():
                 return new.select("tbl", "id", "g")
             group = new.select("tbl", "id", F.col("m").alias("g"))

@@ -155,7 +155,7 @@ def test_rarest_shingles_of_similar_texts_meet(spark):
     base = text(500)
     rows = [("a", i, nd.normalised(edited(base, 0.1 * (i % 6))[: 420 + 9 * i])) for i in range(40)]
     norms = spark.createDataFrame([(t, i, True, n) for t, i, n in rows], "tbl string, id bigint, failed boolean, norm string")
-    links = nd._sharing(nd._prefixed(norms, 0.6, nd._common(norms)), 0.6)
+    links = nd._sharing(nd._prefixed(norms, 0.6, nd._common(norms, 40)), 0.6)
     assert {tuple(r) for r in links.collect()} >= brute(rows)
 
 

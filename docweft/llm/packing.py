@@ -24,8 +24,8 @@ from docweft.session import spread, stage
 
 DIMENSIONS, BITS = 4, 8
 WINDOW = 4096
-#: Containers that a task fills at least, and the most tasks; beyond that tasks fill more.
-PER_TASK, MOST_TASKS = 256, 20_000
+#: Containers that a task fills at least, and the most tasks, for which the range sort samples keys on the driver; beyond that tasks fill more.
+PER_TASK, MOST_TASKS = 256, 5_000
 #: A container whose free part is above this share is opened again while its task has more items.
 REOPEN_SHARE = 0.01
 

@@ -405,11 +405,22 @@ class NearDuplicates:
             if prefixes is not None:
                 apart = prefixes.join(groups.withColumnRenamed("g", "part"), ["id", "tbl"], "left").withColumn("part", F.coalesce("part", "id"))
                 several = apart.groupBy("tbl", "g").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("tbl", "g")
-                rest = self._rest(apart.join(several, ["g", "tbl"], "left_semi"))
-                groups = self._connected(self._tested.unionByName(rest))
+                groups = self._joined(groups, self._rest(apart.join(several, ["g", "tbl"], "left_semi")))
         members = self.ids.select("tbl", "id").join(self.copies.select("tbl", "id", "rep"), ["id", "tbl"], "left").select("tbl", "id", F.coalesce("rep", "id").alias("rep"))
         return members.join(groups.withColumnRenamed("id", "rep"), ["rep", "tbl"], "left").select("tbl", "id", F.col("rep").alias("class_id"), F.coalesce("g", "rep").alias("group_id")).distinct()
 
+    def _joined(self, groups: DataFrame, more: DataFrame) -> DataFrame:
+        """`groups` (tbl, id, g) after further links `more`: only the groups that these connect are gone through."""
+        more = stage(more.filter(F.col("sim") >= self.threshold), "more")
+        if more.isEmpty():
+            return groups
+        alone = more.select("tbl", F.col("a").alias("id")).union(more.select("tbl", "b")).distinct().join(groups, ["id", "tbl"], "left_anti").select("tbl", "id", F.col("id").alias("g"))
+        groups = stage(groups.unionByName(alone), "all-groups")
+        side = lambda c: groups.select("tbl", F.col("id").alias(c), F.col("g").alias(f"g{c}"))
+        between = more.join(side("a"), ["a", "tbl"]).join(side("b"), ["b", "tbl"]).filter("ga != gb").select("tbl", F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"), F.lit(1.0).alias("sim"))
+        lower = self._connected(between.distinct()).select("tbl", F.col("id").alias("g"), F.col("g").alias("lower"))
+        return groups.join(lower, ["g", "tbl"], "left").select("tbl", "id", F.coalesce("lower", "g").alias("g"))
+
     def _connected(self, tested: DataFrame) -> DataFrame:
         """(tbl, id, g): the least id of the group of each class that has links.
 

@@ -422,8 +422,9 @@ runs as (select 'bm25' as mode, query_id, chunk_id, rank from {_top("b", 10)} un
 first as (select mode, query_id, min(rank) as r from runs join chunks using (chunk_id) join cases using (query_id) where source = want group by all)"""
 
 SQL = {
-    "eval_modes": _JUDGED + """ select m.mode, count(*) as n, round(avg(case when r <= 1 then 1.0 else 0 end), 6) as hit_1, round(avg(case when r <= 3 then 1.0 else 0 end), 6) as hit_3, round(avg(case when r <= 5 then 1.0 else 0 end), 6) as hit_5, round(avg(coalesce(1.0 / r, 0)), 6) as mrr
-from (values ('bm25'), ('ngram')) m(mode) cross join cases left join first on first.mode = m.mode and first.query_id = cases.query_id group by m.mode""",
+    "eval_modes": _JUDGED + """, j as (select m.mode, cases.query_id, r from (values ('bm25'), ('ngram')) m(mode) left join cases on true left join first on first.mode = m.mode and first.query_id = cases.query_id)
+select mode, count(query_id) as n, round(coalesce(avg(case when r <= 1 then 1.0 else 0 end) filter (query_id is not null), 0), 6) as hit_1, round(coalesce(avg(case when r <= 3 then 1.0 else 0 end) filter (query_id is not null), 0), 6) as hit_3,
+  round(coalesce(avg(case when r <= 5 then 1.0 else 0 end) filter (query_id is not null), 0), 6) as hit_5, round(coalesce(avg(coalesce(1.0 / r, 0)) filter (query_id is not null), 0), 6) as mrr from j group by mode""",
     "eval_complement": _JUDGED + """, s as (select query_id, bool_or(mode = 'bm25') as a, bool_or(mode = 'ngram') as b from first where r <= 5 group by query_id)
 select case when a and b then 'both' when a then 'a only' else 'b only' end as solved_by, count(*) as n from s group by 1""",
     "eval_recall": _JUDGED + """, w as (select query_id, chunk_id from cases join chunks on source = want)

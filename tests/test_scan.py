@@ -55,3 +55,13 @@ def test_scanned_without_queries_or_chunks(chunks, asked):
 def test_bm25_distinct_topk_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical.TermIndex, "_sum", no_pairs)
     assert search_queries.bm25_distinct_topk(spark, SMOKE).count() > 0
+
+
+def test_ngram_best_is_top_k_of_scores(chunks, asked):
+    own = lexical.ngram_best_of(chunks, asked, 7)
+    assert rows(own, "query_id", "chunk_id") == rows(lexical.top_k(lexical.ngram_scores_of(chunks, asked), 7), "query_id", "chunk_id")
+
+
+def test_ngram_jaccard_titles_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ngram_scores_of", no_pairs)
+    assert search_queries.ngram_jaccard_titles(spark, SMOKE).count() > 0

@@ -65,3 +65,9 @@ def test_ngram_best_is_top_k_of_scores(chunks, asked):
 def test_ngram_jaccard_titles_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical, "ngram_scores_of", no_pairs)
     assert search_queries.ngram_jaccard_titles(spark, SMOKE).count() > 0
+
+
+def test_eval_modes_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ngram_scores_of", no_pairs)
+    monkeypatch.setattr(lexical.TermIndex, "_sum", no_pairs)
+    assert {r["mode"] for r in search_queries.eval_modes(spark, SMOKE).collect()} == {"bm25", "ngram"}

@@ -71,3 +71,9 @@ def test_eval_modes_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical, "ngram_scores_of", no_pairs)
     monkeypatch.setattr(lexical.TermIndex, "_sum", no_pairs)
     assert {r["mode"] for r in search_queries.eval_modes(spark, SMOKE).collect()} == {"bm25", "ngram"}
+
+
+def test_eval_complement_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ngram_scores_of", no_pairs)
+    monkeypatch.setattr(lexical.TermIndex, "_sum", no_pairs)
+    search_queries.eval_complement(spark, SMOKE).collect()

@@ -77,3 +77,17 @@ def test_eval_complement_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical, "ngram_scores_of", no_pairs)
     monkeypatch.setattr(lexical.TermIndex, "_sum", no_pairs)
     search_queries.eval_complement(spark, SMOKE).collect()
+
+
+@pytest.mark.parametrize("limit", [3, 50])
+def test_field_best_is_best_fields_of_scores(chunks, asked, limit):
+    timed = chunks.withColumn("updated_at", F.when(F.crc32("chunk_id") % 3 > 0, F.timestamp_seconds(F.crc32("source") % 5)))
+    old = lexical.best_fields_of(lexical.field_scores_of(timed, asked), timed, limit)
+    own = lexical.field_best_of(timed, asked, limit)
+    columns = ("query_id", "chunk_id", "match_score", "rank")
+    assert sorted(map(tuple, own.select(*columns).collect())) == sorted(map(tuple, old.select(*columns).collect()))
+
+
+def test_weighted_fields_v2_titles_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "field_scores_of", no_pairs)
+    assert search_queries.weighted_fields_v2_titles(spark, SMOKE).count() > 0

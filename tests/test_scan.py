@@ -91,3 +91,8 @@ def test_field_best_is_best_fields_of_scores(chunks, asked, limit):
 def test_weighted_fields_v2_titles_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical, "field_scores_of", no_pairs)
     assert search_queries.weighted_fields_v2_titles(spark, SMOKE).count() > 0
+
+
+def test_weighted_fields_titles_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "field_scores_of", no_pairs)
+    assert search_queries.weighted_fields_titles(spark, SMOKE).count() > 0

@@ -5,6 +5,7 @@ from docweft.operators import graph as gr
 from docweft.operators import graph_search as gs
 from docweft.operators.lexical import TermIndex
 from docweft.functions import text as tx
+from docweft.plans import graph_queries
 
 
 def reached(edges, seeds, types, hops=2, decay=0.6, least=0.05):
@@ -55,3 +56,44 @@ def test_search_goes_by_words_graph_and_customer(spark):
     assert {c for c, _ in found[1]} >= {"c1", "c2", "c3"}
     assert {c for c, via in found[2] if "lexical" in via} == {"c1", "c3"}
     assert set(found) == {1, 2}
+
+
+def test_walks_through_a_hub_once(spark, monkeypatch):
+    """Rows written on the way are those of the graph and of lists, not one for each query and chunk of a hub."""
+    rows, stage = [], gs.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(gs, "stage", counted)
+    df = spark.createDataFrame([("System:s", f"Chunk:{i:03}", "MENTIONED_IN", 0.9) for i in range(300)], "src string, dst string, type string, exp_weight double")
+    seeds = spark.createDataFrame([(q, "System:s", ["MENTIONED_IN"]) for q in range(40)], "query_id bigint, node string, types array<string>")
+    found = gs.walk(df, seeds, limit=2).collect()
+    assert sorted((r.query_id, r["rank"], r.node, r.hop) for r in found) == [(q, i + 1, f"Chunk:00{i}", 1) for q in range(40) for i in range(2)]
+    assert max(rows) <= 300
+
+
+@pytest.mark.parametrize("k", [1, 4, 100])
+def test_counted_within_groups(spark, k):
+    texts = [" ".join(w for j, w in enumerate(("누수", "점검", "펌프", "센서", "교체")) if i >> j & 1) for i in range(32)]
+    chunks = spark.createDataFrame([(f"c{i:02}", t) for i, t in enumerate(texts)], "chunk_id string, body string")
+    groups = {f"c{i:02}": f"g{i % 3}" for i in range(30)}
+    asked, scope = {1: "누수 점검 점검", 2: "센서 교체 펌프", 3: "누수", 4: "없는말", 5: None}, {1: ["g0"], 2: ["g1", "g2"], 4: ["g0"], 5: ["g1"], 6: ["g1"]}
+    index = TermIndex(chunks, text=F.col("body"), tokens=tx.lemma_tokens)
+    named = spark.createDataFrame([(q, g) for q, gs_ in scope.items() for g in gs_], "query_id bigint, grp string")
+    got = index.counted_within(spark.createDataFrame(list(asked.items()), "query_id bigint, query string"), spark.createDataFrame(list(groups.items()), "chunk_id string, grp string"), named, k, tx.lemma_tokens)
+    want = []
+    for q, gs_ in scope.items():
+        own = sorted((-len(set(texts[int(c[1:])].split()) & set((asked.get(q) or "").split())), c) for c, g in groups.items() if g in gs_)
+        want += [(q, c, -n, i + 1) for i, (n, c) in enumerate([x for x in own if x[0]][:k])]
+    assert sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_graph_search_titles_makes_no_pairs(spark, monkeypatch):
+    def no_pairs(*_, **__):
+        raise AssertionError("pairs of query and chunk as rows")
+
+    monkeypatch.setattr(TermIndex, "_sum", no_pairs)
+    assert graph_queries.graph_search_titles(spark, "/root/testdata/sf0.001").count() > 0

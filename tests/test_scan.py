@@ -1,5 +1,7 @@
 """Searches for many by scans: the results of joins, without a row for each pair of query and chunk."""
 
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,22 @@ def test_scanned_without_queries_or_chunks(chunks, asked):
     assert lexical.TermIndex(chunks.filter("false")).scanned(asked, 5).count() == 0
 
 
+def test_parts_of_queries_hold_no_rows(spark):
+    sets = spark.range(20_000, numPartitions=8).selectExpr("id as set_id", "transform(sequence(0, 9), i -> named_struct('term', concat('t', cast((id + i) % 500 as string)), 'qtf', double(i))) as terms")
+    tracemalloc.start()
+    parts = list(scan.parts_of(sets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    (asked,) = parts
+    for i in (0, 7, 19_999):
+        own = slice(asked.at[i], asked.at[i + 1])
+        assert [asked.vocabulary[t] for t in asked.terms[own]] == [f"t{(asked.sets[i] + j) % 500}" for j in range(10)]
+        assert list(asked.weights[own]) == list(range(10))
+    small = list(scan.parts_of(sets.limit(7), 25))
+    assert [len(p.sets) for p in small] == [2, 2, 2, 1]
+
+
 def test_bm25_distinct_topk_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical.TermIndex, "_sum", no_pairs)
     assert search_queries.bm25_distinct_topk(spark, SMOKE).count() > 0

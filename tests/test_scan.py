@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def test_scanned_in_small_blocks_and_parts(chunks, asked, monkeypatch):
     assert rows(index.scanned(asked, 5), "query_id", "chunk_id") == rows(lexical.top_k(index.scores(asked), 5), "query_id", "chunk_id")
 
 
+def test_many_queries_are_scanned_by_as_many_tasks_as_cores(spark, monkeypatch):
+    """Each task sends on the best of every query, so splits of the rows would multiply them."""
+    found = lambda batch, place: scan.Found([batch.column(0)], np.ones(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32), np.ones(batch.num_rows), np.zeros(batch.num_rows))
+    asked = scan.Asked(np.arange(50), np.arange(51), np.zeros(50, np.int32), np.ones(50), ["t"])
+    ids = spark.range(4_000, numPartitions=40)
+    assert scan.best(ids, ["id"], asked, 10, found).count() == 40 * 50 * 10
+    monkeypatch.setattr(scan, "SENT", 1_000)
+    assert scan.best(ids, ["id"], asked, 10, found).count() <= spark.sparkContext.defaultParallelism * 50 * 10
+
+
 def test_scanned_without_queries_or_chunks(chunks, asked):
     assert lexical.TermIndex(chunks).scanned(asked.filter("false"), 5).count() == 0
     assert lexical.TermIndex(chunks.filter("false")).scanned(asked, 5).count() == 0

@@ -3,9 +3,10 @@
 1. Records with equal normalised text form a class; its record with the least id stands for it.
 2. One-permutation hashing gives each class one minimum per bin from a single hash of every shingle; an
    empty bin takes the value of a bin picked by a hash of its own place (optimal densification).
-3. Bands of bins make bucket keys. In a bucket of at most HOT classes each is linked to each; in a larger one
-   first to the one with the least id only: a star, so links are fewer than rows however large a bucket is.
-4. Links whose signatures are far apart are dropped by a small digest; the others are checked on their texts.
+3. Bands of bins make bucket keys. A bucket's rows come together with a small digest of their signatures, and only links whose
+   digests are close become rows, to be checked on their texts. In a bucket of at most HOT classes each is compared with each.
+4. So it is in one of up to WIDE classes that share the bucket by chance, where few digests are close: at most HOT/2 links a row.
+   In all other buckets each is first linked to the one with the least id only: a star, so links are fewer than rows.
 5. A leaf of a star that is not similar to the centre may be similar to other leaves. It is compared with those that
    share one of its rarest shingles, which all texts of at least the threshold do (prefix filter), so that a form
    letter's common part makes no candidates.
@@ -37,8 +38,12 @@ MIN_CHARS = 60
 BANDS, ROWS = 32, 4
 #: The digest holds this many 4-bit values of the signature.
 DIGEST = 64
-#: In buckets of up to this many rows each is compared with each; beyond it by stars and rarest shingles.
+#: In buckets of up to this many rows each is compared with each; beyond it by stars and rarest shingles, unless few are close.
 HOT = 128
+#: In buckets of up to this many rows the digests of all are compared to see if few are close.
+WIDE = 4096
+#: Rows of buckets, and pairs of digests, that are looked at together.
+BLOCK, PAIRS = 1 << 16, 1 << 18
 #: Rows and shingles of the sample that orders shingles by how common they are; it decides what is compared, never the result.
 SAMPLE, COMMON = 2000, 100_000
 
@@ -223,26 +228,139 @@ def _sharing(prefixes: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, on).select("x.tbl", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _alike(links: DataFrame, threshold: float) -> DataFrame:
-    """Links (tbl, a, b, da, db) whose digests may belong to texts of at least `threshold`.
+def _least(threshold: float) -> int:
+    """Of DIGEST digest values, how many are equal in texts of at least `threshold`.
 
     The share of equal digest values is J + (1 - J)/16 on average; four standard deviations are allowed.
     """
-    digits = DIGEST
-    floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / digits)
-    least = math.floor(digits * (floor + (1 - floor) / 16))
+    floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / DIGEST)
+    return math.floor(DIGEST * (floor + (1 - floor) / 16))
+
+
+def _words(digests: pa.Array) -> tuple[np.ndarray, int]:
+    """Digests as rows of 64-bit words, padded with zeros, and the number of their values."""
+    parts = digests.to_pylist()
+    size = len(parts[0]) if parts else 0
+    own = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), size)
+    return np.pad(own, ((0, 0), (0, -size % 8))).view(np.uint64).reshape(len(parts), -1), 2 * size
+
+
+def _close(x: np.ndarray, y: np.ndarray, values: int, least: int) -> np.ndarray:
+    """Whether digests x and y, of `values` values of 4 bits, have at least `least` of DIGEST equal."""
+    far = x ^ y
+    far |= far >> np.uint64(2)
+    far |= far >> np.uint64(1)
+    differ = np.bitwise_count(far & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
+    return (values - differ) * DIGEST >= least * values
+
+
+def _alike(links: DataFrame, threshold: float) -> DataFrame:
+    """Links (tbl, a, b, da, db) whose digests may belong to texts of at least `threshold`."""
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
-            same = ((x >> 4) == (y >> 4)).sum(1) + ((x & 15) == (y & 15)).sum(1)
-            yield batch.filter(pa.array(same * digits >= least * 2 * x.shape[1])).select([0, 1, 2])
+            if batch.num_rows:
+                (x, values), (y, _) = _words(batch.column(3)), _words(batch.column(4))
+                yield batch.filter(pa.array(_close(x, y, values, least))).select([0, 1, 2])
 
     return links.select("tbl", "a", "b", "da", "db").mapInArrow(run, "tbl string, a bigint, b bigint")
 
 
+def _few_close(ids: np.ndarray, words: np.ndarray, values: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs of rows of different ids whose digests are close; None as soon as they are more than `most`."""
+    n, found, total = len(ids), [], 0
+    step = max(1, PAIRS // n)
+    for i in range(0, n, step):
+        x, y = np.nonzero(_close(words[i : i + step, None, :], words[None, i:, :], values, least))
+        kept = (y > x) & (ids[i + x] != ids[i + y])
+        found.append((i + x[kept], i + y[kept]))
+        total += int(kept.sum())
+        if total > most:
+            return None
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _linked(signed: DataFrame, threshold: float) -> DataFrame:
+    """(tbl, bucket, a, b, near, leaf) of rows (tbl, id, digest, bands): the links of close digests within buckets.
+
+    A leaf is any row of a bucket that is linked as a star, near or not, with the bucket's least id as a. Rows come by bucket
+    and id; of one bucket at most WIDE are held, and a pair that is not close is no row.
+    """
+    least, hot, wide, block = _least(threshold), HOT, max(HOT, WIDE), BLOCK
+    names = ["tbl", "bucket", "a", "b", "near", "leaf"]
+
+    def of(rows: pa.Table, x: np.ndarray, y: np.ndarray, near: np.ndarray | bool, leaf: bool) -> pa.RecordBatch:
+        """The rows at places y, linked to those at places x."""
+        end = rows.take(pa.array(y))
+        flags = [pa.array(np.broadcast_to(near, len(y))), pa.array(np.full(len(y), leaf))]
+        columns = [end["tbl"], end["bucket"], rows["id"].take(pa.array(x)), end["id"]]
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in columns), *flags], names)
+
+    def small(rows: pa.Table, at: np.ndarray, bucket: np.ndarray, ids: np.ndarray, words: np.ndarray, values: int) -> Iterator[pa.RecordBatch]:
+        """The links among the rows at places `at`, of buckets where each is compared with each: by distance in the order."""
+        apart = 1
+        while len(at := at[at + apart < len(ids)]) and len(at := at[bucket[at] == bucket[at + apart]]):
+            close = at[(ids[at] != ids[at + apart]) & _close(words[at], words[at + apart], values, least)]
+            if len(close):
+                yield of(rows, close, close + apart, True, False)
+            apart += 1
+
+    def star(rows: pa.Table, centre: pa.Table, words: np.ndarray, values: int) -> Iterator[pa.RecordBatch]:
+        """Rows of one bucket as leaves of `centre`."""
+        both = pa.concat_tables([centre, rows])
+        first, _ = _words(centre["digest"])
+        y = np.flatnonzero(np.asarray(rows["id"]) != centre["id"][0].as_py())
+        if len(y):
+            yield of(both, np.zeros(len(y), np.int64), y + 1, _close(words[y], first, values, least), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        centre: pa.Table | None = None
+
+        def linked(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """Links of the buckets that end in `rows`; the rows of the last one stay held, or go to its star if they are too many."""
+            nonlocal centre
+            bucket, ids = np.asarray(rows["bucket"]), np.asarray(rows["id"])
+            words, values = _words(rows["digest"])
+            begin = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+            end = np.concatenate([begin[1:], [len(bucket)]])
+            if centre is not None and centre["bucket"][0].as_py() == bucket[0]:
+                yield from star(rows.slice(0, end[0]), centre, words[: end[0]], values)
+                begin, end = begin[1:], end[1:]
+            if len(begin) and not last:
+                n = int(end[-1] - begin[-1])
+                if n > wide:
+                    centre = rows.slice(begin[-1], 1)
+                    yield from star(rows.slice(begin[-1]), centre, words[begin[-1] :], values)
+                else:
+                    held.extend(rows.slice(begin[-1]).to_batches())
+                begin, end = begin[:-1], end[:-1]
+            sizes = end - begin
+            each = (sizes > 1) & (sizes <= hot)
+            places = np.repeat(begin[each] - np.concatenate([[0], np.cumsum(sizes[each])[:-1]]), sizes[each]) + np.arange(sizes[each].sum()) if each.any() else np.zeros(0, np.int64)
+            yield from small(rows, places, bucket, ids, words, values)
+            for b, e in zip(begin[sizes > hot], end[sizes > hot], strict=True):
+                few = _few_close(ids[b:e], words[b:e], values, least, hot * int(e - b) // 2) if e - b <= wide else None
+                if few is None:
+                    yield from star(rows.slice(b, e - b), rows.slice(b, 1), words[b:e], values)
+                elif len(few[0]):
+                    yield of(rows, b + few[0], b + few[1], True, False)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= block:
+                    rows = pa.Table.from_batches(held)
+                    held.clear()
+                    yield from linked(rows, False)
+        if held:
+            yield from linked(pa.Table.from_batches(held), True)
+
+    rows = signed.select("tbl", "id", "digest", F.explode("bands").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "id")
+    return rows.mapInArrow(run, "tbl string, bucket bigint, a bigint, b bigint, near boolean, leaf boolean")
+
+
 def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
     """(tbl, a, b, sim) of links (tbl, a, b) with the similarity of their texts (tbl, id, norm).
 
@@ -275,11 +393,11 @@ def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _short_batches(spark: SparkSession) -> Iterator[None]:
+def _short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of fewer rows, as rows hold two texts; both sides of a Python worker keep a batch in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "1000")
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
@@ -317,15 +435,12 @@ class NearDuplicates:
         self.copies = self.members.filter("id != rep").select("tbl", "rep", "id")
         self.ids = ids
         signed = every.join(self.copies.select("tbl", "id"), ["id", "tbl"], "left_anti")
-        # Two shuffles rather than one partitioning for both: the first adds up before it, and in the join
-        # adaptive execution can split a bucket that holds a large part of all rows.
-        buckets = signed.select("tbl", "id", F.explode("bands").alias("bucket"))
-        centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z")
-        shared = stage(buckets.join(centres, "bucket").select("tbl", "bucket", "a", "id", "n"), "shared")
-        small, hot = shared.filter(F.col("n") <= HOT), shared.filter((F.col("n") > HOT) & (F.col("id") != F.col("a"))).withColumnRenamed("id", "b")
-        among = small.alias("x").join(small.select("bucket", "id").alias("y"), "bucket").filter("x.id < y.id").select("tbl", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        # One shuffle of all buckets; a bucket that holds a large part of all rows is gone through in one task without being held.
+        with _short_batches(records.sparkSession, 10_000):
+            links = stage(_linked(signed, self.threshold), "linked")
+        hot = links.filter("leaf").select("tbl", "bucket", "a", "b")
         self._digests = signed.select("tbl", "id", "digest").dropDuplicates(["id", "tbl"])
-        candidates = stage(self._near(among.union(hot.select("tbl", "a", "b")).distinct()), "candidates")
+        candidates = stage(links.filter("near").select("tbl", "a", "b").distinct(), "candidates")
         wanted = candidates.select("tbl", F.col("a").alias("id")).union(candidates.select("tbl", "b")).union(hot.select("tbl", "b")).distinct()
         self.texts = stage(_norms(texts.join(wanted, ["id", "tbl"], "left_semi").dropDuplicates(["id", "tbl"])), "texts")
         self._tested = stage(_checked(candidates, self.texts), "links")

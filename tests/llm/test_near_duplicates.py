@@ -161,3 +161,38 @@ def test_rarest_shingles_of_similar_texts_meet(spark):
 
 def test_bands_catch_most_pairs_at_the_threshold():
     assert 1 - (1 - 0.65**nd.ROWS) ** nd.BANDS > 0.99
+
+
+def _by_bucket(spark, digests):
+    rows = [("a", i, d, [b]) for i, (b, d) in enumerate(digests)]
+    return [tuple(r) for r in nd._linked(spark.createDataFrame(rows, "tbl string, id bigint, digest binary, bands array<bigint>"), 0.6).collect()]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_a_bucket_shared_by_chance_gives_its_close_pairs_alone(spark, monkeypatch, block):
+    """No row for each pair of a small bucket, and no star with failed leaves in a large one."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    digest = lambda: bytes(rng.randrange(256) for _ in range(32))
+    several = {1: 2, 2: 100, 3: 128, 4: 129, 5: 700, 6: 1}
+    digests = [(b, digest()) for b, n in several.items() for _ in range(n)]
+    for i, j in ((0, 1), (5, 90), (110, 200), (240, 350), (400, 900), (401, 1000)):
+        digests[j] = (digests[j][0], digests[i][1][:28] + digests[j][1][28:])
+    rng.shuffle(digests)
+    same = lambda x, y: sum((p >> 4 == q >> 4) + (p & 15 == q & 15) for p, q in zip(x, y, strict=True))
+    want = {(b, i, j) for i, (b, x) in enumerate(digests) for j, (c, y) in enumerate(digests) if i < j and b == c and same(x, y) >= nd._least(0.6)}
+    got = _by_bucket(spark, digests)
+    assert len(want) >= 5
+    assert {(b, x, y) for _, b, x, y, near, leaf in got if near and not leaf} == want
+    assert len(got) == len(want)
+
+
+@pytest.mark.parametrize("wide", [150, 4096])
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_a_large_bucket_of_the_like_is_a_star(spark, monkeypatch, block, wide):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "WIDE", wide)
+    digests = [(1, bytes(32))] * 400 + [(1, bytes([255] * 32))] * 2 + [(2, bytes(32))] * 3
+    got = _by_bucket(spark, digests)
+    assert {(x, y, near) for _, b, x, y, near, leaf in got if leaf} == {(0, i, i < 400) for i in range(1, 402)}
+    assert {(x, y) for _, b, x, y, near, leaf in got if not leaf} == {(402, 403), (402, 404), (403, 404)}
+    assert len(got) == 404

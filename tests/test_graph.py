@@ -102,6 +102,30 @@ def test_similar(spark):
     assert {(r.src[-1], r.dst[-1]) for r in few} == {("a", "d"), ("b", "d"), ("d", "a")}
 
 
+@pytest.mark.parametrize("limit, least", [(5, 2), (1, 1), (100, 3)])
+def test_similar_by_all_entities(spark, monkeypatch, limit, least):
+    """Without a limit of chunks for an entity the partners are those of comparing all pairs, and no pairs are written."""
+    rows, stage = [], gr.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        rows.append(out.count())
+        return out
+
+    rng = random.Random(limit)
+    has = {f"Chunk:{i:03}": {f"System:{e}" for e in "uvwxyz" if rng.random() < 0.5} for i in range(150)}
+    edges = spark.createDataFrame([(c, e, "MENTIONS") for c, es in has.items() for e in sorted(es)] * 2, "src string, dst string, type string")
+    want = {}
+    for c, es in has.items():
+        alike = sorted((-len(es & other), d) for d, other in has.items() if d != c and len(es & other) >= least)
+        want |= {(c, d): (-n, min(1.0, -n / 4)) for n, d in alike[:limit]}
+    monkeypatch.setattr(gr, "stage", counted)
+    got = gr.similar(edges, least, limit, most_chunks=None).collect()
+    assert {(r.src, r.dst): (r.shared, r.weight) for r in got} == want and len(got) == len(want)
+    assert max(rows) <= len(has)
+    assert gr.similar(edges.limit(0), most_chunks=None).count() == 0
+
+
 def test_penalties(spark):
     r = spark.createDataFrame([(0,), (1,), (10,)], "d int").select(F.round(gr.hub_penalty(F.col("d")), 6), F.round(gr.hub_penalty(F.col("d"), True), 6)).collect()
     assert [tuple(x) for x in r] == [(1.0, 1.0), (1.0, 1.0), (round(1 / (1 + 0.9 * 2.302585092994), 6), round(1 / 1.9, 6))]
